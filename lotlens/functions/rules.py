@@ -145,7 +145,7 @@ CAP_RATE_PATTERN = (
 )
 NOI_PATTERN = (
     r"(?iuU)(?:NOI|чистий\s+операц(?:ійний)?\s+дохід|чистый\s+операционн\w*\s+доход)"
-    r"\s*[:\-]?\s*(\d{1,3}(?:[  ]?\d{3})+|\d+(?:[.,]\d+)?)"
+    r"\s*[:\-]?\s*(\d{1,3}(?:[ \u00a0]?\d{3})+|\d+(?:[.,]\d+)?)"
 )
 OPEX_WITHOUT_PATTERN = (
     r"(?iuU)(без\s*(?:opex|опекс)|\+\s*(?:opex|опекс)|(?:opex|опекс)\s*(?:окремо|отдельно)|"

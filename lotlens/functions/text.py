@@ -13,7 +13,7 @@ from lotlens.config import DEFAULT
 from lotlens.functions import rules
 
 WORD = r"[\p{L}\p{N}_]"
-NUMBER = r"(?:\d{1,3}(?:[  ]?\d{3}){1,3}|\d+(?:[.,]\d+)?)"
+NUMBER = r"(?:\d{1,3}(?:[ \u00a0]?\d{3}){1,3}|\d+(?:[.,]\d+)?)"
 
 
 def none_if_empty(col: Column) -> Column:
@@ -71,7 +71,7 @@ def phone_digits(col: Column) -> Column:
 
 def to_number(col: Column, maximum: float | None = None) -> Column:
     """A positive finite number written with blanks, decimal comma or dot groups."""
-    plain = F.translate(F.translate(col, "  ", ""), ",", ".")
+    plain = F.translate(F.translate(col, " \u00a0", ""), ",", ".")
     plain = F.when(
         plain.rlike(r"^\d{1,3}(\.\d{3})+$"), F.regexp_replace(plain, r"\.", "")
     ).otherwise(plain)
@@ -101,8 +101,8 @@ def with_area_floor(df: DataFrame, text: Column, area: str = "area_sqm", floor:
 def strip_price_junk(col: Column) -> Column:
     """Drop a leading photo counter with prices; keep the text when nothing would remain."""
     junk = (
-        r"(?iu)^(?:\d+\s+){1,4}(?:\d{1,3}(?:[  ]\d{3})+\s*\$"
-        r"(?:\s*\d{1,3}(?:[  ]\d{3})*\s*(?:USD|\$)?\s*/\s*м(?:²|2))?\s*)+"
+        r"(?iu)^(?:\d+\s+){1,4}(?:\d{1,3}(?:[ \u00a0]\d{3})+\s*\$"
+        r"(?:\s*\d{1,3}(?:[ \u00a0]\d{3})*\s*(?:USD|\$)?\s*/\s*м(?:²|2))?\s*)+"
     )
     cleaned = F.trim(F.regexp_replace(col, junk, ""))
     return F.coalesce(none_if_empty(cleaned), col)
