@@ -13,56 +13,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKET = "_bucket"
 BUCKET_SECONDS = 86_400
 
 
 def with_bucket(df: DataFrame, time: str, seconds: int = BUCKET_SECONDS) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds))
+    """Bucket number of a row; rows that carry one keep it (and their partitioning)."""
+    if BUCKET in df.columns:
+        return df
+    return df.withColumn(BUCKET, F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds))
 
 
-def with_previous(
-    df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], sticky: Sequence[str],
-    seconds: int = BUCKET_SECONDS,
-) -> DataFrame:
-    """Adds ``prev_<c>``: the last non-null value of c in earlier rows of the key."""
-    keys = list(keys)
-    rows = with_bucket(df, time, seconds)
-    before = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    position = F.struct(*order)
-    inside = rows.withColumns({f"_in_{c}": F.last(c, ignorenulls=True).over(before) for c in sticky})
-    closing = rows.groupBy(*keys, "_bucket").agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_end_{c}") for c in sticky
-    ])
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = closing.select(*keys, "_bucket", *[
-        F.last(f"_end_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in sticky
-    ])
-    return inside.join(carry, keys + ["_bucket"]).select(
-        *df.columns,
-        *[F.coalesce(F.col(f"_in_{c}"), F.col(f"_carry_{c}")).alias(f"prev_{c}") for c in sticky],
-    )
+def _earlier(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def with_next(
-    df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], column: str,
-    name: str, seconds: int = BUCKET_SECONDS,
+def with_neighbours(
+    df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str],
+    sticky: Sequence[str] = (), following: Sequence[str] = (), seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Adds the value of a never-null column in the next row of the key."""
+    """Adds ``prev_<c>``, the last non-null c of earlier rows of the key, for sticky
+    columns, and ``next_<c>``, the c of the next row, for never-null following columns."""
     keys = list(keys)
     rows = with_bucket(df, time, seconds)
-    inside = rows.withColumn(
-        "_in_next", F.lead(column).over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    ordered = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    position = F.struct(*order)
+    inside = rows.withColumns({
+        **{f"_in_p_{c}": F.last(c, ignorenulls=True).over(before) for c in sticky},
+        **{f"_in_n_{c}": F.lead(c).over(ordered) for c in following},
+    })
+    edges = rows.groupBy(*keys, BUCKET).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_last_{c}") for c in sticky],
+        *[F.min_by(F.col(c), position).alias(f"_first_{c}") for c in following],
     )
-    opening = rows.groupBy(*keys, "_bucket").agg(F.min_by(F.col(column), F.struct(*order)).alias("_first"))
-    carry = opening.select(
-        *keys, "_bucket",
-        F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry_next"),
+    later = Window.partitionBy(*keys).orderBy(BUCKET)
+    carry = edges.select(
+        *keys, BUCKET,
+        *[F.last(f"_last_{c}", ignorenulls=True).over(_earlier(keys)).alias(f"_c_p_{c}") for c in sticky],
+        *[F.lead(f"_first_{c}").over(later).alias(f"_c_n_{c}") for c in following],
     )
-    return inside.join(carry, keys + ["_bucket"]).select(
-        *df.columns, F.coalesce("_in_next", "_carry_next").alias(name)
+    return inside.join(carry, keys + [BUCKET]).select(
+        *rows.columns,
+        *[F.coalesce(F.col(f"_in_p_{c}"), F.col(f"_c_p_{c}")).alias(f"prev_{c}") for c in sticky],
+        *[F.coalesce(F.col(f"_in_n_{c}"), F.col(f"_c_n_{c}")).alias(f"next_{c}") for c in following],
     )
 
 
@@ -72,14 +66,13 @@ def with_running_count(
 ) -> DataFrame:
     """Adds the number of flagged rows up to and including this one."""
     keys = list(keys)
-    rows = with_bucket(df, time, seconds).withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
-    upto = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    base = with_bucket(df, time, seconds)
+    rows = base.withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
+    upto = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.withColumn("_in_run", F.sum("_flag").over(upto))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*keys, "_bucket").agg(F.sum("_flag").alias("_sum"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry_run"))
+    carry = rows.groupBy(*keys, BUCKET).agg(F.sum("_flag").alias("_sum")).select(
+        *keys, BUCKET, F.coalesce(F.sum("_sum").over(_earlier(keys)), F.lit(0)).alias("_carry_run")
     )
-    return inside.join(carry, keys + ["_bucket"]).select(
-        *df.columns, (F.col("_in_run") + F.col("_carry_run")).alias(name)
+    return inside.join(carry, keys + [BUCKET]).select(
+        *base.columns, (F.col("_in_run") + F.col("_carry_run")).alias(name)
     )
