@@ -1,9 +1,9 @@
-"""Running state along each key's time line, split into time buckets.
+"""Running state along each key's time line.
 
-A plain window over a key gathers all its rows in one task. Here the rows of a key are
-cut into buckets of fixed length; the window runs inside ``(key, bucket)``, one summary row
-per bucket carries the state across buckets, and both meet again by an equi-join. The
-result is exactly that of the plain window.
+A window over a key keeps all its rows in one task, which fails when one key holds a large
+share of the log. Keys above ``hot_rows`` are therefore cut into time buckets: the window
+runs inside ``(key, bucket)``, one summary row per bucket carries the state across buckets,
+and both meet by an equi-join. Results equal those of the plain window.
 """
 
 from __future__ import annotations
@@ -13,66 +13,73 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.operators.relational import BROADCAST_ROWS, HOT_ROWS
+
 BUCKET = "_bucket"
 BUCKET_SECONDS = 86_400
 
 
-def with_bucket(df: DataFrame, time: str, seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Bucket number of a row; rows that carry one keep it (and their partitioning)."""
-    if BUCKET in df.columns:
-        return df
-    return df.withColumn(BUCKET, F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds))
+class Timeline:
+    """Rows of a log with the skew decision taken once for all running columns."""
 
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str],
+        seconds: int = BUCKET_SECONDS, hot_rows: int = HOT_ROWS,
+    ):
+        self.keys, self.order = list(keys), list(order)
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        n_hot = hot.limit(BROADCAST_ROWS + 1).count()
+        self.split = n_hot > 0
+        slot = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds)
+        if n_hot == 0:
+            self.rows = df.withColumn(BUCKET, F.lit(0).cast("bigint"))
+        elif n_hot <= BROADCAST_ROWS:
+            marks = F.broadcast(hot.select(*keys, F.lit(True).alias("_is_hot")))
+            self.rows = (
+                df.join(marks, self.keys, "left")
+                .withColumn(BUCKET, F.when(F.col("_is_hot"), slot).otherwise(F.lit(0).cast("bigint")))
+                .drop("_is_hot")
+            )
+        else:
+            self.rows = df.withColumn(BUCKET, slot)
 
-def _earlier(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    def _window(self):
+        return Window.partitionBy(*self.keys, BUCKET).orderBy(*self.order)
 
+    def _buckets(self):
+        return Window.partitionBy(*self.keys).orderBy(BUCKET)
 
-def with_neighbours(
-    df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str],
-    sticky: Sequence[str] = (), following: Sequence[str] = (), seconds: int = BUCKET_SECONDS,
-) -> DataFrame:
-    """Adds ``prev_<c>``, the last non-null c of earlier rows of the key, for sticky
-    columns, and ``next_<c>``, the c of the next row, for never-null following columns."""
-    keys = list(keys)
-    rows = with_bucket(df, time, seconds)
-    ordered = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    position = F.struct(*order)
-    inside = rows.withColumns({
-        **{f"_in_p_{c}": F.last(c, ignorenulls=True).over(before) for c in sticky},
-        **{f"_in_n_{c}": F.lead(c).over(ordered) for c in following},
-    })
-    edges = rows.groupBy(*keys, BUCKET).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_last_{c}") for c in sticky],
-        *[F.min_by(F.col(c), position).alias(f"_first_{c}") for c in following],
-    )
-    later = Window.partitionBy(*keys).orderBy(BUCKET)
-    carry = edges.select(
-        *keys, BUCKET,
-        *[F.last(f"_last_{c}", ignorenulls=True).over(_earlier(keys)).alias(f"_c_p_{c}") for c in sticky],
-        *[F.lead(f"_first_{c}").over(later).alias(f"_c_n_{c}") for c in following],
-    )
-    return inside.join(carry, keys + [BUCKET]).select(
-        *rows.columns,
-        *[F.coalesce(F.col(f"_in_p_{c}"), F.col(f"_c_p_{c}")).alias(f"prev_{c}") for c in sticky],
-        *[F.coalesce(F.col(f"_in_n_{c}"), F.col(f"_c_n_{c}")).alias(f"next_{c}") for c in following],
-    )
+    def previous(self, sticky: Sequence[str]) -> Timeline:
+        """Adds ``prev_<c>``: the last non-null c of the earlier rows of the key."""
+        before = self._window().rowsBetween(Window.unboundedPreceding, -1)
+        inside = self.rows.withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(before) for c in sticky})
+        if self.split:
+            position = F.struct(*self.order)
+            ends = self.rows.groupBy(*self.keys, BUCKET).agg(*[
+                F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_last_{c}") for c in sticky
+            ])
+            earlier = self._buckets().rowsBetween(Window.unboundedPreceding, -1)
+            carry = ends.select(*self.keys, BUCKET, *[
+                F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_carry_{c}") for c in sticky
+            ])
+            inside = inside.join(carry, [*self.keys, BUCKET]).select(*self.rows.columns, *[
+                F.coalesce(F.col(f"prev_{c}"), F.col(f"_carry_{c}")).alias(f"prev_{c}") for c in sticky
+            ])
+        self.rows = inside
+        return self
 
+    def running_count(self, flag: Column, name: str) -> Timeline:
+        """Adds the number of flagged rows up to and including this one."""
+        rows = self.rows.withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0).cast("long")))
+        upto = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        inside = rows.withColumn(name, F.sum("_flag").over(upto))
+        if self.split:
+            sums = rows.groupBy(*self.keys, BUCKET).agg(F.sum("_flag").alias("_sum"))
+            earlier = self._buckets().rowsBetween(Window.unboundedPreceding, -1)
+            carry = sums.select(*self.keys, BUCKET, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry"))
+            inside = inside.join(carry, [*self.keys, BUCKET]).withColumn(name, F.col(name) + F.col("_carry")).drop("_carry")
+        self.rows = inside.drop("_flag")
+        return self
 
-def with_running_count(
-    df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], flag: Column, name: str,
-    seconds: int = BUCKET_SECONDS,
-) -> DataFrame:
-    """Adds the number of flagged rows up to and including this one."""
-    keys = list(keys)
-    base = with_bucket(df, time, seconds)
-    rows = base.withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
-    upto = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumn("_in_run", F.sum("_flag").over(upto))
-    carry = rows.groupBy(*keys, BUCKET).agg(F.sum("_flag").alias("_sum")).select(
-        *keys, BUCKET, F.coalesce(F.sum("_sum").over(_earlier(keys)), F.lit(0)).alias("_carry_run")
-    )
-    return inside.join(carry, keys + [BUCKET]).select(
-        *base.columns, (F.col("_in_run") + F.col("_carry_run")).alias(name)
-    )
+    def frame(self) -> DataFrame:
+        return self.rows.drop(BUCKET)
