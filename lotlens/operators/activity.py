@@ -128,11 +128,13 @@ def activity_summary(
     likely = hypotheses.where((F.col("bucket") == "likely_deal") & (F.col("created_at") >= start)).join(
         side.select(*KEY), KEY, "left_semi")
     parts = [
-        per.agg(F.explode(F.array(
-            F.struct(F.lit("new_listings").alias("k"), F.coalesce(F.sum("appeared"), F.lit(0)).alias("n")),
-            F.struct(F.lit("relisted").alias("k"), F.coalesce(F.sum("relisted"), F.lit(0)).alias("n")),
-            F.struct(F.lit("price_drops").alias("k"), F.count_if(F.col("price_drops") > 0).alias("n")),
-        )).alias("_p")).select("_p.k", "_p.n"),
+        per.agg(
+            F.coalesce(F.sum("appeared"), F.lit(0)).alias("new_listings"),
+            F.coalesce(F.sum("relisted"), F.lit(0)).alias("relisted"),
+            F.count_if(F.col("price_drops") > 0).alias("price_drops"),
+        ).select(F.explode(F.create_map(*[
+            x for c in ("new_listings", "relisted", "price_drops") for x in (F.lit(c), F.col(c))
+        ])).alias("k", "n")),
         vanished_properties(events, properties, start, deal_type).agg(F.lit("vanished").alias("k"), F.count(F.lit(1)).alias("n")),
         marked.agg(F.lit("sold_or_rented").alias("k"), F.count(F.lit(1)).alias("n")),
         likely.agg(F.lit("likely_deals").alias("k"), F.count(F.lit(1)).alias("n")),
