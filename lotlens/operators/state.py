@@ -123,7 +123,8 @@ def next_listings(merged: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
     seen, known = F.col("new").isNotNull(), F.col("old").isNotNull()
     status = map_status(_raw_status())
     dropped = F.coalesce(_new("price") < _old("price"), F.lit(False)).cast("int")
-    gone_at = F.when(status != "vanished", None).when(
+    kept = F.when(_old("status") != "vanished", _old("vanished_at"))
+    gone_at = F.when(status != "vanished", kept).when(
         known & (_old("status") != "vanished"), F.coalesce(_old("vanished_at"), _new("seen_at"))
     ).otherwise(_new("seen_at"))
     value: dict[str, Column] = {c: F.coalesce(_new(c), _old(c)) for c in CARD_COLUMNS}
