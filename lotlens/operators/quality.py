@@ -251,10 +251,9 @@ def opex_counts(backfilled: DataFrame) -> DataFrame:
 
 
 def migrate_flags(listings: DataFrame) -> DataFrame:
-    """Exclusion flag from the stored markers, for rows that never had the flag."""
-    marked = F.coalesce(F.col("raw_extra.stats_auto_excluded"), F.lit(False)) | F.coalesce(
-        F.col("raw_extra.stats_exclude_manual"), F.lit(False))
-    return listings.withColumn("exclude_from_stats", F.coalesce("exclude_from_stats", marked))
+    """Exclusion flag raised on rows whose stored marker says the price is suspicious."""
+    marked = F.coalesce(F.col("raw_extra.price_suspicious"), F.lit(False))
+    return listings.withColumn("exclude_from_stats", F.coalesce("exclude_from_stats", F.lit(False)) | marked)
 
 
 def keep_in_region(df: DataFrame, url: Column | None = None) -> DataFrame:
