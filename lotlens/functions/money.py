@@ -105,44 +105,44 @@ def fix_rent_currency(
     )
 
 
-def sanitize_rate(
-    price: Column, currency: Column, area: Column, deal_type: Column, rate: Column,
+def with_sane_rate(
+    df: DataFrame, name: str = "price_per_sqm", rate: str = "price_per_sqm", currency: str = "currency",
     cfg: MarketConfig = DEFAULT,
-) -> Column:
-    """The stored rate, or price/area when the stored one cannot be right."""
-    implied = implied_rate(price, area)
-    implied_usd, stored_usd = to_usd(implied, currency, cfg), to_usd(rate, currency, cfg)
-    is_total = F.abs(rate - price) / F.greatest(price, F.lit(1.0)) < 0.02
-    over_ceiling = is_rent(deal_type) & (stored_usd > cfg.rent_psm_max) & (implied_usd <= cfg.rent_psm_max)
+) -> DataFrame:
+    """The stored rate, or price/area when the stored one cannot be right.
+
+    Reads ``price``, ``area_sqm`` and ``deal_type``. Steps are separate columns, so that
+    each sub-expression is planned and computed once.
+    """
+    price, stored = F.col("price"), F.col(rate)
+    implied, implied_usd, stored_usd = F.col("_s_imp"), F.col("_s_impu"), F.col("_s_stu")
+    is_total = F.abs(stored - price) / F.greatest(price, F.lit(1.0)) < 0.02
+    over_ceiling = is_rent(F.col("deal_type")) & (stored_usd > cfg.rent_psm_max) & (implied_usd <= cfg.rent_psm_max)
     far_off = F.abs(stored_usd - implied_usd) / F.greatest(implied_usd, F.lit(0.5)) > 0.35
-    return (
-        F.when(implied.isNull(), rate)
-        .when(rate.isNull() | is_total, implied)
-        .when(implied_usd.isNull(), rate)
+    sane = (
+        F.when(implied.isNull(), stored)
+        .when(stored.isNull() | is_total, implied)
+        .when(implied_usd.isNull(), stored)
         .when(over_ceiling | far_off, implied)
-        .otherwise(rate)
+        .otherwise(stored)
     )
-
-
-def effective_rate_usd(
-    price: Column, currency: Column, area: Column, deal_type: Column, rate: Column,
-    cfg: MarketConfig = DEFAULT,
-) -> Column:
-    """USD per square metre after currency repair and rate sanitising."""
-    cur = fix_rent_currency(price, currency, area, deal_type, cfg=cfg)
-    usd = to_usd(sanitize_rate(price, cur, area, deal_type, rate, cfg), cur, cfg)
-    return F.when(usable(usd), usd)
-
-
-def listing_effective_rate(cfg: MarketConfig = DEFAULT) -> Column:
-    return effective_rate_usd(
-        F.col("price"), F.col("currency"), F.col("area_sqm"), F.col("deal_type"),
-        F.col("price_per_sqm"), cfg,
+    return (
+        df.withColumn("_s_imp", implied_rate(price, F.col("area_sqm")))
+        .withColumns({
+            "_s_impu": to_usd(implied, F.col(currency), cfg), "_s_stu": to_usd(stored, F.col(currency), cfg),
+        })
+        .withColumn(name, sane)
+        .drop("_s_imp", "_s_impu", "_s_stu")
     )
 
 
 def with_effective_rate(df: DataFrame, name: str = "rate_usd", cfg: MarketConfig = DEFAULT) -> DataFrame:
-    return df.withColumn(name, listing_effective_rate(cfg))
+    """USD per square metre of a listing after currency repair and rate sanitising."""
+    c = F.col
+    rows = df.withColumn("_e_cur", fix_rent_currency(c("price"), c("currency"), c("area_sqm"), c("deal_type"), cfg=cfg))
+    rows = with_sane_rate(rows, "_e_rate", "price_per_sqm", "_e_cur", cfg)
+    rows = rows.withColumn("_e_usd", to_usd(c("_e_rate"), c("_e_cur"), cfg))
+    return rows.withColumn(name, F.when(usable(c("_e_usd")), c("_e_usd"))).drop("_e_cur", "_e_rate", "_e_usd")
 
 
 def with_rate(
@@ -260,27 +260,31 @@ def normalize_price(df: DataFrame, name: str = "price_norm", cfg: MarketConfig =
         "_n_field": F.coalesce(F.when(F.col("price_per_sqm") != 0, F.col("price_per_sqm")), F.col("_n_rate")),
     })
     cur, rate, field, total = F.col("_n_cur"), F.col("_n_rate"), F.col("_n_field"), F.col("_n_total")
-    stated_cur = F.coalesce(F.col("_n_tcur"), cur)
-
     # A text with total and rate: the option closest to rate * area.
     def off(t: Column) -> Column:
         return F.abs(t / area - rate) / F.greatest(rate, F.lit(1.0))
 
     options = F.filter(F.array(total, F.round(rate * area, 2), price), lambda t: t.isNotNull())
     closest = F.array_min(F.transform(options, lambda t, i: F.struct(off(t).alias("e"), i.alias("i"), t.alias("t"))))["t"]
-    agreed = F.when(off(price) < 0.06, price).otherwise(closest)
-
-    usd = to_usd(price, cur, cfg)
-    implied = usd / area
-    floor = F.when(is_rent(deal), cfg.rent_psm_min).otherwise(cfg.sale_psm_floor)
+    staged = with_sane_rate(staged, "_n_clean", "_n_field", "_n_cur", cfg).withColumns({
+        "_n_agreed": F.when(off(price) < 0.06, price).otherwise(closest),
+        "_n_stated": F.coalesce(F.col("_n_tcur"), cur),
+        "_n_usd": to_usd(price, cur, cfg),
+        "_n_rusd": to_usd(rate, cur, cfg),
+    }).withColumn("_n_implied", F.col("_n_usd") / area).withColumns({
+        "_n_odd": suspicious_rate(F.col("_n_implied"), deal, cfg),
+        "_n_textodd": suspicious_rate(to_usd(F.col("_n_agreed"), F.col("_n_stated"), cfg) / area, deal, cfg),
+        "_n_ratesane": F.col("_n_rusd").isNotNull() & ~suspicious_rate(F.col("_n_rusd"), deal, cfg),
+        "_n_floor": F.when(is_rent(deal), cfg.rent_psm_min).otherwise(cfg.sale_psm_floor),
+    })
+    agreed, stated_cur, clean_rate = F.col("_n_agreed"), F.col("_n_stated"), F.col("_n_clean")
+    usd, implied, floor = F.col("_n_usd"), F.col("_n_implied"), F.col("_n_floor")
+    odd, rate_sane = F.col("_n_odd"), F.col("_n_ratesane")
     expanded = F.round(price * area, 2)
     expanded_rate = F.coalesce(field, price)
     as_rate_implausible = F.when(is_rent(deal), usd > cfg.rent_psm_max).otherwise(
         (usd < cfg.sale_psm_min) | (usd > cfg.sale_psm_max)
     )
-    clean_rate = sanitize_rate(price, cur, area, deal, field, cfg)
-    odd = suspicious_rate(implied, deal, cfg)
-    rate_sane = ~suspicious_rate(to_usd(rate, cur, cfg), deal, cfg) & to_usd(rate, cur, cfg).isNotNull()
 
     def out(p, c, r, re=False, sus=None, detail=None) -> Column:
         return F.struct(
@@ -295,8 +299,7 @@ def normalize_price(df: DataFrame, name: str = "price_norm", cfg: MarketConfig =
     verdict = (
         F.when(
             total.isNotNull() & rate.isNotNull() & (area > 0),
-            out(agreed, stated_cur, rate, sus=suspicious_rate(to_usd(agreed, stated_cur, cfg) / area, deal, cfg),
-                detail="text_total_and_psm"),
+            out(agreed, stated_cur, rate, sus=F.col("_n_textodd"), detail="text_total_and_psm"),
         )
         .when(
             (price.isNull() | area.isNull()) & rate.isNotNull() & field.isNull(),
@@ -311,4 +314,5 @@ def normalize_price(df: DataFrame, name: str = "price_norm", cfg: MarketConfig =
         .when(odd & rate_sane, out(F.round(rate * area, 2), cur, rate, detail="repair_absurd_from_text_psm"))
         .otherwise(out(price, cur, clean_rate, sus=odd))
     )
-    return staged.withColumn(name, verdict).drop("_n_text", "_n_rate", "_n_rcur", "_n_total", "_n_tcur", "_n_cur", "_n_field")
+    rows = staged.withColumn(name, verdict)
+    return rows.drop(*[c for c in rows.columns if c.startswith("_n_")])

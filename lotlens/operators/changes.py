@@ -160,6 +160,18 @@ def diff_observations(obs: DataFrame, runs: DataFrame | None = None, grace_hours
     return change_events(track_observations(obs, runs, grace_hours))
 
 
+def absence_events(tracked: DataFrame, state: DataFrame) -> DataFrame:
+    """Listing-level vanished events: gaps before a return, and listings still gone."""
+    keep = [c for c in ("property_key", "deal_type", "district") if c in tracked.columns]
+    gaps = tracked.where((F.col("stored_status") == "vanished") & (F.col("prev_mapped") == "active")).select(
+        *KEY, *keep, F.col("stored_vanished_at").alias("occurred_at"))
+    open_ = state.where((F.col("status") == "vanished") & (map_status(F.col("source_status_raw")) == "active")).select(
+        *KEY, *keep, F.col("vanished_at").alias("occurred_at"))
+    rows = gaps.unionByName(open_).withColumn("event_type", F.lit("vanished"))
+    return rows.withColumn(
+        "event_id", append_key(*[F.col(c) for c in KEY], F.col("event_type"), F.col("occurred_at")))
+
+
 def _differs(new: Column, old: Column) -> Column:
     """Numbers apart by at least 0.01, or only one of them known."""
     return F.coalesce(F.abs(new - old) >= 0.01, new.isNotNull() | old.isNotNull())
@@ -180,12 +192,13 @@ def card_changed(new, old) -> Column:
 
 def fold_observations(
     obs: DataFrame, runs: DataFrame | None = None, grace_hours: int = 6, idle_hours: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    as_of: Column | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Current listings of a log: the state after its last observation, one row per key.
 
     Sticky columns keep their last known value, the url and deal type are always the
-    newest, all by aggregates. A listing that a later run missed is vanished.
+    newest, all by aggregates. A listing that a later run missed (or that stayed idle until
+    ``as_of``) is vanished.
     """
     position = F.struct(*ORDER)
     tracked = track_observations(obs, runs, grace_hours, idle_hours, hot_rows=hot_rows)
@@ -200,6 +213,8 @@ def fold_observations(
     state = _missed(folded, "last_seen_at", runs, grace_hours, idle_hours, "_missed")
     mapped = map_status(F.col("source_status_raw"))
     gone = (mapped == "active") & F.col("_missed").isNotNull()
+    if as_of is not None:
+        gone = gone & (F.col("_missed") <= as_of)
     return state.withColumns({
         "status": F.when(gone, "vanished").otherwise(mapped),
         "vanished_at": F.when(gone, F.col("_missed")).when(mapped == "vanished", F.col("last_seen_at")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotlens.config import ACTIVE_STATUSES, DEFAULT, MarketConfig
 from lotlens.functions import rules
-from lotlens.functions.money import in_band, listing_effective_rate, to_usd
+from lotlens.functions.money import in_band, to_usd, with_effective_rate
 from lotlens.functions.text import any_contains, blank_safe, listing_district, resolve_opex
 from lotlens.operators.relational import exact_median
 from lotlens.session import scratch
@@ -269,11 +269,11 @@ def with_market_reference(listings: DataFrame, market: DataFrame) -> DataFrame:
 
 def with_market_hint(listings: DataFrame, market: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
     """Discount of the repaired rate against the reference median; 12 % or more is a hint."""
-    ref, rate = F.col("ref_median_psm"), F.col("_rate")
-    share = F.when(ref > 0, (ref - rate) / ref)
+    referred = with_effective_rate(with_market_reference(listings, market), "_rate", cfg)
+    ref = F.col("ref_median_psm")
+    referred = referred.withColumn("_share", F.when(ref > 0, (ref - F.col("_rate")) / ref))
     counted = ~F.coalesce("exclude_from_stats", F.lit(False))
-    referred = with_market_reference(listings, market).withColumn("_rate", listing_effective_rate(cfg))
     return referred.withColumns({
-        "below_market": F.coalesce(counted & (share >= cfg.below_market_threshold), F.lit(False)),
-        "discount_pct": F.when(counted, F.round(share * 100, 1)),
-    }).drop("_rate")
+        "below_market": F.coalesce(counted & (F.col("_share") >= cfg.below_market_threshold), F.lit(False)),
+        "discount_pct": F.when(counted, F.round(F.col("_share") * 100, 1)),
+    }).drop("_rate", "_share")

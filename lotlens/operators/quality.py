@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotlens.config import DEFAULT, MarketConfig
 from lotlens.functions.money import (
-    listing_effective_rate, normalize_price, null_bad_price, sanitize_rate, suspicious_rate, to_usd,
+    normalize_price, null_bad_price, suspicious_rate, to_usd, with_effective_rate, with_sane_rate,
 )
 from lotlens.functions.rules import TARGET_SEGMENTS
 from lotlens.functions.segments import classify_segment
@@ -50,7 +50,7 @@ def price_audit(listings: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
     """Counters of common price faults, one pass: (metric, n)."""
     c = F.col
     live = is_active()
-    rate, price, area = listing_effective_rate(cfg), c("price"), c("area_sqm")
+    rate, price, area = c("_rate"), c("price"), c("area_sqm")
     known = price.isNotNull() & area.isNotNull()
     flags = {
         "active_listings": live,
@@ -62,7 +62,7 @@ def price_audit(listings: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
         "out_of_region": live & (c("source") == REGION_SOURCE) & (blank_safe(c("url")) != "") & ~in_region(c("url")),
         "flagged_suspicious": (c("deal_type") == "rent") & c("raw_extra.price_suspicious"),
     }
-    counted = listings.agg(*[F.count_if(F.coalesce(f, F.lit(False))).alias(n) for n, f in flags.items()])
+    counted = with_effective_rate(listings, "_rate", cfg).agg(*[F.count_if(F.coalesce(f, F.lit(False))).alias(n) for n, f in flags.items()])
     return long_counts(counted, *flags)
 
 
@@ -102,10 +102,10 @@ def detail_worklist(batch: DataFrame, listings: DataFrame, per_source: int) -> D
 
 def refresh_worklist(listings: DataFrame, limit: int, min_sale: float = 10_000.0, cfg: MarketConfig = DEFAULT) -> DataFrame:
     """Active listings whose rate is implausibly high, for a price re-check."""
-    rate = listing_effective_rate(cfg)
+    rate = F.col("rate_usd")
     odd = ((F.col("deal_type") == "sale") & (rate >= min_sale)) | ((F.col("deal_type") == "rent") & (rate > cfg.rent_psm_max))
     rows = listings.where(is_active() & F.col("url").isNotNull() & (F.col("price") != 0) & (F.col("area_sqm") != 0))
-    return rows.withColumn("rate_usd", rate).where(odd).orderBy(*KEY).limit(limit)
+    return with_effective_rate(rows, "rate_usd", cfg).where(odd).orderBy(*KEY).limit(limit)
 
 
 # --- maintenance --------------------------------------------------------------------------------
@@ -120,17 +120,16 @@ def fix_prices(listings: DataFrame, statuses: list[str] | None = None, cfg: Mark
     rows = rows.withColumns({
         "price": F.coalesce(norm("price"), F.col("price")), "currency": F.coalesce(norm("currency"), F.col("currency")),
     })
-    rows = rows.withColumn("price_per_sqm", F.coalesce(
-        sanitize_rate(F.col("price"), F.col("currency"), F.col("area_sqm"), F.col("deal_type"), norm("price_per_sqm"), cfg),
-        norm("price_per_sqm"), F.col("price_per_sqm"),
-    ))
+    rows = with_sane_rate(rows.withColumn("_nrate", norm("price_per_sqm")), "_sane_rate", "_nrate", "currency", cfg)
+    rows = rows.withColumn("price_per_sqm", F.coalesce("_sane_rate", "_nrate", "price_per_sqm"))
+    rows = with_effective_rate(rows, "_rate1", cfg)
     extra, detail = F.col("raw_extra"), norm("detail")
     moved = ~(
         F.col("price").eqNullSafe(before["price"]) & F.col("currency").eqNullSafe(before["currency"])
         & F.col("price_per_sqm").eqNullSafe(before["price_per_sqm"])
     )
     from_text = detail.isin("text_total_and_psm", "repair_absurd_from_text_psm")
-    too_dear = listing_effective_rate(cfg) > cfg.rent_psm_max
+    too_dear = F.col("_rate1") > cfg.rent_psm_max
     expanded_before = F.coalesce(extra["price_was_psm"], F.lit(False)) & (F.col("deal_type") == "rent")
     rollback = ~from_text & ~norm("reinterpreted") & expanded_before & F.coalesce(too_dear, F.lit(False))
     rate_usd = to_usd(F.col("price_per_sqm"), F.col("currency"), cfg)
@@ -146,8 +145,8 @@ def fix_prices(listings: DataFrame, statuses: list[str] | None = None, cfg: Mark
         ),
         "price": F.when(back & sane, F.round(F.col("price_per_sqm") * F.col("area_sqm"), 2)).otherwise(F.col("price")),
     })
-    odd = suspicious_rate(listing_effective_rate(cfg), F.col("deal_type"), cfg) | norm("suspicious")
-    rows = rows.withColumn("_odd", odd)
+    rows = with_effective_rate(rows, "_rate2", cfg)
+    rows = rows.withColumn("_odd", suspicious_rate(F.col("_rate2"), F.col("deal_type"), cfg) | norm("suspicious"))
     flag, auto = apply_exclusion(F.col("_odd"), F.col("exclude_from_stats"), F.col("raw_extra"))
     rows = rows.withColumns({
         "exclude_from_stats": flag,

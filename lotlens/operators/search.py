@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotlens.config import DEFAULT, SORT_MODES, MarketConfig
 from lotlens.functions import rules
-from lotlens.functions.money import listing_effective_rate, to_usd, usable
+from lotlens.functions.money import to_usd, usable, with_effective_rate
 from lotlens.functions.text import classify_seller, phone_digits
 from lotlens.operators.changes import KEY
 from lotlens.operators.market import is_active, with_market_hint
@@ -103,23 +103,29 @@ def days_on_market(first_seen: Column, as_of: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(seconds / 86_400)).cast("int")
 
 
-def sort_order(mode: str, as_of: Column, cfg: MarketConfig = DEFAULT) -> list[Column]:
-    """Order columns of a sort mode: nulls last, ties by key."""
+def with_sort_key(df: DataFrame, mode: str, as_of: Column, cfg: MarketConfig = DEFAULT) -> tuple[DataFrame, list[Column]]:
+    """Listings with the ``_sort`` column of a mode and the order over it: nulls last, ties by key."""
     if mode not in SORT_MODES:
         mode = "newest"
     if mode in ("newest", "oldest"):
-        seen = F.col("first_seen_at")
-        return [seen.desc_nulls_last() if mode == "newest" else seen.asc_nulls_last(), *[F.col(k) for k in KEY]]
-    what, way = mode.rsplit("_", 1)
-    value = {
-        "price": to_usd(F.col("price"), F.col("currency"), cfg), "area": F.col("area_sqm"),
-        "psm": listing_effective_rate(cfg), "dom": days_on_market(F.col("first_seen_at"), as_of),
-    }[what]
-    return [value.asc_nulls_last() if way == "asc" else value.desc_nulls_last(), *[F.col(k) for k in KEY]]
+        rows, way = df.withColumn("_sort", F.col("first_seen_at")), "desc" if mode == "newest" else "asc"
+    else:
+        what, way = mode.rsplit("_", 1)
+        if what == "psm":
+            rows = with_effective_rate(df, "_sort", cfg)
+        else:
+            value = {
+                "price": to_usd(F.col("price"), F.col("currency"), cfg), "area": F.col("area_sqm"),
+                "dom": days_on_market(F.col("first_seen_at"), as_of),
+            }[what]
+            rows = df.withColumn("_sort", value)
+    key = F.col("_sort")
+    return rows, [key.asc_nulls_last() if way == "asc" else key.desc_nulls_last(), *[F.col(k) for k in KEY]]
 
 
 def sort_listings(df: DataFrame, mode: str, as_of: Column, cfg: MarketConfig = DEFAULT) -> DataFrame:
-    return df.orderBy(*sort_order(mode, as_of, cfg))
+    rows, order = with_sort_key(df, mode, as_of, cfg)
+    return rows.orderBy(*order).drop("_sort")
 
 
 def facets(df: DataFrame, deal_type: str) -> DataFrame:

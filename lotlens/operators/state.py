@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.config import DEFAULT, MarketConfig
-from lotlens.functions.money import listing_effective_rate, normalize_price, null_bad_price, sanitize_rate, suspicious_rate
+from lotlens.functions.money import normalize_price, null_bad_price, suspicious_rate, with_effective_rate, with_sane_rate
 from lotlens.functions.identity import with_fingerprint
 from lotlens.functions.segments import classify_segment
 from lotlens.functions import rules
@@ -74,9 +74,8 @@ def clean_observations(obs: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame
     rows = rows.withColumns({"price": F.col("_norm.price"), "currency": currency})
     text = join_text(F.col("title"), F.col("description"))
     extra, was_rate = F.col("extra"), F.col("_norm.reinterpreted")
+    rows = with_sane_rate(rows.withColumn("_nrate", F.col("_norm.price_per_sqm")), "price_per_sqm", "_nrate", "currency", cfg)
     rows = rows.withColumns({
-        "price_per_sqm": sanitize_rate(
-            F.col("price"), F.col("currency"), F.col("area_sqm"), F.col("deal_type"), F.col("_norm.price_per_sqm"), cfg),
         "extra": _extra_with(
             extra,
             cap_rate_pct=F.coalesce(cap_rate(text), extra["cap_rate_pct"]),
@@ -86,7 +85,7 @@ def clean_observations(obs: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame
             price_norm=F.when(was_rate, F.col("_norm.detail")).otherwise(extra["price_norm"]),
         ),
         "title": F.when(F.col("source") == JUNK_TITLE_SOURCE, strip_price_junk(F.col("title"))).otherwise(F.col("title")),
-    }).drop("_norm")
+    }).drop("_norm", "_nrate")
     return with_fingerprint(rows, "property_key")
 
 
@@ -147,7 +146,8 @@ def next_listings(merged: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
     rows = merged.select(seen.alias("_seen"), *[
         v.alias(k) for k, v in value.items() if k not in KEY
     ], *KEY)
-    odd = suspicious_rate(listing_effective_rate(cfg), F.col("deal_type"), cfg)
+    rows = with_effective_rate(rows, "_rate", cfg)
+    odd = suspicious_rate(F.col("_rate"), F.col("deal_type"), cfg)
     flag, auto = apply_exclusion(F.col("_odd"), F.col("exclude_from_stats"), F.col("raw_extra"))
     marked = _extra_with(F.col("raw_extra"), price_suspicious=F.when(F.col("_odd"), True), stats_auto_excluded=auto)
     out = [*CARD_COLUMNS, "raw_extra", "property_key", "status", "first_seen_at", "last_seen_at", "vanished_at",

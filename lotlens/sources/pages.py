@@ -488,7 +488,7 @@ def merge_details(listings: DataFrame, details: DataFrame) -> DataFrame:
         F.trim(F.substring_index(c("_title"), "—", 1)), r"(?iu),?\s*\d[\d\s.,]*\s*(грн|\$|usd|uah|євро|eur).*$", ""),
         r"^[ ,]+|[ ,]+$", ""))
     ld_address = F.coalesce("d_address", "address_raw")
-    longer = (head != "") & (blank_safe(ld_address) == "") | (F.length(head) > F.length(ld_address))
+    longer = (head != "") & ((blank_safe(ld_address) == "") | (F.length(head) > F.length(ld_address)))
     rieltor_address = F.coalesce(
         street_address(c("_title"), 50), F.trim(extract(c("_title"), r"(Ки[єе]в[^\|]{5,80})")),
         street_address(c("d_text"), 50), F.trim(extract(c("d_text"), r"(Ки[єе]в[^\|]{5,80})")), c("address_raw"))
