@@ -8,7 +8,7 @@ LOG_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 def rnd(x: str, digits: int) -> str:
     """Half-up rounding of the printed decimal value."""
-    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
 
 
 LV = f"""lv AS (
