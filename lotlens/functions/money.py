@@ -42,12 +42,10 @@ def clean_currency(currency: Column) -> Column:
 
 
 def to_usd(amount: Column, currency: Column, cfg: MarketConfig = DEFAULT) -> Column:
+    """Amount in USD, null for an unknown currency; names the amount once to keep plans small."""
     cur = clean_currency(currency)
-    return (
-        F.when(cur == "USD", amount)
-        .when(cur == "UAH", amount / cfg.uah_per_usd)
-        .when(cur == "EUR", amount * cfg.usd_per_eur)
-    )
+    times = F.when(cur == "EUR", cfg.usd_per_eur).when(cur.isin("USD", "UAH"), 1.0)
+    return amount * times / F.when(cur == "UAH", cfg.uah_per_usd).otherwise(1.0)
 
 
 def usable(x: Column) -> Column:
@@ -94,7 +92,7 @@ def fix_rent_currency(
     """Currency of a rent total: local when the text says so, or when only that is sane."""
     cur = clean_currency(currency)
     as_local = implied_rate_usd(price, F.lit("UAH"), area, cfg)
-    too_dear = implied_rate_usd(price, cur, area, cfg) > cfg.rent_psm_max
+    too_dear = F.round(price / area, 4) > cfg.rent_psm_max
     says_local = F.lit(False) if text is None else F.lower(blank_safe(text)).rlike(LOCAL_CURRENCY_PATTERN)
     applies = is_rent(deal_type) & usable(price) & usable(area)
     sane_local = as_local.between(cfg.rent_psm_min, cfg.rent_psm_max)

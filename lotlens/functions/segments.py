@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.functions import rules
-from lotlens.functions.text import WORD, any_contains, blank_safe, has_bc_word, join_text
+from lotlens.functions.text import WORD, any_contains, blank_safe, computed_once, has_bc_word, join_text
 
 
 def _verdict(relevant: bool, segment, reason: str) -> Column:
@@ -71,7 +71,7 @@ def segment_decision(
 
 
 def classify_segment(df: DataFrame, name: str = "segment_decision") -> DataFrame:
-    return (
+    decided = (
         df.withColumn("_seg_text", F.lower(join_text(F.col("title"), F.col("description"), F.col("address_raw"))))
         .withColumn("_seg_url", F.lower(blank_safe(F.col("url"))))
         .withColumn(
@@ -83,6 +83,7 @@ def classify_segment(df: DataFrame, name: str = "segment_decision") -> DataFrame
         )
         .drop("_seg_text", "_seg_url")
     )
+    return computed_once(decided, name)
 
 
 def keep_relevant(df: DataFrame, name: str = "segment_decision") -> DataFrame:

@@ -17,7 +17,7 @@ NUMBER = r"(?:\d{1,3}(?:[ \u00a0]?\d{3}){1,3}|\d+(?:[.,]\d+)?)"
 
 
 def none_if_empty(col: Column) -> Column:
-    return F.when(col == "", None).otherwise(col)
+    return F.nullif(col, F.lit(""))
 
 
 def blank_safe(col: Column) -> Column:
@@ -29,6 +29,17 @@ def join_text(*cols: Column) -> Column:
     return F.concat_ws(" ", *[none_if_empty(c) for c in cols])
 
 
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """Puts computed columns behind a generator of one row.
+
+    A filter on a plain computed column is moved below it and repeats its whole rule chain;
+    past a generator it reads the value.
+    """
+    rest = [c for c in df.columns if c not in names]
+    boxed = df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_once"))
+    return boxed.select(*[F.col(f"_once.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
 def any_contains(col: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
 

@@ -11,9 +11,9 @@ from lotlens.functions.money import (
 )
 from lotlens.functions.rules import TARGET_SEGMENTS
 from lotlens.functions.segments import classify_segment
-from lotlens.functions.text import blank_safe, detect_opex, in_region, strip_price_junk
+from lotlens.functions.text import blank_safe, computed_once, detect_opex, in_region, strip_price_junk
 from lotlens.operators.changes import KEY, card_changed
-from lotlens.operators.market import is_active
+from lotlens.operators.market import is_active, stored
 from lotlens.operators.relational import top_n_per_group
 from lotlens.operators.state import JUNK_TITLE_SOURCE, _extra_with, apply_exclusion
 
@@ -105,7 +105,8 @@ def refresh_worklist(listings: DataFrame, limit: int, min_sale: float = 10_000.0
     rate = F.col("rate_usd")
     odd = ((F.col("deal_type") == "sale") & (rate >= min_sale)) | ((F.col("deal_type") == "rent") & (rate > cfg.rent_psm_max))
     rows = listings.where(is_active() & F.col("url").isNotNull() & (F.col("price") != 0) & (F.col("area_sqm") != 0))
-    return with_effective_rate(rows, "rate_usd", cfg).where(odd).orderBy(*KEY).limit(limit)
+    rated = computed_once(with_effective_rate(rows, "rate_usd", cfg), "rate_usd")
+    return rated.where(odd).orderBy(*KEY).limit(limit)
 
 
 # --- maintenance --------------------------------------------------------------------------------
@@ -201,6 +202,7 @@ def cascade_delete(tables: dict[str, DataFrame], removed: DataFrame, lost: DataF
 
 
 def _removal(tables: dict[str, DataFrame], kept: DataFrame, removed: DataFrame) -> dict[str, DataFrame]:
+    """All tables after listings are removed: children cascade, premises left alone go too."""
     lost = orphans(tables["properties"], kept)
     children = {n: tables[n] for n in ("snapshots", "events", "hypotheses") if n in tables}
     out = cascade_delete(children, removed, lost.select(F.col("fingerprint").alias("property_key")))
@@ -212,11 +214,15 @@ def _removal(tables: dict[str, DataFrame], kept: DataFrame, removed: DataFrame)
 
 
 def clean_junk(tables: dict[str, DataFrame], cfg: MarketConfig = DEFAULT) -> dict[str, DataFrame]:
-    """Removes out-of-region listings with their children, nulls bad prices, drops orphans."""
+    """Removes out-of-region listings with their children, nulls bad prices, drops orphans.
+
+    The keys to remove are decided once and stored, as five tables read them.
+    """
     rows = tables["listings"]
     outside = (F.col("source") == REGION_SOURCE) & (blank_safe(F.col("url")) != "") & ~in_region(F.col("url"))
-    kept = rows.where(~outside).withColumn("price", null_bad_price(F.col("price"), cfg))
-    return _removal(tables, kept, rows.where(outside))
+    removed = stored(rows.where(outside).select(*KEY), "removed")
+    kept = rows.join(removed, KEY, "left_anti").withColumn("price", null_bad_price(F.col("price"), cfg))
+    return _removal(tables, kept, removed)
 
 
 def reclassify(listings: DataFrame) -> DataFrame:
@@ -228,13 +234,19 @@ def reclassify(listings: DataFrame) -> DataFrame:
 
 
 def prune_irrelevant(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Removes irrelevant listings with children and orphans; target segments re-tag the rest."""
-    rows = classify_segment(tables["listings"])
+    """Removes irrelevant listings with children and orphans; target segments re-tag the rest.
+
+    The texts are classified once; the decisions are stored, as five tables read them.
+    """
+    rows = tables["listings"]
     segment = F.col("segment_decision.segment")
-    tag = F.when(segment.isin(*TARGET_SEGMENTS), segment).otherwise(F.col("property_type"))
-    good = F.col("segment_decision.relevant")
-    kept = rows.where(good).withColumn("property_type", tag).drop("segment_decision")
-    return _removal(tables, kept, rows.where(~good).drop("segment_decision"))
+    decided = stored(classify_segment(rows).select(
+        *KEY, F.col("segment_decision.relevant").alias("_good"),
+        F.when(segment.isin(*TARGET_SEGMENTS), segment).alias("_tag"),
+    ), "segments")
+    kept = rows.join(decided.where("_good"), KEY).withColumn(
+        "property_type", F.coalesce("_tag", "property_type")).select(*rows.columns)
+    return _removal(tables, kept, decided.where(~F.col("_good")).select(*KEY))
 
 
 def backfill_opex(listings: DataFrame) -> DataFrame:

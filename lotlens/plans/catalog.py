@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lotlens.plans import deal_queries, log_queries, market_queries, search_queries  # noqa: F401
+from lotlens.plans import deal_queries, log_queries, market_queries, search_queries, text_queries  # noqa: F401
 from lotlens.plans.registry import CHECKS, QUERIES  # noqa: F401
