@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from lotlens.config import DEFAULT, MarketConfig
 from lotlens.functions.text import (
-    NUMBER, blank_safe, extract, join_text, none_if_empty, parse_area, to_number,
+    NUMBER, any_contains, blank_safe, extract, join_text, none_if_empty, number_value, parse_area,
+    to_number,
 )
 
 INF = float("inf")
 
-# --- Fixed values: currency marks next to a number, per-metre units ---------------
+# --- Fixed values: currency marks next to a number, per-metre units (lower case) ----
 MARKS = {
-    "USD": (r"(?:USD|\$|дол(?:\.|арі|ларов)?)", r"(?:USD|\$|дол)"),
-    "EUR": (r"(?:EUR|€|євро)", r"(?:EUR|€|євро)"),
-    "UAH": (r"(?:UAH|₴|грн)", r"(?:UAH|₴|грн)"),
+    "USD": (r"(?:usd|\$|дол(?:\.|арі|ларов)?)", r"(?:usd|\$|дол)", ("usd", "$", "дол")),
+    "EUR": (r"(?:eur|€|євро)", r"(?:eur|€|євро)", ("eur", "€", "євро")),
+    "UAH": (r"(?:uah|₴|грн)", r"(?:uah|₴|грн)", ("uah", "₴", "грн")),
 }
-PER_METRE = r"(?:\s*(?:(?:USD|\$|UAH|₴|грн|EUR|€)\s*)?/\s*(?:м²|м2|m2|sqm)|\s*за\s*м(?:²|2))"
+PER_METRE = r"(?:\s*(?:(?:usd|\$|uah|₴|грн|eur|€)\s*)?/\s*(?:м²|м2|m2|sqm)|\s*за\s*м(?:²|2))"
 RATE_NUMBER = r"(\d{1,3}(?:[ \u00a0]?\d{3}){0,3}(?:[.,]\d+)?|\d+(?:[.,]\d+)?)"
-RATE_MARK = r"(USD|\$|UAH|₴|грн|EUR|€)?"
+RATE_MARK = r"(usd|\$|uah|₴|грн|eur|€)?"
 RATE_PATTERNS = (
-    rf"(?iu){RATE_NUMBER}\s*{RATE_MARK}\s*/\s*м(?:²|2)(?![\p{{L}}\p{{N}}_])",
-    rf"(?iu){RATE_NUMBER}\s*{RATE_MARK}\s*/\s*sqm(?![\p{{L}}\p{{N}}_])",
+    rf"{RATE_NUMBER}\s*{RATE_MARK}\s*/\s*м(?:²|2)(?![\p{{L}}\p{{N}}_])",
+    rf"{RATE_NUMBER}\s*{RATE_MARK}\s*/\s*sqm(?![\p{{L}}\p{{N}}_])",
 )
 LOCAL_CURRENCY_PATTERN = r"грн|uah|₴"
 PLAIN_NUMBER = r"(?<![\p{L}\p{N}_])((?:\d{1,3}(?:[ \u00a0]\d{3}){1,4}|\d{4,9}))(?:[.,]\d+)?(?![\p{L}\p{N}_])"
@@ -149,36 +150,44 @@ def with_rate(
 ) -> DataFrame:
     """First explicit "N per square metre" of a text and its currency (USD by default)."""
     metre, sqm = RATE_PATTERNS
-    raw = F.coalesce(extract(text, metre), extract(text, sqm))
-    mark = F.lower(F.when(extract(text, metre).isNotNull(), F.regexp_extract(text, metre, 2))
-                   .otherwise(F.regexp_extract(text, sqm, 2)))
-    cur = F.when(mark.isin("€", "eur"), "EUR").when(mark.isin("uah", "грн", "₴"), "UAH").otherwise("USD")
-    return df.withColumns({
-        value: to_number(raw, cfg.max_price),
-        currency: F.when(raw.isNotNull(), cur),
-    })
+    low, hit = F.col("_r_low"), F.col("_r_hit")
+    found = F.coalesce(
+        F.when(low.contains("/"), extract(low, metre, 0)), F.when(low.contains("sqm"), extract(low, sqm, 0)))
+    number = F.regexp_extract(hit, RATE_NUMBER, 1)
+    cur = (
+        F.when(hit.contains("€") | hit.contains("eur"), "EUR")
+        .when(hit.rlike(LOCAL_CURRENCY_PATTERN), "UAH").otherwise("USD")
+    )
+    return (
+        df.withColumn("_r_low", F.lower(text)).withColumn("_r_hit", found)
+        .withColumns({value: to_number(number, cfg.max_price), currency: F.when(hit.isNotNull(), cur)})
+        .drop("_r_low", "_r_hit")
+    )
 
 
-def _candidate(cur: str, cfg: MarketConfig):
+def _candidate(cur: str):
     return lambda m: F.struct(
         F.length(m).alias("len"),
-        to_number(F.regexp_extract(m, NUMBER + r"(?!\d)", 0), cfg.max_price).alias("value"),
+        number_value(F.regexp_extract(m, NUMBER + r"(?!\d)", 0)).alias("value"),
         F.lit(cur).alias("cur"),
     )
 
 
-def _candidates(text: Column, cfg: MarketConfig) -> Column:
-    """Array of (len, value, cur): numbers next to a currency mark that are not rates."""
+def _candidates(low: Column, cfg: MarketConfig) -> Column:
+    """Array of (len, value, cur): numbers next to a currency mark that are not rates.
+
+    ``low`` is lower-case text; a currency whose marks do not occur costs no regex.
+    """
+    empty = F.array().cast("array<struct<len:int,value:double,cur:string>>")
     arrays = []
-    for cur, (before, after) in MARKS.items():
+    for cur, (before, after, words) in MARKS.items():
         patterns = (
-            rf"(?iu)(?=({before}\s*[:\s]*{NUMBER}(?!\d)(?![ \u00a0]\d{{3}}(?!\d)))(?!{PER_METRE}))",
-            rf"(?iu)(?<![\d.,])(?=({NUMBER}\s*{after})(?!{PER_METRE}))",
+            rf"({before}\s*[:\s]*{NUMBER}(?!\d)(?![ \u00a0]\d{{3}}(?!\d)))(?!{PER_METRE})",
+            rf"(?<![\d.,])(?=({NUMBER}\s*{after})(?!{PER_METRE}))",
         )
-        for pattern in patterns:
-            found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-            arrays.append(F.transform(found, _candidate(cur, cfg)))
-    return F.filter(F.concat(*arrays), lambda c: c["value"].isNotNull())
+        found = F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in patterns])
+        arrays.append(F.when(any_contains(low, words), F.transform(found, _candidate(cur))).otherwise(empty))
+    return F.filter(F.concat(*arrays), lambda c: (c["value"] > 0) & (c["value"] <= cfg.max_price))
 
 
 def with_total_price(
@@ -191,24 +200,20 @@ def with_total_price(
     smallest relative error; a rate alone asks for at least 25 times the rate; otherwise
     USD goes first and the longest number wins (a shorter one is a tail of its digits).
     """
-    staged = with_rate(
-        df.withColumn("_t_text", text).withColumn("_t_cand", _candidates(F.col("_t_text"), cfg)),
-        F.col("_t_text"), "_t_rate", "_t_rcur", cfg,
-    ).withColumn("_t_area", parse_area(F.col("_t_text")))
-    cand, rate, rate_cur, area = (F.col(c) for c in ("_t_cand", "_t_rate", "_t_rcur", "_t_area"))
+    low, cand, rate, rate_cur, area = (F.col(c) for c in ("_t_low", "_t_cand", "_t_rate", "_t_rcur", "_t_area"))
+    staged = df.withColumn("_t_low", F.lower(text))
+    staged = with_rate(staged, low, "_t_rate", "_t_rcur", cfg).withColumns({
+        "_t_cand": _candidates(low, cfg), "_t_area": parse_area(low),
+    })
 
     def error(c: Column) -> Column:
-        return F.when(
-            c["cur"] == rate_cur, F.abs(c["value"] / area - rate) / F.greatest(rate, F.lit(1.0))
-        ).otherwise(999.0)
+        off = F.abs(c["value"] / area - rate) / F.greatest(rate, F.lit(1.0))
+        return F.when(c["cur"] == rate_cur, off).otherwise(999.0)
 
     def nearest(items: Column) -> Column:
         return F.array_min(F.transform(items, lambda c: F.struct(
             error(c).alias("err"), (-c["len"]).alias("len"), c["value"].alias("value"), c["cur"].alias("cur"))))
 
-    def longest(items: Column) -> Column:
-        return F.array_max(items)
-
     def largest(items: Column) -> Column:
         return F.array_max(F.transform(items, lambda c: F.struct(
             c["value"].alias("value"), c["len"].alias("len"), c["cur"].alias("cur"))))
@@ -216,33 +221,33 @@ def with_total_price(
     def pick(c: Column) -> Column:
         return F.struct(c["value"].alias("value"), c["cur"].alias("cur"))
 
-    usd = F.filter(cand, lambda c: c["cur"] == "USD")
-    plausible = F.filter(usd, lambda c: c["value"] / rate >= 25)
-    low = F.lower(F.col("_t_text"))
+    staged = staged.withColumn("_t_usd", F.filter(cand, lambda c: c["cur"] == "USD")).withColumns({
+        "_t_good": F.filter(F.col("_t_usd"), lambda c: c["value"] / rate >= 25),
+        "_t_near": F.when(rate.isNotNull() & area.isNotNull() & (F.size(cand) > 1), nearest(cand)),
+    })
+    usd, plausible, near = F.col("_t_usd"), F.col("_t_good"), F.col("_t_near")
     bare_cur = (
-        F.when(low.rlike(r"\$|usd|дол"), "USD").when(low.rlike(r"€|eur|євро"), "EUR")
-        .when(low.rlike(LOCAL_CURRENCY_PATTERN), "UAH")
+        F.when(any_contains(low, MARKS["USD"][2]), "USD").when(any_contains(low, MARKS["EUR"][2]), "EUR")
+        .when(any_contains(low, MARKS["UAH"][2]), "UAH")
     )
     bare = F.struct(
-        F.when(bare_cur.isNotNull(), to_number(extract(F.col("_t_text"), PLAIN_NUMBER), cfg.max_price)).alias("value"),
+        F.when(bare_cur.isNotNull(), to_number(extract(low, PLAIN_NUMBER), cfg.max_price)).alias("value"),
         bare_cur.alias("cur"),
     )
-    both = rate.isNotNull() & area.isNotNull()
+    usd_rules = F.exists(cand, lambda c: c["cur"] == "UAH") | (F.size(usd) == F.size(cand))
     choice = (
         F.when(F.size(cand) == 0, bare)
         .when(F.size(cand) == 1, pick(F.element_at(cand, 1)))
-        .when(both & (nearest(cand)["err"] < 0.18), pick(nearest(cand)))
-        .when(both & (F.size(plausible) > 0), pick(nearest(plausible)))
-        .when(rate.isNotNull() & (F.size(plausible) > 0), pick(longest(plausible)))
-        .when(F.size(usd) > 0, F.when(
-            F.exists(cand, lambda c: c["cur"] == "UAH") | (F.size(usd) == F.size(cand)), pick(longest(usd))
-        ).otherwise(pick(largest(cand))))
+        .when(near["err"] < 0.18, pick(near))
+        .when((F.size(plausible) > 0) & near.isNotNull(), pick(nearest(plausible)))
+        .when(F.size(plausible) > 0, pick(F.array_max(plausible)))
+        .when((F.size(usd) > 0) & usd_rules, pick(F.array_max(usd)))
         .otherwise(pick(largest(cand)))
     )
     return (
         staged.withColumn("_t_pick", choice)
         .withColumns({value: F.col("_t_pick.value"), currency: F.col("_t_pick.cur")})
-        .drop("_t_text", "_t_cand", "_t_rate", "_t_rcur", "_t_area", "_t_pick")
+        .drop("_t_low", "_t_cand", "_t_rate", "_t_rcur", "_t_area", "_t_usd", "_t_good", "_t_near", "_t_pick")
     )
 
 

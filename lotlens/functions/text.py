@@ -80,13 +80,15 @@ def phone_digits(col: Column) -> Column:
     return F.when(F.length(digits) >= 9, F.right(digits, F.lit(10)))
 
 
-def to_number(col: Column, maximum: float | None = None) -> Column:
-    """A positive finite number written with blanks, decimal comma or dot groups."""
+def number_value(col: Column) -> Column:
+    """Double written with blanks, a decimal comma or dot groups (1.234.567)."""
     plain = F.translate(F.translate(col, " \u00a0", ""), ",", ".")
-    plain = F.when(
-        plain.rlike(r"^\d{1,3}(\.\d{3})+$"), F.regexp_replace(plain, r"\.", "")
-    ).otherwise(plain)
-    value = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
+    return F.regexp_replace(plain, r"(?<=^\d{1,3}(?:\.\d{3}){0,5})\.(?=(?:\d{3}\.)*\d{3}$)", "").try_cast("double")
+
+
+def to_number(col: Column, maximum: float | None = None) -> Column:
+    """A positive finite number; anything that is not a plain number is null."""
+    value = F.when(F.translate(col, " \u00a0", "").rlike(r"^[+-]?[\d.,]+(?:[eE][+-]?\d+)?$"), number_value(col))
     ok = (value > 0) & (value < float("inf"))
     if maximum is not None:
         ok = ok & (value <= maximum)
@@ -94,15 +96,17 @@ def to_number(col: Column, maximum: float | None = None) -> Column:
 
 
 def parse_area(col: Column) -> Column:
-    raw = extract(col, r"(?iu)(\d+(?:[.,]\d+)?)\s*(?:м²|м2|кв\.?\s*м)")
+    low = F.lower(col)
+    raw = F.when(any_contains(low, ("м²", "м2", "кв")), extract(low, r"(\d+(?:[.,]\d+)?)\s*(?:м²|м2|кв\.?\s*м)"))
     value = F.translate(raw, ",", ".").try_cast("double")
     return F.when((value > 0) & (value <= DEFAULT.max_area), value)
 
 
 def parse_floor(col: Column) -> Column:
-    before = extract(col, r"(?iu)(-?\d+)\s*(?:поверх|эт\.?|floor)")
-    after = extract(col, r"(?iu)(?:поверх|эт\.?|floor)\s*[:\-]?\s*(-?\d+)")
-    return F.coalesce(before, after).try_cast("int")
+    low = F.lower(col)
+    before = extract(low, r"(-?\d+)\s*(?:поверх|эт\.?|floor)")
+    after = extract(low, r"(?:поверх|эт\.?|floor)\s*[:\-]?\s*(-?\d+)")
+    return F.when(any_contains(low, ("поверх", "эт", "floor")), F.coalesce(before, after).try_cast("int"))
 
 
 def with_area_floor(df: DataFrame, text: Column, area: str = "area_sqm", floor: str = "floor") -> DataFrame:

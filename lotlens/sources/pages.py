@@ -15,7 +15,7 @@ from lotlens.config import DEFAULT
 from lotlens.functions import rules
 from lotlens.functions.money import with_rate, with_total_price
 from lotlens.functions.text import (
-    any_contains, blank_safe, count_contains, extract, extract_phones, guess_type, in_region, join_text,
+    any_contains, blank_safe, computed_once, count_contains, extract, extract_phones, guess_type, in_region, join_text,
     listing_id_from_url, none_if_empty, parse_area, parse_floor, street_address,
 )
 from lotlens.operators.relational import earliest_by
@@ -259,12 +259,9 @@ def listings_from_json_ld(pages: DataFrame, source: str = "lun") -> DataFrame:
 
 def listings_from_state_json(pages: DataFrame, source: str = "olx", base: str = "https://www.olx.ua") -> DataFrame:
     """List pages that embed their state as an (escaped) JSON string: one card per ad."""
-    raw = extract(F.col("html"), STATE)
-    inner = get(F.try_parse_json(F.concat(F.lit('"'), raw, F.lit('"'))), "$")
-    state = F.coalesce(F.try_parse_json(raw), F.try_parse_json(inner))
     rows = pages.select(
         "deal_type", "fetched_at", F.col("url").alias("page_url"),
-        F.posexplode(get(state, "$.listing.listing.ads", "array<variant>")).alias("position", "_ad"),
+        F.posexplode(_state_ads(F.col("html"))).alias("position", "_ad"),
     )
     ad = F.col("_ad")
     title = F.trim(blank_safe(get(ad, "$.title")))
@@ -279,8 +276,7 @@ def listings_from_state_json(pages: DataFrame, source: str = "olx", base: str =
     city = F.coalesce(none_if_empty(city), F.lit("Київ"))
     url = _absolute(link, base)
     ext = get(ad, "$.id")
-    keep = (blank_safe(ext) != "") & link.isNotNull() & (F.length(title) >= 8)
-    return rows.where(keep).select("page_url", "position", *_card(
+    return rows.where(_usable_ad(ad)).select("page_url", "position", *_card(
         source=F.lit(source), external_id=ext, url=url, deal_type=F.col("deal_type"), title=F.substring(title, 1, 500),
         description=none_if_empty(F.substring(blank_safe(get(ad, "$.description")), 1, 5000)),
         property_type=guess_type(F.concat_ws(" ", title, url)),
@@ -527,19 +523,42 @@ def merge_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     ])
 
 
+def _state_ads(html: Column) -> Column:
+    """Ads of the embedded page state (text or escaped text); null when the page has none."""
+    raw = F.when(html.contains("__PRERENDERED_STATE__"), extract(html, STATE))
+    inner = get(F.try_parse_json(F.concat(F.lit('"'), raw, F.lit('"'))), "$")
+    state = F.coalesce(F.try_parse_json(raw), F.try_parse_json(inner))
+    return get(state, "$.listing.listing.ads", "array<variant>")
+
+
+def _usable_ad(ad: Column) -> Column:
+    link = F.coalesce(none_if_empty(get(ad, "$.url")), none_if_empty(get(ad, "$.urlPath")))
+    return (blank_safe(get(ad, "$.id")) != "") & link.isNotNull() & (F.length(F.trim(blank_safe(get(ad, "$.title")))) >= 8)
+
+
+def _olx(pages: DataFrame) -> DataFrame:
+    """Ads of the page state; anchors only on pages whose state names no usable ad."""
+    filled = F.coalesce(F.exists(_state_ads(F.col("html")), _usable_ad), F.lit(False))
+    routed = computed_once(pages.withColumn("_filled", filled), "_filled")
+    return listings_from_state_json(routed.where("_filled").drop("_filled")).unionByName(
+        listings_from_anchors(routed.where("not _filled").drop("_filled"), LINK_RULES["olx"]))
+
+
+def _rieltor(pages: DataFrame) -> DataFrame:
+    """Catalog cards; anchors only on pages without any card."""
+    carded = F.col("html").rlike(CARD_START)
+    return listings_from_cards(pages.where(carded)).unionByName(
+        listings_from_anchors(pages.where(~carded), LINK_RULES["rieltor"]))
+
+
 SOURCES = {
-    "lun": lambda pages: listings_from_json_ld(pages),
+    "lun": listings_from_json_ld,
     "domria": lambda pages: listings_from_anchors(pages, LINK_RULES["domria"]),
-    "olx": lambda pages: _first_filled(listings_from_state_json(pages), listings_from_anchors(pages, LINK_RULES["olx"])),
-    "rieltor": lambda pages: _first_filled(listings_from_cards(pages), listings_from_anchors(pages, LINK_RULES["rieltor"])),
+    "olx": _olx,
+    "rieltor": _rieltor,
 }
 
 
-def _first_filled(best: DataFrame, other: DataFrame) -> DataFrame:
-    """Rows of ``best``, and of ``other`` for pages where ``best`` has none."""
-    return best.unionByName(other.join(best.select("page_url").distinct(), "page_url", "left_anti"))
-
-
 def observations_from_pages(pages: DataFrame) -> DataFrame:
     """List pages of all portals as one batch of cards."""
     good = drop_blocked_pages(pages.where(F.col("kind") == "list"))
