@@ -148,7 +148,7 @@ def guess_type(col: Column) -> Column:
 
 def in_region(url: Column) -> Column:
     low = F.lower(blank_safe(url))
-    return ~any_contains(low, rules.REGION_FOREIGN) & any_contains(low, rules.REGION_LOCAL)
+    return ~low.rlike("|".join(rules.REGION_FOREIGN)) & low.rlike("|".join(rules.REGION_LOCAL))
 
 
 def normalize_district(col: Column, districts=rules.DISTRICTS, stems=rules.DISTRICT_STEMS) -> Column:

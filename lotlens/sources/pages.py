@@ -41,9 +41,10 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
 def drop_blocked_pages(pages: DataFrame) -> DataFrame:
     """Without challenge pages: short with one marker, or two markers in the page head."""
     head = F.lower(F.substring(blank_safe(F.col("html")), 1, rules.BLOCK_HEAD_CHARS))
-    hits = count_contains(head, rules.BLOCK_MARKERS)
+    marked = pages.withColumn("_head", head).withColumn("_hits", count_contains(F.col("_head"), rules.BLOCK_MARKERS))
     short = F.length(blank_safe(F.col("html"))) < rules.BLOCK_SHORT_PAGE
-    return pages.where(~((short & (hits >= 1)) | (hits >= 2)))
+    blocked = (short & (F.col("_hits") >= 1)) | (F.col("_hits") >= 2)
+    return computed_once(marked.drop("_head"), "_hits").where(~blocked).drop("_hits")
 
 
 # --- html helpers ---------------------------------------------------------------------------
@@ -319,20 +320,21 @@ LINK_RULES = {
 def page_anchors(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per anchor: ``page_url``, kept columns, position, href and text."""
     tag = F.col("_a")
-    return pages.select(
+    anchors = pages.select(
         F.col("url").alias("page_url"), *keep,
         F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("position", "_a"),
-    ).select("page_url", *keep, "position", unescape(F.regexp_extract(tag, HREF, 1)).alias("href"), text_of(tag).alias("text"))
+    ).select("page_url", *keep, "position", "_a", unescape(F.regexp_extract(tag, HREF, 1)).alias("href"))
+    return computed_once(anchors, "href").withColumn("text", text_of(tag)).drop("_a")
 
 
 def listings_from_anchors(pages: DataFrame, rule: LinkRule) -> DataFrame:
     """Listing links of list pages; the anchor text gives title, price, area and address."""
     rows = page_anchors(pages, ("deal_type", "fetched_at")).where(F.col("href").rlike(rule.href))
-    rows = rows.withColumn("_url", _absolute(F.col("href"), rule.base))
+    rows = computed_once(rows.withColumn("_url", _absolute(F.col("href"), rule.base)), "_url")
     if rule.region_only:
         rows = rows.where(in_region(F.col("_url")))
     ext = extract(F.col("_url"), rule.id_pattern) if rule.id_pattern else listing_id_from_url(F.col("_url"))
-    rows = rows.withColumn("_ext", ext).where(F.col("_ext").isNotNull())
+    rows = computed_once(rows.withColumn("_ext", ext), "_ext").where(F.col("_ext").isNotNull())
     rows = earliest_by(rows, ["page_url", "_ext"], [F.col("position")])
     if rule.fill_title:
         short = F.length("text") < 3
@@ -379,9 +381,11 @@ def listings_from_cards(pages: DataFrame, source: str = "rieltor", base: str = "
         "_ext": none_if_empty(F.trim(extract(card, r"(?is)^<div\b[^>]*\bdata-catalog-item-id\s*=\s*[\"']([^\"']*)[\"']"))),
         "_href": extract(card, r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*/commercials-[^\"']*/view/[^\"']*)[\"']"),
         "_label": F.trim(unescape(blank_safe(extract(card, r"(?is)^<div\b[^>]*\bdata-label\s*=\s*[\"']([^\"']*)[\"']")))),
-        "_local": text_of(card), "_address": none_if_empty(_class_text(card, "catalog-card-address")),
+        "_address": none_if_empty(_class_text(card, "catalog-card-address")),
         "_desc": _class_text(card, "catalog-card-description"),
-    }).where(F.col("_ext").isNotNull() & F.col("_href").isNotNull())
+    })
+    rows = computed_once(rows, "_ext", "_href", "_label", "_address", "_desc").where(
+        F.col("_ext").isNotNull() & F.col("_href").isNotNull()).withColumn("_local", text_of(card))
     price_text = F.coalesce(none_if_empty(_class_text(card, "catalog-card-price-title")), F.col("_label"))
     rate_text = F.coalesce(none_if_empty(_class_text(card, "catalog-card-price-details")), price_text)
     rows = with_rate(with_total_price(rows, price_text, "_price", "_cur"), rate_text, "_rate", "_rcur")
@@ -561,7 +565,7 @@ SOURCES = {
 
 def observations_from_pages(pages: DataFrame) -> DataFrame:
     """List pages of all portals as one batch of cards."""
-    good = drop_blocked_pages(pages.where(F.col("kind") == "list"))
+    good = drop_blocked_pages(pages.where((F.col("kind") == "list") & F.col("source").isin(*SOURCES)))
     out = None
     for source, rule in SOURCES.items():
         rows = rule(good.where(F.col("source") == source))
