@@ -75,13 +75,19 @@ def market_view(spark: SparkSession, root: str) -> DataFrame:
     })
 
 
-def observation_view(spark: SparkSession, root: str) -> DataFrame:
+def event_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, root, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+
+
+def observation_view(spark: SparkSession, root: str, events: DataFrame | None = None) -> DataFrame:
     """The event stream seen as an observation log: one listing per (type, user)."""
     e, u = F.col("event_id"), F.col("user_id")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     nation = F.broadcast(table(spark, root, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("_nation"), F.col("n_name").alias("district")))  # 25 rows
-    rows = table(spark, root, "events").select(
+    rows = (table(spark, root, "events") if events is None else events).select(
         F.col("event_type").alias("source"),
         u.cast("string").alias("external_id"),
         F.col("ts").cast("timestamp").alias("seen_at"),
