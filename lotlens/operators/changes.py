@@ -87,7 +87,7 @@ def _missed(rows: DataFrame, seen: str, runs: DataFrame | None, grace_hours: int
 
 def track_observations(
     obs: DataFrame, runs: DataFrame | None = None, grace_hours: int = 6, idle_hours: int | None = None,
-    drop_counts: bool = False, hot_rows: int = HOT_ROWS,
+    drop_counts: bool = False, hot_rows: int = HOT_ROWS, also: list[str] | None = None,
 ) -> DataFrame:
     """Every observation with the stored state it met.
 
@@ -97,7 +97,7 @@ def track_observations(
     guarded crawl runs, or from a plain idle time in hours.
     """
     line = Timeline(fill_blank(obs, STICKY), KEY, "seen_at", ORDER, hot_rows=hot_rows)
-    line.previous([*STICKY, "seen_at"])
+    line.previous([*STICKY, "seen_at", *(also or [])])
     if drop_counts:
         line.running_count(F.col("price") < F.col("prev_price"), "price_drop_count")
     raw = F.coalesce("source_status_raw", "prev_source_status_raw")

@@ -38,6 +38,14 @@ def stream_changes(spark, root):
     return rows.select("source", "external_id", "event_type", stamp("occurred_at"), "old_price", "new_price")
 
 
+@query("stream_changes_by_batch", with_(OBS, tracked(MISSED_BY_IDLE), STREAM_SQL, body=f"SELECT source, external_id, event_type, {ts('occurred_at')}, old_price, new_price FROM sev"))
+def stream_changes_by_batch(spark, root):
+    path = scratch(spark, "changes-by-batch")
+    K.stream_changes_by_batch(_stream(spark, root), path, scratch(spark, "changes-by-batch-cp")).awaitTermination()
+    rows = spark.read.parquet(f"{path}/events")
+    return rows.select("source", "external_id", "event_type", stamp("occurred_at"), "old_price", "new_price")
+
+
 @query("stream_vanish_counts", with_(OBS, tracked(MISSED_BY_IDLE), STREAM_SQL, body="SELECT source, event_type, count(*) AS n FROM sev WHERE event_type IN ('vanished', 'relisted') GROUP BY 1, 2"))
 def stream_vanish(spark, root):
     rows = K.run_available(K.stream_changes(_stream(spark, root), 72), "vanish")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lotlens.operators.changes import KEY, dedupe_batch
+from lotlens.functions.text import map_status
+from lotlens.operators.changes import KEY, STICKY, change_events, dedupe_batch, track_observations
+from lotlens.operators.market import stored
+from lotlens.operators.relational import HOT_ROWS
 from lotlens.operators.state import merge_events, merge_state, next_listings
 from lotlens.schemas import TABLES
 from lotlens.session import scratch
@@ -167,6 +170,54 @@ def stream_to_mart(obs: DataFrame, root: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def change_writer(root: str, idle_hours: int = 72, delay: str = "1 DAY", hot_rows: int = HOT_ROWS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch twin of `stream_changes` for logs in which one listing may fill a micro-batch.
+
+    The last known card of every listing is kept in two alternating slots and joins the
+    micro-batch as its earliest row; the batch operators then track the changes, hot
+    listings split over time. Cards of a listing are expected in time order over batches.
+    """
+    def slot(batch_id: int) -> str:
+        return f"{root}/cards/slot={batch_id % 2}"
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        fresh = batch.select(*KEY, *STICKY, "seen_at", "seq").withColumns({"gone": F.lit(False), "seed": F.lit(False)})
+        rows = fresh
+        if batch_id > 0:
+            kept = session.read.schema(fresh.drop("seed").schema).parquet(slot(batch_id - 1))
+            rows = kept.withColumn("seed", F.lit(True)).unionByName(fresh)
+        tracked = track_observations(rows.withColumn("reported", F.col("gone")), idle_hours=idle_hours, hot_rows=hot_rows, also=["reported"])
+        tracked = stored(tracked.where(~F.col("seed")), "tracked")
+        position = F.struct("seen_at", "seq")
+        cards = rows.groupBy(*KEY).agg(
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(c) for c in STICKY],
+            F.max("seen_at").alias("seen_at"), F.max_by("seq", position).alias("seq"), F.max_by("gone", position).alias("gone"),
+        )
+        newest = cards.agg(F.max("seen_at")).first()[0]
+        due = F.col("seen_at") + F.expr(f"INTERVAL {idle_hours} HOURS")
+        late = (map_status(F.col("source_status_raw")) == "active") & ~F.col("gone") & (
+            due < F.lit(newest) - F.expr(f"INTERVAL {delay}"))
+        cards.withColumn("late", late).withColumn("gone", F.col("gone") | F.col("late")).write.mode("overwrite").parquet(slot(batch_id))
+        after = session.read.parquet(slot(batch_id))
+        changes = change_events(tracked).select(
+            *KEY, "event_type", "occurred_at", *[f"payload.{c}" for c in ("old_price", "new_price", "old_status", "new_status")])
+        gaps = tracked.where((F.col("stored_status") == "vanished") & (F.col("prev_mapped") == "active") & ~F.col("prev_reported"))
+        ends = after.where("late").select(*KEY, due.alias("occurred_at"))
+        gone = gaps.select(*KEY, F.col("stored_vanished_at").alias("occurred_at")).unionByName(ends).withColumn("event_type", F.lit("vanished"))
+        changes.unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}")
+
+    return merge
+
+
+def stream_changes_by_batch(obs: DataFrame, root: str, checkpoint: str, idle_hours: int = 72, delay: str = "1 DAY") -> StreamingQuery:
+    """Runs `change_writer` over all available input."""
+    return (
+        obs.writeStream.foreachBatch(change_writer(root, idle_hours, delay)).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def latest_slot(root: str, query: StreamingQuery) -> str:
     """Folder of the listing table after the last finished micro-batch."""
     return f"{root}/listings/slot={max(p['batchId'] for p in query.recentProgress if p['numInputRows'] > 0) % 2}"
