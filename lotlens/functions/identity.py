@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.functions.money import is_rent
-from lotlens.functions.text import blank_safe, normalize_address, normalize_text, phone_digits
+from lotlens.functions.text import blank_safe, computed_once, normalize_address, normalize_text, phone_digits
 
 
 def round_area(area: Column, step: float = 1.0) -> Column:
@@ -52,7 +52,8 @@ def fingerprint(
 
 def with_fingerprint(df: DataFrame, name: str = "fingerprint") -> DataFrame:
     c = F.col
-    return df.withColumn(name, fingerprint(
+    keyed = df.withColumn(name, fingerprint(
         c("address_raw"), c("area_sqm"), c("floor"), c("price"), c("property_type"),
         c("deal_type"), c("lat"), c("lon"), c("phone"),
     ))
+    return computed_once(keyed, name)

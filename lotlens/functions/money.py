@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotlens.config import DEFAULT, MarketConfig
 from lotlens.functions.text import (
-    NUMBER, any_contains, blank_safe, extract, join_text, none_if_empty, number_value, parse_area,
+    NUMBER, any_contains, blank_safe, computed_once, extract, join_text, none_if_empty, number_value, parse_area,
     to_number,
 )
 
@@ -318,4 +318,4 @@ def normalize_price(df: DataFrame, name: str = "price_norm", cfg: MarketConfig =
         .otherwise(out(price, cur, clean_rate, sus=odd))
     )
     rows = staged.withColumn(name, verdict)
-    return rows.drop(*[c for c in rows.columns if c.startswith("_n_")])
+    return computed_once(rows.drop(*[c for c in rows.columns if c.startswith("_n_")]), name)
