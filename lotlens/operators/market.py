@@ -12,7 +12,7 @@ from lotlens.functions import rules
 from lotlens.functions.money import in_band, to_usd, with_effective_rate
 from lotlens.functions.text import any_contains, blank_safe, listing_district, resolve_opex
 from lotlens.operators.relational import exact_median
-from lotlens.session import scratch
+from lotlens.session import stored
 
 CITY = "*"
 OPEX_COHORT = {"with": "rent_with_opex", "without": "rent_without_opex", "unknown": "rent_opex_unknown"}
@@ -103,17 +103,6 @@ def market_stats(
     return _slices(rows, F.array(F.lit(deal_type)))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a small derived table to the shared folder and read it back.
-
-    Reports look it up several times; from files its size is known to the optimizer, which
-    broadcasts it only when it is small.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def active_inventory(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Active listings for sale and rent: a total row, a no-district row, one row per district."""
     place = F.when(F.col("district_norm").isNull(), "no_district").otherwise("district")

@@ -13,8 +13,9 @@ from lotlens.functions.rules import TARGET_SEGMENTS
 from lotlens.functions.segments import classify_segment
 from lotlens.functions.text import blank_safe, computed_once, detect_opex, in_region, strip_price_junk
 from lotlens.operators.changes import KEY, card_changed
-from lotlens.operators.market import is_active, stored
+from lotlens.operators.market import is_active
 from lotlens.operators.relational import top_n_per_group
+from lotlens.session import stored
 from lotlens.operators.state import JUNK_TITLE_SOURCE, _extra_with, apply_exclusion
 
 REGION_SOURCE = "domria"

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.session import stored
+
 BROADCAST_ROWS = 500_000
 HOT_ROWS = 1_000_000
 
@@ -107,9 +109,11 @@ def lookup_join(
 
     Keys above ``hot_rows`` (there are at most rows / hot_rows of them) are looked up by
     broadcast when they are few; their rows then take a salted key through the shuffle
-    join, where they find nothing and so stay spread out.
+    join, where they find nothing and so stay spread out. The table is stored first, as
+    three steps read it.
     """
     keys = list(keys)
+    right = stored(right, "lookup")
     extra = [c for c in right.columns if c not in keys]
     hot = checked_broadcast(
         right.where(F.col(weight) > hot_rows).select(*keys, F.struct(*extra).alias("_hot"))

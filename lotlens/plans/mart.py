@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lotlens.operators.changes import absence_events, change_events, fold_observations, track_observations
 from lotlens.operators.deals import rescore_all
-from lotlens.operators.market import is_active, stored
+from lotlens.operators.market import is_active
 from lotlens.plans.views import LOG_AS_OF, as_of, observation_view
+from lotlens.session import stored
 
 IDLE_HOURS = 72
 _BUILT: dict[tuple[str, str], dict[str, DataFrame]] = {}

@@ -16,6 +16,7 @@ from lotlens.plans.market_queries import RATES
 from lotlens.plans.registry import query
 from lotlens.plans.search_queries import _audit_rows, _with_extra
 from lotlens.plans.views import listing_view, table
+from lotlens.session import spread
 from lotlens.sources import pages as P
 from lotlens.sources.tables import conform
 
@@ -112,6 +113,7 @@ def _price_text(spark, root):
     k = F.col("o_orderkey")
     rows = table(spark, root, "orders").select(
         k.alias("listing_id"), (F.rint("o_totalprice").cast("bigint") + 5000).alias("p"), (10 + k % 50).alias("r"), (30 + k % 90).alias("a"), (k % 9).alias("f"))
+    rows = spread(rows)
     spaced = F.replace(F.format_number("p", 0), F.lit(","), F.lit(" "))
     k = F.col("listing_id")
     text = (
@@ -158,7 +160,7 @@ norm AS (SELECT listing_id, CASE WHEN price IS NULL OR area_sqm IS NULL THEN 'pa
 
 
 def _normalized(spark, root):
-    return Y.normalize_price(listing_view(spark, root))
+    return Y.normalize_price(spread(listing_view(spark, root)))
 
 
 @query("prices_normalized", with_(LV, RATES, NORM, body=f"""SELECT listing_id, CASE outcome WHEN 'expanded' THEN {rnd('price * area_sqm', 2)} ELSE price END AS price, cur2 AS currency,
@@ -172,14 +174,14 @@ def prices_normalized(spark, root):
 
 @query("price_fix_outcomes", with_(LV, RATES, NORM, body="SELECT CASE WHEN outcome IN ('pass', 'clean') THEN '' ELSE outcome END AS outcome, count(*) AS n FROM norm GROUP BY 1"))
 def price_fix_outcomes(spark, root):
-    fixed = Q.fix_prices(_with_extra(listing_view(spark, root), opex=F.col("opex")))
+    fixed = Q.fix_prices(_with_extra(spread(listing_view(spark, root)), opex=F.col("opex")))
     detail = F.col("fix.detail")
     return fixed.groupBy(F.when(detail.startswith("implied_psm_usd="), "expanded").otherwise(detail).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("price_review")
 def price_review(spark, root):
-    return Q.review_prices(_audit_rows(spark, root), ["active", "relisted"])
+    return Q.review_prices(spread(_audit_rows(spark, root)), ["active", "relisted"])
 
 
 # --- classification -------------------------------------------------------------------------------
@@ -253,7 +255,7 @@ DOC_SQL = "pl AS (SELECT doc_id, text AS title, NULL::VARCHAR AS property_type,
 @query("segments_of_documents", with_(DOC_SQL, SEG_SQL, body="SELECT doc_id, relevant, segment, reason FROM seg"))
 def segments_of_documents(spark, root):
     null = F.lit(None).cast("string")
-    rows = table(spark, root, "documents").select(
+    rows = spread(table(spark, root, "documents")).select(
         "doc_id", F.col("text").alias("title"), null.alias("property_type"), (F.col("doc_id") % 3).cast("int").alias("floor"),
         null.alias("url"), null.alias("description"), null.alias("address_raw"))
     return classify_segment(rows).select("doc_id", "segment_decision.*")
@@ -397,7 +399,7 @@ def _json(*fields):
 
 def _page_rows(spark, root):
     k = F.col("listing_id")
-    return listing_view(spark, root).withColumns({
+    return spread(listing_view(spark, root)).withColumns({
         "pub": (1_000_000 + k).cast("string"), "lat0": F.lit(50.4) + (k % 100) / 1000, "lon0": F.lit(30.5) + (k % 100) / 1000,
     })
 

@@ -13,11 +13,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from lotlens.functions.text import map_status
 from lotlens.operators.changes import KEY, STICKY, change_events, dedupe_batch, track_observations
-from lotlens.operators.market import stored
 from lotlens.operators.relational import HOT_ROWS
 from lotlens.operators.state import merge_events, merge_state, next_listings
 from lotlens.schemas import TABLES
-from lotlens.session import scratch
+from lotlens.session import scratch, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE_SCHEMA = (
