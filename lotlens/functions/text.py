@@ -40,6 +40,11 @@ def computed_once(df: DataFrame, *names: str) -> DataFrame:
     return boxed.select(*[F.col(f"_once.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_contains(col: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
 
@@ -129,7 +134,10 @@ def has_bc_word(text: Column) -> Column:
 
 def guess_type(col: Column) -> Column:
     """Property type from words, first rule wins."""
-    t = F.lower(blank_safe(col))
+    return let(F.lower(blank_safe(col)), _type_of)
+
+
+def _type_of(t: Column) -> Column:
     has = lambda words: any_contains(t, words)
     return (
         F.when(has(rules.SHOWROOM_WORDS), "showroom")
@@ -154,23 +162,24 @@ def in_region(url: Column) -> Column:
 def normalize_district(col: Column, districts=rules.DISTRICTS, stems=rules.DISTRICT_STEMS) -> Column:
     """Canonical district: by containment of the name, then by an alias stem."""
     low = F.trim(F.replace(F.replace(F.lower(F.trim(col)), F.lit(" район"), F.lit("")), F.lit(" р-н"), F.lit("")))
-    out = None
-    for name, _ in districts:
-        key = name.lower()
-        hit = low.contains(key) | ((F.length(low) >= 4) & F.lit(key).contains(low))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    for stem, name in stems:
-        out = out.when(low.contains(stem), name)
-    return out
+
+    def named(t: Column) -> Column:
+        out = None
+        for name, _ in districts:
+            key = name.lower()
+            hit = t.contains(key) | ((F.length(t) >= 4) & F.lit(key).contains(t))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        for stem, name in stems:
+            out = out.when(t.contains(stem), name)
+        return out
+
+    return let(low, named)
 
 
 def extract_district(*cols: Column) -> Column:
     """District named in free text: an adjective form first, else the whole text."""
-    blob = join_text(*cols)
-    mention = extract(blob, rules.DISTRICT_MENTION)
-    return F.when(mention.isNotNull(), normalize_district(mention)).otherwise(
-        normalize_district(none_if_empty(blob))
-    )
+    blob = none_if_empty(join_text(*cols))
+    return let(blob, lambda t: normalize_district(F.coalesce(extract(t, rules.DISTRICT_MENTION), t)))
 
 
 def listing_district() -> Column:

@@ -16,7 +16,7 @@ from lotlens.functions import rules
 from lotlens.functions.money import with_rate, with_total_price
 from lotlens.functions.text import (
     any_contains, blank_safe, computed_once, count_contains, extract, extract_phones, guess_type, in_region, join_text,
-    listing_id_from_url, none_if_empty, parse_area, parse_floor, street_address,
+    let, listing_id_from_url, none_if_empty, parse_area, parse_floor, street_address,
 )
 from lotlens.operators.relational import earliest_by
 from lotlens.schemas import CARD, EXTRA, TABLES
@@ -362,9 +362,10 @@ def listings_from_anchors(pages: DataFrame, rule: LinkRule) -> DataFrame:
 
 def text_district(text: Column) -> Column:
     """District named in a card: a known name, else the word before the district mark."""
-    low = F.lower(text)
-    known = F.coalesce(*[F.when(low.contains(name.lower()), name) for name, _ in rules.DISTRICTS])
-    return F.coalesce(known, extract(text, r"([А-Яа-яІіЇїЄєҐґ'’\-]+)\s*р-н"))
+    def known(low: Column) -> Column:
+        return F.coalesce(*[F.when(low.contains(name.lower()), name) for name, _ in rules.DISTRICTS])
+
+    return F.coalesce(let(F.lower(text), known), extract(text, r"([А-Яа-яІіЇїЄєҐґ'’\-]+)\s*р-н"))
 
 
 def _class_text(html: Column, name: str) -> Column:
