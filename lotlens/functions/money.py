@@ -251,7 +251,9 @@ def with_total_price(
     )
 
 
-def normalize_price(df: DataFrame, name: str = "price_norm", cfg: MarketConfig = DEFAULT) -> DataFrame:
+def normalize_price(
+    df: DataFrame, name: str = "price_norm", cfg: MarketConfig = DEFAULT, once: bool = True,
+) -> DataFrame:
     """Struct (price, currency, price_per_sqm, reinterpreted, suspicious, detail) per listing."""
     price, area, deal = F.col("price"), F.col("area_sqm"), F.col("deal_type")
     text = F.col("_n_text")
@@ -318,4 +320,5 @@ def normalize_price(df: DataFrame, name: str = "price_norm", cfg: MarketConfig =
         .otherwise(out(price, cur, clean_rate, sus=odd))
     )
     rows = staged.withColumn(name, verdict)
-    return computed_once(rows.drop(*[c for c in rows.columns if c.startswith("_n_")]), name)
+    rows = rows.drop(*[c for c in rows.columns if c.startswith("_n_")])
+    return computed_once(rows, name) if once else rows

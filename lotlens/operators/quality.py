@@ -117,7 +117,7 @@ def fix_prices(listings: DataFrame, statuses: list[str] | None = None, cfg: Mark
     """Re-normalises prices as one projection; ``fix`` says what happened to a row."""
     rows = listings if statuses is None else listings.where(F.col("status").isin(*statuses))
     before = {c: F.col(f"_b_{c}") for c in ("price", "currency", "price_per_sqm", "title", "raw_extra", "exclude_from_stats")}
-    rows = normalize_price(rows.withColumns({f"_b_{c}": F.col(c) for c in before}), "_norm", cfg)
+    rows = normalize_price(rows.withColumns({f"_b_{c}": F.col(c) for c in before}), "_norm", cfg, once=False)
     norm = lambda c: F.col(f"_norm.{c}")
     rows = rows.withColumns({
         "price": F.coalesce(norm("price"), F.col("price")), "currency": F.coalesce(norm("currency"), F.col("currency")),
