@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_FOLDER = "/tmp/checkpoints/lotlens"
+
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and benches; a cluster brings its own."""
@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", LOCAL_FOLDER)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,23 +28,29 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a new one when none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; ``LOCAL_FOLDER`` on one machine if none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = _local_folder()
+        folder = LOCAL_FOLDER
     return folder
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="lotlens-")
+def run_folder(spark: SparkSession) -> str:
+    """The application's own place in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes the application's intermediate tables, once its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
