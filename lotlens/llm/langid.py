@@ -1,11 +1,13 @@
 """Language identification by nearest clustered centroids of TF-IDF n-gram vectors.
 
-Features: counts of character 1-, 2- and 3-grams of the lower-cased text, hashed to ``DIM`` places; weight
+Features: counts of character 1-, 2- and 3-grams of the lower-cased letters (any run of other characters is one
+space), hashed to ``DIM`` places; weight
 (1 + ln count) * idf, vectors normalised. Inverse document frequencies come from all training documents. Each language
 has ``CLUSTERS`` centroids, clustered by cosine on a sample of about ``SAMPLE`` of its training documents (a documented bound:
 a fixed share of a hash of the id, so more rows make no larger fit). A text gets the language of the nearest centroid;
-its score is the cosine. A text is rejected if it has no letter, or if its distance (1 - cosine) exceeds the centroid's
-bound: the distance that ``WITHIN`` of the centroid's own sample stays below, plus ``SLACK``, for texts of any length.
+its score is the cosine. A text is rejected if it has no letter, or if its distance (1 - cosine) exceeds the language's
+bound: the distance that ``WITHIN`` of the sample of its loosest centroid stays below, plus ``SLACK``, plus an allowance of
+``SHORT`` / sqrt(number of n-grams): a text of a few words says too little to be rejected.
 
 Defined results: null text or text without letters is ``und`` with score 0 and rejected; ties go to the
 first language in order; without training documents all is ``und``; a null id trains if its crc32 rule says so (null: never held
@@ -14,8 +16,8 @@ out, trains); repeated rows count as often; an empty table gives an empty result
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,41 +29,55 @@ DIM = 4096
 CLUSTERS = 4
 SAMPLE = 1500
 WITHIN = 0.99
-SLACK = 0.35
+SLACK = 0.2
+SHORT = 2.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = [(np.uint32(0x9E3779B1),), (np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)), (np.uint32(0x27D4EB2F), np.uint32(0x165667B1), np.uint32(0x9E3779B1))]
 PIECE = 1 << 20
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def counts(text: str | None) -> np.ndarray | None:
-    """Hashed n-gram counts; None if the text has no letter."""
-    if not text or not _LETTER.search(text):
+    """Hashed n-gram counts of the letters, other runs as one space; None if the text has no letter."""
+    if not text:
         return None
-    total, low = np.zeros(DIM, dtype=np.int64), text.lower()
-    for at in range(0, len(low), PIECE):
-        points = np.frombuffer(low[max(0, at - 2) : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    total, some, carried = np.zeros(DIM, dtype=np.int64), False, np.full(1, 32, dtype=np.uint32)
+    for at in range(0, len(text), PIECE):
+        points = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[points]
+        some = some or bool(letter.any())
+        points = np.concatenate([carried, np.where(letter, points, np.uint32(32)), np.full(1 if at + PIECE >= len(text) else 0, 32, dtype=np.uint32)])
+        old = len(carried) if at else 0
+        keep = np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])
+        old -= int((~keep[:old]).sum())
+        points = points[keep]
         for n, factors in enumerate(_MIX, 1):
             # n-grams that end in this piece
-            own = points[(2 if at else 0) - (n - 1 if at else 0) :]
+            own = points[max(0, old - n + 1) :]
             size = len(own) - n + 1
             if size > 0:
                 mixed = np.zeros(size, dtype=np.uint32)
                 for i, factor in enumerate(factors):
                     mixed ^= own[i : i + size] * factor
                 total += np.bincount((mixed * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=DIM)
-    return total
+        carried = points[-2:]
+    return total if some else None
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised vectors of the texts that have letters, and which these are."""
+def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised vectors of the texts that have letters, which these are, and their numbers of n-grams."""
     rows = [(i, c) for i, t in enumerate(texts) if (c := counts(t)) is not None]
     x = np.zeros((len(rows), DIM), dtype=np.float32)
     for k, (_, c) in enumerate(rows):
         at = np.flatnonzero(c)
         x[k, at] = (1 + np.log(c[at])) * idf[at]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return x, np.array([i for i, _ in rows], dtype=np.int64)
+    return x, np.array([i for i, _ in rows], dtype=np.int64), np.array([c.sum() for _, c in rows])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,11 +97,9 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def cluster(x: np.ndarray, k: int = CLUSTERS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from far-apart first centroids; centroids and the distance bound of each."""
-    chosen = [x.mean(0)]
-    for _ in range(min(k, len(x)) - 1):
-        chosen.append(x[np.argmin(np.max(np.stack([x @ c / max(np.linalg.norm(c), 1e-12) for c in chosen]), 0))])
-    centroids = np.stack(chosen)
+    """Spherical k-means, begun from groups of equal size by likeness to the mean; centroids and the distance bound of each."""
+    by_likeness = np.argsort(x @ x.mean(0), kind="stable")
+    centroids = np.stack([x[part].mean(0) for part in np.array_split(by_likeness, min(k, len(x)))])
     for _ in range(rounds):
         centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
         own = np.argmax(x @ centroids.T, 1)
@@ -99,18 +113,19 @@ def cluster(x: np.ndarray, k: int = CLUSTERS, rounds: int = 12) -> tuple[np.ndar
 
 class Model:
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, bounds: np.ndarray):
-        self.idf, self.langs, self.centroids, self.bounds = idf, langs, centroids, bounds
+        self.idf, self.langs, self.centroids = idf, langs, centroids
+        self.bounds = np.array([max(b for b, other in zip(bounds, langs, strict=True) if other == lang) for lang in langs])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out = [(UNKNOWN, 0.0, True)] * len(texts)
         if not self.langs:
             return out
-        x, rows = vectors(texts, self.idf)
+        x, rows, sizes = vectors(texts, self.idf)
         cosine = x @ self.centroids.T
         best = np.argmax(cosine, 1) if len(rows) else []
-        for i, row, j in zip(range(len(rows)), rows, best, strict=True):
+        for i, (row, j, n) in enumerate(zip(rows, best, sizes, strict=True)):
             score = float(min(1.0, max(0.0, cosine[i, j])))
-            out[row] = self.langs[j], score, bool(1 - score > self.bounds[j] + SLACK)
+            out[row] = self.langs[j], score, bool(1 - score > self.bounds[j] + SLACK + SHORT / np.sqrt(n))
         return out
 
 
@@ -129,7 +144,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
     picked = picked.filter(F.pmod("h", F.lit(2**30)) < F.col("share") * float(2**30)).select("lang", "text")
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, _ = vectors(part["text"].sort_values().tolist(), idf)
+        x, _, _ = vectors(part["text"].sort_values().tolist(), idf)
         if not len(x):
             return pd.DataFrame({"lang": [], "bound": [], "centroid": []})
         centroids, bounds = cluster(x, clusters)
