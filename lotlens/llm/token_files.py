@@ -20,7 +20,7 @@ import json
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ class Encoder:
     model runs once per word that is not yet known. ``kept`` bounds the memory; other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, end_id: int = 0, kept: int = 250_000):
+    def __init__(self, path: str, end_id: int = 0, kept: int = 700_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size() > 2**16
@@ -68,27 +68,30 @@ class Encoder:
     def _piece(self, word: str) -> bytes:
         return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))])
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.words(chunk)))
+    def _chunk(self, chunk: str) -> bytes | None:
+        """None if it ends in white space: then a word may go on in the next chunk."""
+        return None if chunk[-1:].isspace() else b"".join(map(self.pieces.__getitem__, self.words(chunk)))
 
     def encode(self, text: str) -> bytes:
         """The ids and the end id, little-endian."""
         if not self.by_word:
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
-        # a word never goes on across a space that follows a character other than white space
-        chunks = _TWO.split(text) if _SPACES.search(text) else text.replace(" ", "\0 ").split("\0") if "\0" not in text else _TWO.split(text)
-        return b"".join(map(self.chunks.__getitem__, chunks)) + self.end
-
-
-_SPACES, _TWO = regex.compile(r"\s "), regex.compile(r"(?<=\S)(?= )")
+        if "\0" not in text:
+            # a word never goes on across a space that follows a character other than white space
+            found = [*map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0"))]
+            if None not in found:
+                return b"".join(found) + self.end
+        return b"".join(map(self.pieces.__getitem__, self.words(text))) + self.end
 
 
 class _Kept(dict):
-    def __init__(self, make, most: int):
+    """Remembers what ``make`` gives for up to ``most`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes | None], most: int):
         super().__init__()
         self.make, self.most = make, most
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> bytes | None:
         value = self.make(key)
         if len(self) < self.most:
             self[key] = value
