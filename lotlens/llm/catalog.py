@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.llm import chat, decontaminate, langid, licenses, mixing, multiset, sharding, simhash, site_lines, token_files
+from lotlens.llm.check_sql import CHECKS  # noqa: F401
 from lotlens.session import scratch
 
 END_MARK = r"\### Assistant: </turn> ok"
@@ -66,5 +67,3 @@ QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_token_files, op3_language_centroids, op4_multiset_fingerprints, op5_string_tiling,
     op6_simhash_trees, op7_site_lines, op8_source_mix, op9_license_bands, op10_byte_shards,
 )}
-
-CHECKS: dict[str, str] = {}
