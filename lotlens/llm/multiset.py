@@ -125,8 +125,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and its edit, and the likeness to the edit and to the next document."""
     ids = docs.select(F.col("doc_id").cast("long"))
-    # one row per range: the smallest id in it; what was lower in rank than all of them is the null ids
-    least = ids.repartitionByRange("doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("low")).collect()
+    # as many ranges as the text has input splits: one row per range comes back, the smallest id in it
+    splits = docs.rdd.getNumPartitions()
+    least = ids.repartitionByRange(splits, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("low")).collect()
     bounds = np.array(sorted({r["low"] for r in least if r["low"] is not None}), dtype=np.int64)
     count = max(1, len(bounds))
     lows = docs.sparkSession.sparkContext.broadcast(bounds)
@@ -151,5 +152,5 @@ def with_edits(docs: DataFrame) -> DataFrame:
     nulls = any(r["low"] is None for r in least) or bool(ids.filter("doc_id IS NULL").take(1))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.mapInArrow(deal, "part int, guest boolean, doc_id long, text string")
-    spread = dealt.repartition(count, "part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    spread = dealt.repartitionById(count, F.col("part")).sortWithinPartitions("part", "guest", "doc_id", "text")
     return spread.mapInArrow(_compare, RESULT)
