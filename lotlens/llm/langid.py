@@ -187,7 +187,7 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Vectors of so many rows are in memory at once."""
     for at in range(0, max(1, batch.num_rows), rows):
         yield batch.slice(at, rows)

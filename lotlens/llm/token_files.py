@@ -47,7 +47,7 @@ class Encoder:
     model runs once per word that is not yet known. ``kept`` bounds the memory; other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, end_id: int = 0, kept: int = 700_000):
+    def __init__(self, path: str, end_id: int = 0, kept: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size() > 2**16
