@@ -105,8 +105,8 @@ BLOCK_MARKERS = (
     "access denied", "request blocked", "captcha", "cloudflare",
     "проверка безопасности", "доступ ограничен", "generated by cloudfront",
 )
-BLOCK_HEAD_CHARS = 8000
-BLOCK_SHORT_PAGE = 2500
+# own choice: share of the visible text of a page
+BLOCK_SHARE = 0.02
 
 # --- Fixed values: phones ----------------------------------------------------------
 PHONE_PREFIXES = (

@@ -201,4 +201,4 @@ def recent(df: DataFrame, time: str, as_of: Column, hours: int, n: int, tie: lis
 
 def list_events(events: DataFrame, event_type: str | None = None, limit: int = 100) -> DataFrame:
     rows = events if event_type is None else events.where(F.col("event_type") == event_type)
-    return rows.orderBy(F.col("occurred_at").desc(), "event_id").limit(max(1, min(limit, 500)))
+    return rows.orderBy(F.col("occurred_at").desc(), "event_id").limit(max(1, limit))

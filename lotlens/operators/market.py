@@ -225,9 +225,8 @@ def market_snapshot(prepared: DataFrame, by: Sequence[str] = ("day",), captured_
 
 
 def series(daily: DataFrame, limit: int = 90) -> DataFrame:
-    """The last days of the daily series, oldest first; 1 to 365 of them."""
-    limit = max(1, min(limit, 365))
-    return daily.orderBy(F.col("day").desc()).limit(limit).orderBy("day")
+    """The last days of the daily series, oldest first."""
+    return daily.orderBy(F.col("day").desc()).limit(max(1, limit)).orderBy("day")
 
 
 def with_market_reference(listings: DataFrame, market: DataFrame) -> DataFrame:

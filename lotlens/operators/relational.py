@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,8 +111,8 @@ def lookup_join(
 
     Keys above ``hot_rows`` (there are at most rows / hot_rows of them) are looked up by
     broadcast when they are few; their rows then take a salted key through the shuffle
-    join, where they find nothing and so stay spread out. The table is stored first, as
-    three steps read it.
+    join, where they find nothing and so stay spread out; so do rows with a null key. The
+    table is stored first, as three steps read it.
     """
     keys = list(keys)
     right = stored(right, "lookup")
@@ -122,8 +124,9 @@ def lookup_join(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(0).alias("_k_salt"), F.struct(*extra).alias("_cold")
     )
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     marked = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(row_hash, F.lit(salts))).cast("int")
+        "_salt", F.when(F.col("_hot").isNotNull() | no_key, 1 + F.pmod(row_hash, F.lit(salts))).otherwise(0).cast("int")
     )
     cond = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_salt") == F.col("_k_salt")]
     joined = marked.join(cold, cond, "left")

@@ -260,9 +260,9 @@ def match_watches(
 
 
 def property_detail(
-    listings: DataFrame, events: DataFrame, hypotheses: DataFrame, last_events: int = 100
+    listings: DataFrame, events: DataFrame, hypotheses: DataFrame, last_events: int | None = None
 ) -> DataFrame:
-    """Detail rows per premises: its listings, its newest events and its hypotheses.
+    """Detail rows per premises: its listings, its events (the newest ``last_events``, or all) and its hypotheses.
 
     One long table ``(property_key, section, position, source, external_id, label, at)``:
     sections of any size stay spread over tasks.
@@ -271,8 +271,9 @@ def property_detail(
         return df.where(F.col("property_key").isNotNull()).select(
             "property_key", F.lit(name).alias("section"), *KEY, label.cast("string").alias("label"), F.col(at).alias("at"))
 
-    newest = top_n_per_group(
-        section(events, "event", F.col("event_type"), "occurred_at"), ["property_key"],
+    told = section(events, "event", F.col("event_type"), "occurred_at")
+    newest = told if last_events is None else top_n_per_group(
+        told, ["property_key"],
         [F.col("at").desc(), "label", *KEY], last_events, F.concat_ws("|", "source", "external_id", "label", F.col("at").cast("string")),
     ).drop("rank")
     return section(listings, "listing", F.col("status"), "last_seen_at").unionByName(newest).unionByName(

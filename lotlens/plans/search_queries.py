@@ -271,8 +271,7 @@ def saved_filters(spark, root):
 
 
 @query("premises_detail", with_(MART, body="""SELECT property_key, 'listing' AS section, source, external_id, status AS label, strftime(last_seen_at, '%Y-%m-%d %H:%M:%S') AS at FROM ls
-UNION ALL SELECT property_key, 'event', source, external_id, event_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') FROM (SELECT * FROM ev
-  QUALIFY row_number() OVER (PARTITION BY property_key ORDER BY occurred_at DESC, event_type, source, external_id) <= 100)"""))
+UNION ALL SELECT property_key, 'event', source, external_id, event_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') FROM ev"""))
 def premises_detail(spark, root):
     mart = log_mart(spark, root)
     rows = X.property_detail(mart["listings"], mart["events"], mart["hypotheses"])

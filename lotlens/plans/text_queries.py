@@ -346,15 +346,22 @@ def opex_detected(spark, root):
 # --- pages ----------------------------------------------------------------------------------------------
 
 
+_SHOWN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h,
+  '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
+  '&nbsp;', ' '), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
 @query("pages_not_blocked", "SELECT page_id FROM (SELECT *, " + " + ".join(
-    f"CAST(contains(lower(substr(h, 1, 8000)), '{m}') AS INTEGER)" for m in R.BLOCK_MARKERS) + """ AS hits FROM
-  (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '<html>Just a moment</html>' WHEN 1 THEN 'captcha by Cloudflare ' || html WHEN 2 THEN 'captcha ' || html || repeat(' ', 2500) ELSE html END AS h FROM pages))
-WHERE NOT (length(h) < 2500 AND hits >= 1) AND hits < 2""")
+    f"CAST(contains(lower(h), '{m}') AS INTEGER)" for m in R.BLOCK_MARKERS) + f""" AS hits, lower({_SHOWN}) AS shown,
+  1 - length(regexp_replace(shown, '{"|".join(R.BLOCK_MARKERS)}', '', 'g'))::DOUBLE / length(shown) AS share FROM
+  (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '<html>Just a moment</html>' WHEN 1 THEN 'captcha by Cloudflare ' || html WHEN 2 THEN 'captcha ' || html || repeat(' ', 2500) WHEN 3 THEN html || ' captcha' ELSE html END AS h FROM pages))
+WHERE NOT (hits >= 2 OR hits = 1 AND (shown = '' OR share >= {R.BLOCK_SHARE}))""")
 def pages_not_blocked(spark, root):
     k, html = F.col("page_id"), F.col("html")
     shown = (
         F.when(k % 5 == 0, "<html>Just a moment</html>").when(k % 5 == 1, F.concat(F.lit("captcha by Cloudflare "), html))
-        .when(k % 5 == 2, F.concat(F.lit("captcha "), html, F.repeat(F.lit(" "), 2500))).otherwise(html)
+        .when(k % 5 == 2, F.concat(F.lit("captcha "), html, F.repeat(F.lit(" "), 2500)))
+        .when(k % 5 == 3, F.concat(html, F.lit(" captcha"))).otherwise(html)
     )
     return P.drop_blocked_pages(table(spark, root, "pages").withColumn("html", shown)).select("page_id")
 
@@ -437,14 +444,14 @@ def cards_from_json_ld(spark, root):
 @query("json_ld_blocks", with_(LV, body="SELECT external_id, 'itemlist' AS kind FROM lv"))
 def json_ld_blocks(spark, root):
     blocks = P.json_ld_of_type(P.extract_json_ld(_ld_pages(_page_rows(spark, root))), "itemList")
-    return blocks.select(F.substring("url", 3, 100).alias("external_id"), F.element_at(P.block_types(F.col("block")), 1).alias("kind"))
+    return blocks.select(F.regexp_extract("url", "^..(.*)$", 1).alias("external_id"), F.element_at(P.block_types(F.col("block")), 1).alias("kind"))
 
 
 @query("offer_fields", with_(LV, body="""SELECT external_id, price, currency, 50.4::DOUBLE + (listing_id % 100) / 1000 AS lat, 30.5::DOUBLE + (listing_id % 100) / 1000 AS lon, address_raw || ', Київ' AS address FROM lv"""))
 def offer_fields(spark, root):
     blocks = P.extract_json_ld(_ld_pages(_page_rows(spark, root)))
     items = blocks.withColumn("block", P.get(F.col("block"), "$.itemListElement[0].item", "variant"))
-    return P.offer_fields(items).select(F.substring("url", 3, 100).alias("external_id"), "price", "currency", "lat", "lon", "address")
+    return P.offer_fields(items).select(F.regexp_extract("url", "^..(.*)$", 1).alias("external_id"), "price", "currency", "lat", "lon", "address")
 
 
 def _state_pages(rows):

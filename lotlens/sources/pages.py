@@ -18,7 +18,7 @@ from lotlens.functions.text import (
     any_contains, blank_safe, computed_once, count_contains, extract, extract_phones, guess_type, in_region, join_text,
     let, listing_id_from_url, none_if_empty, parse_area, parse_floor, street_address,
 )
-from lotlens.operators.relational import earliest_by
+from lotlens.operators.relational import earliest_by, latest_by
 from lotlens.schemas import CARD, EXTRA, TABLES
 
 LD_SCRIPT = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
@@ -39,12 +39,19 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drop_blocked_pages(pages: DataFrame) -> DataFrame:
-    """Without challenge pages: short with one marker, or two markers in the page head."""
-    head = F.lower(F.substring(blank_safe(F.col("html")), 1, rules.BLOCK_HEAD_CHARS))
-    marked = pages.withColumn("_head", head).withColumn("_hits", count_contains(F.col("_head"), rules.BLOCK_MARKERS))
-    short = F.length(blank_safe(F.col("html"))) < rules.BLOCK_SHORT_PAGE
-    blocked = (short & (F.col("_hits") >= 1)) | (F.col("_hits") >= 2)
-    return computed_once(marked.drop("_head"), "_hits").where(~blocked).drop("_hits")
+    """Without challenge pages: two different markers on the page, or one that is a notable share of its visible text.
+
+    The whole page is searched and its length plays no part.
+    """
+    page = F.lower(blank_safe(F.col("html")))
+    shown = F.lower(text_of(blank_safe(F.col("html"))))
+    rest = F.length(F.regexp_replace(shown, "|".join(rules.BLOCK_MARKERS), ""))
+    marked = pages.withColumns({
+        "_hits": count_contains(page, rules.BLOCK_MARKERS),
+        "_share": F.when(F.length(shown) > 0, 1 - rest / F.length(shown)).otherwise(1.0),
+    })
+    blocked = (F.col("_hits") >= 2) | ((F.col("_hits") == 1) & (F.col("_share") >= rules.BLOCK_SHARE))
+    return computed_once(marked, "_hits", "_share").where(~blocked).drop("_hits", "_share")
 
 
 # --- html helpers ---------------------------------------------------------------------------
@@ -212,7 +219,7 @@ def _card(**fields: Column) -> list[Column]:
 
 
 def listings_from_json_ld(pages: DataFrame, source: str = "lun") -> DataFrame:
-    """List pages that carry an ItemList block: one card per element.
+    """List pages that carry ItemList blocks: one card per element of all lists, in page order.
 
     The n-th element belongs to the n-th distinct public link; without one it gets a stable
     synthetic id.
@@ -221,7 +228,8 @@ def listings_from_json_ld(pages: DataFrame, source: str = "lun") -> DataFrame:
     lists = F.filter(json_blocks(F.col("html")), lambda b: F.exists(block_types(b), lambda t: t.contains("itemlist")))
     rows = pages.select(
         "deal_type", "zone", "fetched_at", F.col("url").alias("page_url"), ids.alias("_ids"),
-        F.posexplode(get(F.get(lists, 0), "$.itemListElement", "array<variant>")).alias("_i", "_el"),
+        F.posexplode(F.flatten(F.transform(lists, lambda b: F.coalesce(
+            get(b, "$.itemListElement", "array<variant>"), F.array().cast("array<variant>"))))).alias("_i", "_el"),
     ).withColumn("_item", get(F.col("_el"), "$.item", "variant")).where(is_object(F.col("_item")))
     item = F.col("_item")
     offer = first_offer(item)
@@ -246,7 +254,7 @@ def listings_from_json_ld(pages: DataFrame, source: str = "lun") -> DataFrame:
         source=F.lit(source), external_id=ext,
         url=F.when(F.col("_public"), F.concat(F.lit("https://lun.ua/realty/"), ext)).otherwise(
             F.concat(F.lit("https://lun.ua/"), F.col("deal_type"), F.lit("/kyiv/commercial#item-"), ext)),
-        deal_type=F.col("deal_type"), title=F.substring(name, 1, 500), property_type=guess_type(name),
+        deal_type=F.col("deal_type"), title=name, property_type=guess_type(name),
         price=F.when(numeric | F.col("_price_text").isNull(), price).otherwise(F.col("_tp")),
         currency=F.upper(F.coalesce(F.when(numeric | F.col("_price_text").isNull(), cur).otherwise(F.col("_tc")), F.lit("UAH"))),
         area_sqm=F.coalesce(size.try_cast("double"), parse_area(size)), address_raw=address,
@@ -278,8 +286,8 @@ def listings_from_state_json(pages: DataFrame, source: str = "olx", base: str =
     url = _absolute(link, base)
     ext = get(ad, "$.id")
     return rows.where(_usable_ad(ad)).select("page_url", "position", *_card(
-        source=F.lit(source), external_id=ext, url=url, deal_type=F.col("deal_type"), title=F.substring(title, 1, 500),
-        description=none_if_empty(F.substring(blank_safe(get(ad, "$.description")), 1, 5000)),
+        source=F.lit(source), external_id=ext, url=url, deal_type=F.col("deal_type"), title=title,
+        description=none_if_empty(get(ad, "$.description")),
         property_type=guess_type(F.concat_ws(" ", title, url)),
         price=get(ad, "$.price.regularPrice.value", "double"),
         currency=F.upper(F.coalesce(none_if_empty(get(ad, "$.price.regularPrice.currencyCode")), F.lit("UAH"))),
@@ -287,7 +295,7 @@ def listings_from_state_json(pages: DataFrame, source: str = "olx", base: str =
         floor=floor["normalizedValue"].try_cast("double").cast("int"),
         address_raw=F.concat_ws(", ", district, city), city=city,
         lat=get(ad, "$.map.lat", "double"), lon=get(ad, "$.map.lon", "double"),
-    ), _extra(snippet=F.substring(title, 1, 400), olx_status=get(ad, "$.status"), seller=get(ad, "$.user.name")).alias("extra"),
+    ), _extra(snippet=title, olx_status=get(ad, "$.status"), seller=get(ad, "$.user.name")).alias("extra"),
         F.col("fetched_at").alias("seen_at"))
 
 
@@ -345,14 +353,14 @@ def listings_from_anchors(pages: DataFrame, rule: LinkRule) -> DataFrame:
     default = F.when(F.col("deal_type") == "sale", rule.sale_currency).otherwise(rule.rent_currency)
     street = street_address(text, rule.street_chars)
     address = {
-        "domria": F.coalesce(street, F.substring(text, 1, 180)),
-        "olx": F.coalesce(F.trim(extract(text, r"((?:Київ|Киев|Київська область)[^|]{0,80})")), F.lit("Київ")),
-    }.get(rule.source, F.coalesce(street, F.trim(extract(text, r"(Ки[єе]в[^\|]{5,80})"))))
-    extra = _extra(snippet=F.substring(text, 1, 400)) if rule.source == "olx" else _extra(list_only=F.lit(True))
+        "domria": F.coalesce(street, text),
+        "olx": F.coalesce(F.trim(extract(text, r"((?:Київ|Киев|Київська область)[^|]*)")), F.lit("Київ")),
+    }.get(rule.source, F.coalesce(street, F.trim(extract(text, r"(Ки[єе]в[^\|]{5,})"))))
+    extra = _extra(snippet=text) if rule.source == "olx" else _extra(list_only=F.lit(True))
     detailed = rule.source == "rieltor"
     return rows.select("page_url", "position", *_card(
         source=F.lit(rule.source), external_id=F.col("_ext"), url=url, deal_type=F.col("deal_type"),
-        title=F.substring(text, 1, 500), property_type=guess_type(F.concat_ws(" ", text, url)), price=F.col("_price"),
+        title=text, property_type=guess_type(F.concat_ws(" ", text, url)), price=F.col("_price"),
         currency=F.coalesce(F.col("_cur"), default), price_per_sqm=F.col("_rate") if detailed else F.lit(None),
         area_sqm=parse_area(text), floor=parse_floor(text) if detailed else F.lit(None), address_raw=address,
         district=text_district(text) if detailed else F.lit(None), city=F.lit("Київ"),
@@ -394,7 +402,7 @@ def listings_from_cards(pages: DataFrame, source: str = "rieltor", base: str = "
     title = F.coalesce(none_if_empty(F.trim(join_text(address, F.col("_desc")))), F.concat(F.lit("RIELTOR "), F.col("_ext")))
     return rows.select("page_url", "position", *_card(
         source=F.lit(source), external_id=F.col("_ext"), url=_absolute(F.col("_href"), base), deal_type=F.col("deal_type"),
-        title=F.substring(title, 1, 500), property_type=guess_type(F.concat_ws(" ", title, local)), price=F.col("_price"),
+        title=title, property_type=guess_type(F.concat_ws(" ", title, local)), price=F.col("_price"),
         currency=F.coalesce(F.col("_cur"), F.when(F.col("deal_type") == "sale", "USD").otherwise("UAH")),
         price_per_sqm=F.col("_rate"), area_sqm=parse_area(local), floor=parse_floor(local),
         address_raw=F.coalesce(address, street_address(local, 50)), district=text_district(local), city=F.lit("Київ"),
@@ -418,8 +426,9 @@ def _last(blocks: Column, value) -> Column:
 
 
 def detail_fields(pages: DataFrame) -> DataFrame:
-    """One row per detail page: source, url and all fields any portal policy reads (``d_*``)."""
+    """One row per detail page, of several fetches the latest: source, url and all fields any portal policy reads (``d_*``)."""
     html, source = F.col("html"), F.col("source")
+    pages = latest_by(pages, ["source", "url"], [F.col("fetched_at"), F.xxhash64("html")])
     rows = pages.withColumn("_all", json_blocks(html)).withColumn("d_status", page_status(html, F.col("_all")))
     typed = F.filter(F.col("_all"), lambda b: F.when(source == "domria", has_type(b, *DETAIL_TYPES["domria"]))
                      .when(source == "olx", has_type(b, *DETAIL_TYPES["olx"])).otherwise(F.lit(True)))
@@ -449,7 +458,7 @@ def detail_fields(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "d_title": meta(html, "og:title"), "d_description": meta(html, "og:description"),
         "d_phones": extract_phones(html), "d_text": text_of(html),
-        "d_ld_name": F.substring(_last(blocks, lambda b: none_if_empty(get(b, "$.name"))), 1, 500),
+        "d_ld_name": _last(blocks, lambda b: none_if_empty(get(b, "$.name"))),
         "d_ld_description": _last(blocks, lambda b: none_if_empty(get(b, "$.description"))),
         "d_address": _last(blocks, lambda b: postal_address(get(b, "$.address", "variant"))),
         "d_geo": _last(blocks, placed), "d_offer": _last(blocks, priced),
@@ -475,10 +484,10 @@ def merge_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     title = F.when(domria | olx, F.coalesce("d_ld_name", og_title, "title")).otherwise(F.coalesce(og_title, "title"))
     description = (
         F.when(domria, c("d_ld_description")).when(olx, F.coalesce("d_ld_description", og_desc, "description"))
-        .when(rieltor, og_desc).otherwise(F.coalesce(og_desc, "description"))
+        .otherwise(F.coalesce(og_desc, "description"))
     )
     rows = rows.withColumns({
-        "_title": F.substring(title, 1, 500), "_desc": description,
+        "_title": title, "_desc": description,
         "_tt": F.when(rieltor, blank_safe(og_title)).otherwise(""), "_bt": F.when(rieltor, c("d_text")).otherwise(""),
     })
     rows = with_total_price(with_total_price(rows, c("_tt"), "_p1", "_c1"), c("_bt"), "_p2", "_c2")
@@ -491,8 +500,8 @@ def merge_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     ld_address = F.coalesce("d_address", "address_raw")
     longer = (head != "") & ((blank_safe(ld_address) == "") | (F.length(head) > F.length(ld_address)))
     rieltor_address = F.coalesce(
-        street_address(c("_title"), 50), F.trim(extract(c("_title"), r"(Ки[єе]в[^\|]{5,80})")),
-        street_address(c("d_text"), 50), F.trim(extract(c("d_text"), r"(Ки[єе]в[^\|]{5,80})")), c("address_raw"))
+        street_address(c("_title"), 50), F.trim(extract(c("_title"), r"(Ки[єе]в[^\|]{5,})")),
+        street_address(c("d_text"), 50), F.trim(extract(c("d_text"), r"(Ки[єе]в[^\|]{5,})")), c("address_raw"))
     address = F.when(lun & longer, head).when(rieltor, rieltor_address).when(
         domria, F.coalesce(ld_address, "d_served")).otherwise(ld_address)
     by_stock = F.when(c("d_availability").contains("SoldOut") | c("d_availability").contains("OutOfStock"), "sold_or_unavailable").when(
