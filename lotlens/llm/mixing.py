@@ -138,7 +138,8 @@ def _with_quality(rows: DataFrame, quality: DataFrame | None, doc_id: str) -> Da
     if quality is None:
         return rows.withColumn("q", F.lit(None).cast("double"))
     means = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.avg("quality").alias("q"))
-    return rows.join(means, F.col(doc_id) == F.col("q_id"), "left").drop("q_id")
+    # weights grow with the documents: the same join at every size
+    return rows.join(means.hint("merge"), F.col(doc_id) == F.col("q_id"), "left").drop("q_id")
 
 
 def _place(key: Column) -> Column:
