@@ -17,9 +17,9 @@ from lotlens.functions.text import (
     none_if_empty, normalize_address, strip_price_junk,
 )
 from lotlens.operators.activity import last_reactivation, representative
-from lotlens.operators.changes import KEY, card_changed, dedupe_batch
+from lotlens.operators.changes import KEY, STICKY, card_changed, dedupe_batch, track_observations
 from lotlens.operators.market import is_active
-from lotlens.operators.relational import append_key
+from lotlens.operators.relational import HOT_ROWS, append_key
 from lotlens.schemas import CARD_COLUMNS, EXTRA, PAYLOAD
 
 TRUTHY = ("title", "description", "currency", "address_raw", "district", "city", "phone", "agency",
@@ -63,7 +63,12 @@ def set_exclusion(listings: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def clean_observations(obs: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
     """Batch de-dup, segment filter, price repair, finance terms and fingerprint."""
-    rows = classify_segment(dedupe_batch(obs)).where(F.col("segment_decision.relevant"))
+    return clean_cards(dedupe_batch(obs), cfg)
+
+
+def clean_cards(obs: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
+    """`clean_observations` for all cards of a listing, not the first one alone."""
+    rows = classify_segment(obs).where(F.col("segment_decision.relevant"))
     segment = F.col("segment_decision.segment")
     rows = rows.withColumns({
         "property_type": F.when(segment.isin(*rules.TARGET_SEGMENTS), segment).otherwise(F.col("property_type")),
@@ -121,7 +126,9 @@ def next_listings(merged: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
     """Listing table after the batch: sticky columns keep old values, others take the new ones."""
     seen, known = F.col("new").isNotNull(), F.col("old").isNotNull()
     status = map_status(_raw_status())
-    dropped = F.coalesce(_new("price") < _old("price"), F.lit(False)).cast("int")
+    folded = "price_drops" in merged.schema["new"].dataType.names
+    dropped = F.coalesce(_new("price_drops") if folded else (_new("price") < _old("price")).cast("int"), F.lit(0))
+    first_seen = _new("first_seen_at") if folded else _new("seen_at")
     kept = F.when(_old("status") != "vanished", _old("vanished_at"))
     gone_at = F.when(status != "vanished", kept).when(
         known & (_old("status") != "vanished"), F.coalesce(_old("vanished_at"), _new("seen_at"))
@@ -136,12 +143,12 @@ def next_listings(merged: DataFrame, cfg: MarketConfig = DEFAULT) -> DataFrame:
     ])
     value["property_key"] = F.coalesce(_new("property_key"), _old("property_key"))
     value["status"] = F.when(seen, status).otherwise(_old("status"))
-    value["first_seen_at"] = F.coalesce(_old("first_seen_at"), _new("seen_at"))
+    value["first_seen_at"] = F.coalesce(_old("first_seen_at"), first_seen)
     value["last_seen_at"] = F.coalesce(_new("seen_at"), _old("last_seen_at"))
     value["vanished_at"] = F.when(seen, gone_at).otherwise(_old("vanished_at"))
     value["price_drop_count"] = (F.coalesce(_old("price_drop_count"), F.lit(0)) + dropped).cast("int")
     value["exclude_from_stats"] = F.coalesce(_old("exclude_from_stats"), F.lit(False))
-    value["created_at"] = F.coalesce(_old("created_at"), _new("seen_at"))
+    value["created_at"] = F.coalesce(_old("created_at"), first_seen)
     value["updated_at"] = F.coalesce(_new("seen_at"), _old("updated_at"))
     rows = merged.select(seen.alias("_seen"), *[
         v.alias(k) for k, v in value.items() if k not in KEY
@@ -193,6 +200,41 @@ def merge_events(merged: DataFrame) -> DataFrame:
     )
 
 
+def track_cards(listings: DataFrame, cards: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All cards of a batch with the state each one met; the stored listing comes first, whatever its time."""
+    first = cards.groupBy(*KEY).agg(F.min("seen_at").alias("_first"))
+    fresh = cards.select(*KEY, "property_key", "url", *STICKY, "seen_at", "seq").withColumns({
+        "stored": F.lit("card"), "stored_gone": F.lit(None).cast("timestamp")})
+    seeds = listings.join(first, KEY).select(
+        *KEY, "property_key", "url", *STICKY, F.least("last_seen_at", "_first").alias("seen_at"),
+        F.lit(-(2**63)).cast("bigint").alias("seq"), F.col("status").alias("stored"), F.col("vanished_at").alias("stored_gone"))
+    rows = track_observations(seeds.unionByName(fresh), hot_rows=hot_rows, also=["stored", "stored_gone"])
+    met = F.col("prev_stored") != "card"
+    return rows.where("stored = 'card'").withColumns({
+        "stored_status": F.when(met, F.col("prev_stored")).otherwise(F.col("stored_status")),
+        "stored_vanished_at": F.when(met, F.col("prev_stored_gone")).otherwise(F.col("stored_vanished_at")),
+    })
+
+
+def fold_cards(cards: DataFrame, tracked: DataFrame) -> DataFrame:
+    """One row per listing that merges into the stored state as its cards would one after the other."""
+    place = F.struct("seen_at", "seq")
+
+    def last(value: Column, kept: Column) -> Column:
+        return F.max_by(value, F.when(kept, place))
+
+    picked = {c: last(F.col(c), F.col(c).isNotNull()) for c in CARD_COLUMNS if c not in KEY}
+    picked |= {c: last(F.col(c), none_if_empty(F.col(c)).isNotNull()) for c in TRUTHY}
+    picked["price_per_sqm"] = last(F.col("price_per_sqm"), F.col("price_per_sqm") != 0)
+    picked["rooms"] = F.min_by("rooms", place)
+    picked["extra"] = F.struct(*[last(F.col(f"extra.{f}"), F.col(f"extra.{f}").isNotNull()).alias(f) for f in EXTRA_FIELDS])
+    folded = cards.groupBy(*KEY).agg(
+        *[v.alias(c) for c, v in picked.items()], F.max_by("property_key", place).alias("property_key"),
+        F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("seen_at"), F.max_by("seq", place).alias("seq"))
+    drops = tracked.where("price_dropped").groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("price_drops"))
+    return folded.join(drops, KEY, "left")
+
+
 def merge_snapshots(merged: DataFrame, listings_after: DataFrame) -> DataFrame:
     """History rows of a merged batch: new listings and those whose card or text changed."""
     described = blank_safe(_new("description"))

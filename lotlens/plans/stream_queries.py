@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotlens.plans.check_sql import MISSED_BY_IDLE, OBS, tracked, ts, with_
-from lotlens.plans.registry import query, stamp
+from lotlens.plans.check_sql import MISSED_BY_IDLE, OBS, mapped, tracked, ts, with_
+from lotlens.plans.registry import big, query, stamp
 from lotlens.plans.views import event_stream, observation_view
 from lotlens.schemas import TABLES
 from lotlens.session import scratch
@@ -67,15 +67,31 @@ def stream_weekly(spark, root):
     return K.run_available(counts, "weekly").select(stamp("start"), "source", "n")
 
 
-@query("stream_to_mart", with_(OBS, body=f"""SELECT source, external_id, price, {ts('first_seen_at')}, 'appeared' AS event_type FROM
-(SELECT source, external_id, price, seen_at AS first_seen_at FROM obs QUALIFY row_number() OVER (PARTITION BY source, external_id ORDER BY seq) = 1)"""))
+MART_STATE_SQL = """kinds AS (SELECT source, external_id, count(*) FILTER (event_type = 'appeared') AS appeared, count(*) FILTER (event_type = 'price_changed') AS price_changed,
+  count(*) FILTER (event_type = 'status_changed') AS status_changed, count(*) FILTER (event_type = 'relisted') AS relisted FROM chg GROUP BY 1, 2),
+drops AS (SELECT source, external_id, count(*) FILTER (price_dropped) AS price_drop_count FROM trk GROUP BY 1, 2),
+state AS (SELECT source, external_id, arg_max(price, (seen_at, seq)) FILTER (price IS NOT NULL) AS price, arg_max(title, (seen_at, seq)) FILTER (title IS NOT NULL) AS title,
+  arg_max(source_status_raw, (seen_at, seq)) FILTER (source_status_raw IS NOT NULL) AS raw, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at FROM obs GROUP BY 1, 2)"""
+NEVER = "CAST(NULL AS TIMESTAMP)"
+
+
+@query("stream_to_mart", with_(OBS, tracked(NEVER), MART_STATE_SQL, body=f"""SELECT source, external_id, price, title, {mapped('raw')} AS status, {ts('first_seen_at')}, {ts('last_seen_at')},
+  price_drop_count, appeared, price_changed, status_changed, relisted FROM state JOIN drops USING (source, external_id) JOIN kinds USING (source, external_id)"""))
 def stream_mart(spark, root):
-    """One micro-batch of first cards: every listing appears once with its first price."""
-    path = scratch(spark, "stream-mart")
-    keyed = _stream(spark, root)
-    cards = conform(keyed, "observations").withColumn("property_key", F.col("external_id"))
-    running = K.stream_to_mart(cards, path, scratch(spark, "stream-mart-cp"))
-    running.awaitTermination()
+    """The log arrives in three parts, oldest first; each run merges all that is new into the mart."""
+    path, log, checkpoint = (scratch(spark, n) for n in ("stream-mart", "stream-mart-log", "stream-mart-cp"))
+    obs = conform(observation_view(spark, root).withColumn("property_key", F.col("external_id")), "observations")
+    span = obs.agg(F.min("seen_at").alias("low"), F.max("seen_at").alias("high")).first()
+    third = (span.high - span.low) / 3
+    part = F.when(F.col("seen_at") < span.low + third, 0).when(F.col("seen_at") < span.low + 2 * third, 1).otherwise(2)
+    for n in range(3):
+        obs.where(part == n).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(obs.schema).parquet(log).withColumn("property_key", F.col("external_id"))
+        running = K.stream_to_mart(stream, path, checkpoint)
+        running.awaitTermination()
     listings = spark.read.schema(TABLES["listings"]).parquet(K.latest_slot(path, running))
-    events = spark.read.parquet(f"{path}/events").select("source", "external_id", "event_type")
-    return listings.join(events, ["source", "external_id"]).select("source", "external_id", "price", stamp("first_seen_at"), "event_type")
+    events = spark.read.parquet(f"{path}/events").groupBy("source", "external_id").agg(*[
+        F.count_if(F.col("event_type") == kind).alias(kind) for kind in ("appeared", "price_changed", "status_changed", "relisted")])
+    return listings.join(events, ["source", "external_id"]).select(
+        "source", "external_id", "price", "title", "status", stamp("first_seen_at"), stamp("last_seen_at"), *big("price_drop_count"),
+        "appeared", "price_changed", "status_changed", "relisted")

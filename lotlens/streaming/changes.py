@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lotlens.functions.text import map_status
-from lotlens.operators.changes import KEY, STICKY, change_events, dedupe_batch, track_observations
+from lotlens.operators.changes import KEY, STICKY, change_events, track_observations
 from lotlens.operators.relational import HOT_ROWS
-from lotlens.operators.state import merge_events, merge_state, next_listings
+from lotlens.operators.state import fold_cards, merge_state, next_listings, track_cards
 from lotlens.schemas import TABLES
 from lotlens.session import scratch, stored
 
@@ -138,11 +138,16 @@ def stream_activity(events: DataFrame, window: str = "1 day", slide: str | None
     )
 
 
-def mart_writer(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
+def mart_writer(
+    spark: SparkSession, root: str, prepare: Callable[[DataFrame], DataFrame] | None = None, hot_rows: int = HOT_ROWS,
+) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: merges a micro-batch of cards into the listing table.
 
-    Listings alternate between two slots by batch number and events are written per batch,
-    so a repeated batch reads the same input and overwrites its own output.
+    Every card counts: each one is compared with the state the one before left, whether that is
+    stored or in the same micro-batch, so listings and events don't depend on where the source cuts its
+    batches, as long as a listing's cards come in time order over batches. ``prepare`` cleans the cards first
+    (`operators.state.clean_cards`). Listings alternate between two slots by batch number and
+    events are written per batch, so a repeated batch reads the same input and overwrites its own output.
     """
     def slot(batch_id: int) -> str:
         return f"{root}/listings/slot={batch_id % 2}"
@@ -153,16 +158,21 @@ def mart_writer(spark: SparkSession, root: str) -> Callable[[DataFrame, int], No
             session.createDataFrame([], TABLES["listings"]) if batch_id == 0
             else session.read.schema(TABLES["listings"]).parquet(slot(batch_id - 1))
         )
-        merged = merge_state(old, dedupe_batch(batch))
+        cards = stored(prepare(batch) if prepare else batch, "cards")
+        tracked = stored(track_cards(old, cards, hot_rows), "tracked")
+        merged = merge_state(old, fold_cards(cards, tracked))
         next_listings(merged).write.mode("overwrite").parquet(slot(batch_id))
-        merge_events(merged).write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}")
+        change_events(tracked).write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}")
 
     return merge
 
 
-def stream_to_mart(obs: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def stream_to_mart(
+    obs: DataFrame, root: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> StreamingQuery:
     """Idempotent mart update per micro-batch."""
-    writer = mart_writer(obs.sparkSession, root)
+    writer = mart_writer(obs.sparkSession, root, prepare, hot_rows)
     return (
         obs.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()

@@ -13,11 +13,11 @@ CUTS = ["2024-01-08", "2024-01-15", "2024-01-22"]
 COLUMNS = ["source", "external_id", "event_type", "occurred_at", "old_price", "new_price"]
 
 
-def parts(spark, sf):
-    """The log cut into four files, oldest first."""
+def parts(spark, sf, cuts=CUTS):
+    """The log cut into files, oldest first."""
     path = scratch(spark, "parts")
     obs = observation_view(spark, sf)
-    edges = [None, *CUTS, None]
+    edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
         rows = obs
         if low:
@@ -60,17 +60,50 @@ def test_batch_stream_equals_batch_also_with_hot_listings(spark, sf):
         same(spark.read.parquet(f"{path}/events"), expected(obs))
 
 
-def test_mart_stream(spark, sf):
-    obs, stream = parts(spark, sf)
+def mart(spark, stream, hot_rows=10**6):
     path = scratch(spark, "mart")
     cards = conform(stream, "observations").withColumn("property_key", F.col("external_id"))
-    query = K.stream_to_mart(cards, path, scratch(spark, "cp"))
+    query = K.stream_to_mart(cards, path, scratch(spark, "cp"), hot_rows=hot_rows)
     query.awaitTermination()
-    listings = spark.read.schema(TABLES["listings"]).parquet(K.latest_slot(path, query))
-    assert listings.count() == obs.select("source", "external_id").distinct().count()
-    events = spark.read.parquet(f"{path}/events")
-    assert events.where("event_type = 'appeared'").count() == listings.count()
-    assert events.where("event_type = 'price_changed'").count() > 0
+    return spark.read.schema(TABLES["listings"]).parquet(K.latest_slot(path, query)), spark.read.parquet(f"{path}/events")
+
+
+def test_mart_stream_is_the_batch_fold_for_any_cut(spark, sf):
+    state = ["source", "external_id", "price", "title", "status", "first_seen_at", "last_seen_at", "vanished_at", "price_drop_count"]
+    event = [*COLUMNS[:4], "payload.old_price", "payload.new_price", "payload.old_status", "payload.new_status"]
+    for cuts, hot_rows in ((CUTS, 10**6), (["2024-01-11 07:30:00"], 3)):
+        obs, stream = parts(spark, sf, cuts)
+        listings, events = mart(spark, stream, hot_rows)
+        want = fold_observations(obs).select(state)
+        got = listings.select(state)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+        changes = change_events(track_observations(obs)).select(event)
+        assert events.count() == changes.count() and events.select(event).exceptAll(changes).count() == 0
+
+
+def test_mart_keeps_every_card_of_a_batch_and_stored_vanishing(spark):
+    def cards(*rows):
+        frame = spark.createDataFrame([("s", "1", p, t, n) for n, (p, t) in enumerate(rows)],
+                                      "source STRING, external_id STRING, price DOUBLE, at STRING, seq BIGINT")
+        return conform(frame.withColumn("seen_at", F.to_timestamp("at")), "observations").withColumn("property_key", F.lit("p"))
+
+    path = scratch(spark, "mart")
+    merge = K.mart_writer(spark, path)
+    merge(cards((100.0, "2024-01-01"), (90.0, "2024-01-02"), (80.0, "2024-01-03")), 0)
+    row = spark.read.schema(TABLES["listings"]).parquet(f"{path}/listings/slot=0").first()
+    assert (row.price, str(row.last_seen_at), row.price_drop_count) == (80.0, "2024-01-03 00:00:00", 2)
+    kinds = spark.read.parquet(f"{path}/events/batch=0").orderBy("occurred_at").select("event_type").collect()
+    assert [k[0] for k in kinds] == ["appeared", "price_changed", "price_changed"]
+
+    gone = spark.read.schema(TABLES["listings"]).parquet(f"{path}/listings/slot=0").withColumns({
+        "status": F.lit("vanished"), "vanished_at": F.to_timestamp(F.lit("2024-01-05"))}).collect()
+    spark.createDataFrame(gone, TABLES["listings"]).write.mode("overwrite").parquet(f"{path}/listings/slot=0")
+    for _ in range(2):  # a repeated batch changes nothing
+        merge(cards((70.0, "2024-01-06"), (70.0, "2024-01-07")), 1)
+    row = spark.read.schema(TABLES["listings"]).parquet(f"{path}/listings/slot=1").first()
+    assert (row.status, row.vanished_at, row.price_drop_count, str(row.first_seen_at)) == ("active", None, 3, "2024-01-01 00:00:00")
+    kinds = spark.read.parquet(f"{path}/events/batch=1").select("event_type").collect()
+    assert sorted(k[0] for k in kinds) == ["price_changed", "relisted"]
 
 
 def test_windows(spark, sf):
