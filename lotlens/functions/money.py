@@ -26,6 +26,7 @@ RATE_PATTERNS = (
     rf"{RATE_NUMBER}\s*{RATE_MARK}\s*/\s*м(?:²|2)(?![\p{{L}}\p{{N}}_])",
     rf"{RATE_NUMBER}\s*{RATE_MARK}\s*/\s*sqm(?![\p{{L}}\p{{N}}_])",
 )
+GLUED = 8
 LOCAL_CURRENCY_PATTERN = r"грн|uah|₴"
 PLAIN_NUMBER = r"(?<![\p{L}\p{N}_])((?:\d{1,3}(?:[ \u00a0]\d{3}){1,4}|\d{4,9}))(?:[.,]\d+)?(?![\p{L}\p{N}_])"
 
@@ -165,28 +166,34 @@ def with_rate(
     )
 
 
-def _candidate(cur: str):
+def _candidate(cur: str, alone: bool):
     return lambda m: F.struct(
         F.length(m).alias("len"),
         number_value(F.regexp_extract(m, NUMBER + r"(?!\d)", 0)).alias("value"),
-        F.lit(cur).alias("cur"),
+        F.lit(cur).alias("cur"), F.lit(alone).alias("alone"),
     )
 
 
 def _candidates(low: Column, cfg: MarketConfig) -> Column:
-    """Array of (len, value, cur): numbers next to a currency mark that are not rates.
+    """Array of (len, value, cur, alone): numbers next to a currency mark that are not rates.
 
-    ``low`` is lower-case text; a currency whose marks do not occur costs no regex.
+    A mark after a number closes it and opens no other, unless it stands apart from it and touches the
+    next. ``alone`` is false where another number goes before, as the digits may then belong to
+    both. ``low`` is lower-case text; a currency whose marks do not occur costs no regex.
     """
-    empty = F.array().cast("array<struct<len:int,value:double,cur:string>>")
+    empty = F.array().cast("array<struct<len:int,value:double,cur:string,alone:boolean>>")
     arrays = []
     for cur, (before, after, words) in MARKS.items():
+        opened = rf"(?:(?<!\d)(?<!\d\s{{1,3}}){before}\s*[:\s]*|(?<=\d\s{{1,3}}){before})"
+        closed = rf"(?=({NUMBER}(?:{after}|\s+{after}(?!\d)))(?!{PER_METRE}))"
         patterns = (
-            rf"({before}\s*[:\s]*{NUMBER}(?!\d)(?![ \u00a0]\d{{3}}(?!\d)))(?!{PER_METRE})",
-            rf"(?<![\d.,])(?=({NUMBER}\s*{after})(?!{PER_METRE}))",
+            (rf"({opened}{NUMBER}(?!\d)(?![ \u00a0]\d{{3}}(?!\d)))(?!{PER_METRE})", True),
+            (rf"(?<![\d.,])(?<!\d[ \u00a0]){closed}", True),
+            (rf"(?<=\d[ \u00a0]){closed}", False),
         )
-        found = F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in patterns])
-        arrays.append(F.when(any_contains(low, words), F.transform(found, _candidate(cur))).otherwise(empty))
+        found = F.concat(*[
+            F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), _candidate(cur, alone)) for p, alone in patterns])
+        arrays.append(F.when(any_contains(low, words), found).otherwise(empty))
     return F.filter(F.concat(*arrays), lambda c: (c["value"] > 0) & (c["value"] <= cfg.max_price))
 
 
@@ -198,7 +205,9 @@ def with_total_price(
 
     Several numbers may qualify. A rate and an area in the same text settle it by the
     smallest relative error; a rate alone asks for at least 25 times the rate; otherwise
-    USD goes first and the longest number wins (a shorter one is a tail of its digits).
+    USD goes first and the longest number wins (a shorter one is a tail of its digits). Where every
+    number follows another one, glued digits are told by size: of readings of a
+    thousand and more the smallest wins if the largest is over ``GLUED`` times as much.
     """
     low, cand, rate, rate_cur, area = (F.col(c) for c in ("_t_low", "_t_cand", "_t_rate", "_t_rcur", "_t_area"))
     staged = df.withColumn("_t_low", F.lower(text))
@@ -221,6 +230,16 @@ def with_total_price(
     def pick(c: Column) -> Column:
         return F.struct(c["value"].alias("value"), c["cur"].alias("cur"))
 
+    def settled(items: Column, best) -> Column:
+        alone = F.filter(items, lambda c: c["alone"])
+        whole = F.filter(items, lambda c: c["value"] >= 1000)
+        by_value = F.array_sort(F.transform(whole, lambda c: F.struct(c["value"].alias("value"), c["cur"].alias("cur"))))
+        low_end, high_end = F.get(by_value, F.lit(0)), F.element_at(by_value, -1)
+        return (
+            F.when(F.size(alone) > 0, pick(best(alone))).when(F.size(whole) == 0, pick(best(items)))
+            .when(high_end["value"] > GLUED * low_end["value"], low_end).otherwise(high_end)
+        )
+
     staged = staged.withColumn("_t_usd", F.filter(cand, lambda c: c["cur"] == "USD")).withColumns({
         "_t_good": F.filter(F.col("_t_usd"), lambda c: c["value"] / rate >= 25),
         "_t_near": F.when(rate.isNotNull() & area.isNotNull() & (F.size(cand) > 1), nearest(cand)),
@@ -241,8 +260,8 @@ def with_total_price(
         .when(near["err"] < 0.18, pick(near))
         .when((F.size(plausible) > 0) & near.isNotNull(), pick(nearest(plausible)))
         .when(F.size(plausible) > 0, pick(F.array_max(plausible)))
-        .when((F.size(usd) > 0) & usd_rules, pick(F.array_max(usd)))
-        .otherwise(pick(largest(cand)))
+        .when((F.size(usd) > 0) & usd_rules, settled(usd, F.array_max))
+        .otherwise(settled(cand, largest))
     )
     return (
         staged.withColumn("_t_pick", choice)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotlens.operators import deals as D
 from lotlens.operators import state as S
-from lotlens.plans.check_sql import LISTINGS_AS_OF as SQL_AS_OF, LV, with_
+from lotlens.plans.check_sql import LISTINGS_AS_OF as SQL_AS_OF, LOG_AS_OF as SQL_LOG_AS_OF, LV, MART, with_
 from lotlens.plans.log_queries import _premises_events
 from lotlens.plans.registry import big, query, stamp
 from lotlens.plans.views import LISTINGS_AS_OF, as_of, listing_view
@@ -56,6 +56,11 @@ sc AS (SELECT *, CASE WHEN score >= 70 THEN 'likely_deal' WHEN score >= 40 THEN
     - CASE WHEN days < 3 THEN 30 ELSE 0 END - CASE WHEN bulk THEN 15 ELSE 0 END - CASE WHEN back THEN 35 ELSE 0 END)) AS score FROM sc0)),
 hyp AS (SELECT property_key, source, external_id, score, bucket, vanished_at AS created_at, new_status, deal_type FROM sc)"""
 ALL = (LV, EVENTS_SQL, CLOSED_SQL, BULK_SQL, CAND_SQL, SCORE_SQL)
+# The same hypotheses for the mart of the observation log, where the district stands for the agency.
+LOG_HYPOTHESES = (
+    MART, "lc AS (SELECT *, district AS agency FROM ls)", "pe AS (SELECT property_key, event_type, occurred_at FROM ev)",
+    "pc AS (SELECT source, external_id, arg_max(old_price, occurred_at) AS old_price FROM ev WHERE event_type = 'price_changed' GROUP BY 1, 2)",
+    BULK_SQL.replace(SQL_AS_OF, SQL_LOG_AS_OF), CAND_SQL.replace(SQL_AS_OF, SQL_LOG_AS_OF), SCORE_SQL)
 
 
 def _data(spark, root):
@@ -197,7 +202,7 @@ def deal_cards(spark, root):
 @query("activity_summary", with_(*ALL, body=f"""SELECT 8760 AS hours,
   (SELECT count(*) FROM lc WHERE deal_type = 'sale' AND first_seen_at >= {SQL_AS_OF} - INTERVAL 8760 HOUR) AS new_listings,
   (SELECT count(*) FROM (SELECT property_key FROM lc WHERE status = 'vanished' AND vanished_at >= {SQL_AS_OF} - INTERVAL 8760 HOUR GROUP BY 1) v WHERE CAST(property_key AS BIGINT) % 4 < 2) AS vanished,
-  CAST(0 AS BIGINT) AS relisted,
+  (SELECT count(*) FROM lc WHERE deal_type = 'sale' AND listing_id % 10 = 4 AND last_seen_at >= {SQL_AS_OF} - INTERVAL 8760 HOUR) AS relisted,
   (SELECT count(*) FROM pc JOIN lc USING (source, external_id) WHERE deal_type = 'sale' AND first_seen_at >= {SQL_AS_OF} - INTERVAL 8760 HOUR) AS price_drops,
   (SELECT count(*) FROM lc LEFT JOIN hyp h ON h.source = lc.source AND h.external_id = lc.external_id WHERE lc.deal_type = 'sale' AND h.new_status = 'sold_marked' AND last_seen_at >= {SQL_AS_OF} - INTERVAL 8760 HOUR) AS sold_or_rented,
   (SELECT count(*) FROM hyp WHERE deal_type = 'sale' AND bucket = 'likely_deal' AND created_at >= {SQL_AS_OF} - INTERVAL 8760 HOUR) AS likely_deals"""))
@@ -212,6 +217,7 @@ def activity_summary(spark, root):
 
     log = event("appeared", "first_seen_at", rows).unionByName(
         event("vanished", "vanished_at", rows.where(F.col("status") == "vanished"))).unionByName(
+        event("relisted", "last_seen_at", rows.where(F.col("listing_id") % 10 == 4))).unionByName(
         events.where(F.col("event_type") == "price_changed").select(*KEY, "property_key", "event_type", "occurred_at", "payload"),
         allowMissingColumns=True)
     premises = rows.select("property_key", F.when(F.col("property_id") % 4 < 2, "sale").otherwise("rent").alias("deal_type")).distinct()

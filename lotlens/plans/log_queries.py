@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotlens.config import MarketConfig
@@ -39,8 +38,9 @@ def first_card(spark, root):
 @query("union_of_sources", with_(OBS, body="SELECT source, count(*) AS n, count(DISTINCT external_id) AS listings FROM obs GROUP BY source"))
 def union_of_sources(spark, root):
     obs = observation_view(spark, root)
-    parts = [obs.where(F.col("source") == s) for s in ("click", "view", "purchase", "signup", "error")]
-    return C.union_sources(*parts).groupBy("source").agg(
+    sale = F.coalesce(F.col("deal_type") == "sale", F.lit(False))
+    # the second frame has other columns in another order, as cards of another portal
+    return C.union_sources(obs.where(sale), obs.where(~sale).select("seq", "external_id", "source", "seen_at")).groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("external_id").alias("listings"))
 
 
@@ -284,13 +284,11 @@ def vanished_listing_ids(spark, root):
     return _vanished_ids(spark, root).select("property_key", *KEY, stamp("occurred_at"))
 
 
-@query("listings_by_activity_rank", with_(MART, VIDS, body="""SELECT l.source, l.external_id, l.status, row_number() OVER (ORDER BY v.occurred_at DESC, l.source, l.external_id) AS place
-FROM vids v JOIN ls l ON l.source = v.source AND l.external_id = v.external_id ORDER BY place LIMIT 50"""))
+@query("listings_by_activity_rank", with_(MART, VIDS, body="""SELECT l.source, l.external_id, l.status, strftime(v.occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at
+FROM vids v JOIN ls l ON l.source = v.source AND l.external_id = v.external_id"""))
 def by_activity_rank(spark, root):
-    """First page of the activity order, with its places."""
-    ranked = A.by_activity_rank(log_mart(spark, root)["listings"], _vanished_ids(spark, root)).limit(50)
-    place = F.row_number().over(Window.orderBy(F.col("occurred_at").desc(), *KEY))
-    return ranked.select(*KEY, "status", place.cast("bigint").alias("place"))
+    """All listings of the activity order, newest first."""
+    return A.by_activity_rank(log_mart(spark, root)["listings"], _vanished_ids(spark, root)).select(*KEY, "status", stamp("occurred_at"))
 
 
 @query("recent_events", with_(MART, body=f"""SELECT source, external_id, event_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at FROM ev e

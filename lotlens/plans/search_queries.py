@@ -16,6 +16,7 @@ from lotlens.operators.relational import page
 from lotlens.plans.check_sql import (
     ACTIVE, COHORTS, LISTINGS_AS_OF as SQL_AS_OF, LOG_AS_OF as SQL_LOG_AS_OF, LV, MARKET, MART, MK, rnd, usd, with_,
 )
+from lotlens.plans.deal_queries import LOG_HYPOTHESES
 from lotlens.plans.market_queries import HINT, HINT_COLUMNS, RATES, REF, _market
 from lotlens.plans.mart import log_mart
 from lotlens.plans.registry import big, query, stamp
@@ -270,25 +271,25 @@ def saved_filters(spark, root):
     return X.match_watches(spark.createDataFrame(WATCHES, schema), rows, _now())
 
 
-@query("premises_detail", with_(MART, body="""SELECT property_key, 'listing' AS section, source, external_id, status AS label, strftime(last_seen_at, '%Y-%m-%d %H:%M:%S') AS at FROM ls
-UNION ALL SELECT property_key, 'event', source, external_id, event_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') FROM ev"""))
+@query("premises_detail", with_(*LOG_HYPOTHESES, body="""SELECT property_key, 'listing' AS section, source, external_id, status AS label, strftime(last_seen_at, '%Y-%m-%d %H:%M:%S') AS at FROM ls
+UNION ALL SELECT property_key, 'event', source, external_id, event_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') FROM ev
+UNION ALL SELECT property_key, 'hypothesis', source, external_id, bucket, strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM hyp"""))
 def premises_detail(spark, root):
     mart = log_mart(spark, root)
     rows = X.property_detail(mart["listings"], mart["events"], mart["hypotheses"])
-    return rows.where(F.col("section") != "hypothesis").select("property_key", "section", *KEY, "label", stamp("at"))
+    return rows.select("property_key", "section", *KEY, "label", stamp("at"))
 
 
 # --- quality and maintenance ------------------------------------------------------------------------
 
 
-@query("table_totals", with_(MART, body=f"""SELECT 'total' AS grp, unnest(['listings', 'with_price', 'active', 'vanished']) AS name,
+@query("table_totals", with_(*LOG_HYPOTHESES, body=f"""SELECT 'total' AS grp, unnest(['listings', 'with_price', 'active', 'vanished']) AS name,
   unnest([count(*), count(price), count(*) FILTER (status = 'active'), count(*) FILTER (status = 'vanished')]) AS n FROM ls
-UNION ALL SELECT 'total', 'properties', count(*) FROM pr UNION ALL SELECT 'total', 'events', count(*) FROM ev
+UNION ALL SELECT 'total', 'properties', count(*) FROM pr UNION ALL SELECT 'total', 'events', count(*) FROM ev UNION ALL SELECT 'total', 'hypotheses', count(*) FROM hyp
 UNION ALL SELECT 'source', source, count(*) FROM ls GROUP BY source UNION ALL SELECT 'segment', deal_type, count(*) FROM ls GROUP BY deal_type"""))
 def table_totals(spark, root):
     mart = log_mart(spark, root)
-    rows = Q.table_totals(mart["listings"].withColumn("property_type", F.col("deal_type")), mart["properties"], mart["hypotheses"], mart["events"])
-    return rows.where(F.col("name") != "hypotheses")
+    return Q.table_totals(mart["listings"].withColumn("property_type", F.col("deal_type")), mart["properties"], mart["hypotheses"], mart["events"])
 
 
 AUDIT_ROWS = """au AS (SELECT *, CASE WHEN listing_id % 3 = 0 THEN 'domria' WHEN listing_id % 3 = 1 THEN 'rieltor' ELSE source END AS src,

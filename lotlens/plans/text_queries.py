@@ -126,11 +126,25 @@ def _price_text(spark, root):
     return rows.withColumn("text", text)
 
 
-@query("total_prices_from_text", with_(LV, PRICE_TEXT_SQL, body="""SELECT listing_id, CASE WHEN listing_id % 5 < 4 THEN CAST(p AS DOUBLE) END AS text_total,
-  CASE listing_id % 5 WHEN 2 THEN 'UAH' WHEN 3 THEN 'EUR' WHEN 4 THEN 'UAH' ELSE 'USD' END AS text_currency FROM pt"""))
+# Two more shapes hold several prices: a price in USD with the same in UAH, and digits glued to a price.
+@query("total_prices_from_text", with_(LV, PRICE_TEXT_SQL, body="""SELECT listing_id, 'one' AS shape, CASE WHEN listing_id % 5 < 4 THEN CAST(p AS DOUBLE) END AS text_total,
+  CASE listing_id % 5 WHEN 2 THEN 'UAH' WHEN 3 THEN 'EUR' WHEN 4 THEN 'UAH' ELSE 'USD' END AS text_currency FROM pt
+UNION ALL SELECT listing_id, 'two', CAST(p AS DOUBLE), 'USD' FROM pt UNION ALL SELECT listing_id, 'four', CAST(p AS DOUBLE), 'USD' FROM pt
+UNION ALL SELECT listing_id, 'glued', CAST(p % 900000 + 100000 AS DOUBLE), 'EUR' FROM pt"""))
 def total_prices(spark, root):
-    rows = Y.with_total_price(_price_text(spark, root), F.col("text"))
-    return rows.select("listing_id", "text_total", "text_currency")
+    one = _price_text(spark, root)
+
+    def spaced(n):
+        return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
+
+    dollars, local = spaced(F.col("p")), spaced(F.col("p") * 42)
+    shapes = {
+        "one": F.col("text"), "two": F.concat(dollars, F.lit(" $ "), local, F.lit(" грн")),
+        "four": F.concat(F.lit("завдаток 900 € або 38 000 грн, разом "), local, F.lit(" грн, "), dollars, F.lit(" $")),
+        "glued": F.concat(F.lit("17 17 "), spaced(F.col("p") % 900000 + 100000), F.lit(" € центр")),
+    }
+    texts = one.select("listing_id", F.explode(F.create_map(*[x for n, t in shapes.items() for x in (F.lit(n), t)])).alias("shape", "text"))
+    return Y.with_total_price(texts, F.col("text")).select("listing_id", "shape", "text_total", "text_currency")
 
 
 @query("rates_from_text", with_(LV, PRICE_TEXT_SQL, body="""SELECT listing_id, CASE WHEN listing_id % 5 IN (1, 4) THEN CAST(r AS DOUBLE) END AS text_rate,

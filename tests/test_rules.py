@@ -20,6 +20,19 @@ TEXTS = {
     "без ціни": (NONE, NONE, NONE),
     "40 $/sqm": (NONE, "USD", 40.0),
 }
+OWN_TEXTS = {
+    "250 000 $ 10 500 000 грн": (250000.0, "USD", NONE),
+    "10 500 000 грн 250 000 $": (250000.0, "USD", NONE),
+    "Магазин 3 120 500 $ 0671112233": (3120500.0, "USD", NONE),
+    "17 17 250 000 $ Фортечний тупик": (250000.0, "USD", NONE),
+    "17 17 250 500 $ Фортечний тупик": (250500.0, "USD", NONE),
+    "поверх 3 1 250 000 $": (1250000.0, "USD", NONE),
+    "поверх 5 $ 250000": (5.0, "USD", NONE),
+    "поверх 5 $250000": (250000.0, "USD", NONE),
+    "80 000 € / 93 000 $ / 3 900 000 грн": (93000.0, "USD", NONE),
+    "ціна: 45 000 грн, торг": (45000.0, "UAH", NONE),
+    "8 95 000 €": (95000.0, "EUR", NONE),
+}
 
 
 def test_price_text(spark):
@@ -28,6 +41,12 @@ def test_price_text(spark):
     assert {r.t: (r.text_total, r.text_currency, r.text_rate) for r in rows} == TEXTS
 
 
+def test_price_text_with_several_numbers(spark):
+    df = spark.createDataFrame([(t,) for t in OWN_TEXTS], "t STRING")
+    rows = Y.with_total_price(Y.with_rate(df, F.col("t")), F.col("t")).collect()
+    assert {r.t: (r.text_total, r.text_currency, r.text_rate) for r in rows} == OWN_TEXTS
+
+
 def test_digit_soup(spark):
     soup = "вул. Тестова 1 " + " ".join(str(i) for i in range(100000, 100050)) + " грн"
     row = Y.with_total_price(spark.createDataFrame([(soup,)], "t STRING"), F.col("t")).first()
