@@ -109,10 +109,13 @@ def latest_hypothesis(hyps: DataFrame) -> DataFrame:
 def merge_hypotheses(old: DataFrame, scored: DataFrame, as_of: Column) -> DataFrame:
     """Rewrites the newest hypothesis of a premises unless a human labelled it; else adds one."""
     cols = ["property_key", *KEY, "score", "bucket", "features", "human_label", "created_at", "updated_at"]
-    last = latest_hypothesis(old).select("property_key", F.col("created_at").alias("_last_at"), F.col("human_label").alias("_label"))
+    def mark() -> Column:
+        return F.struct("created_at", "score", *KEY)
+
+    last = latest_by(old, ["property_key"], [mark()]).select("property_key", mark().alias("_last"), F.col("human_label").alias("_label"))
     fresh = scored.select("property_key", *[F.col(c).alias(f"_n_{c}") for c in (*KEY, "score", "bucket", "features")])
     rewritten = old.join(last, "property_key", "left").join(fresh, "property_key", "left")
-    replace = (F.col("created_at") == F.col("_last_at")) & F.col("_label").isNull() & F.col("_n_score").isNotNull()
+    replace = mark().eqNullSafe(F.col("_last")) & F.col("_label").isNull() & F.col("_n_score").isNotNull()
     new_value = lambda c: F.when(replace, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
     kept = rewritten.select(
         "property_key", *[new_value(c) for c in (*KEY, "score", "bucket", "features")], "human_label", "created_at",

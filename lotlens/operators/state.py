@@ -21,6 +21,7 @@ from lotlens.operators.changes import KEY, STICKY, card_changed, dedupe_batch, t
 from lotlens.operators.market import is_active
 from lotlens.operators.relational import HOT_ROWS, append_key
 from lotlens.schemas import CARD_COLUMNS, EXTRA, PAYLOAD
+from lotlens.session import stored
 
 TRUTHY = ("title", "description", "currency", "address_raw", "district", "city", "phone", "agency",
           "source_status_raw", "property_type")
@@ -399,9 +400,12 @@ def reconcile_vanish(
     listings: DataFrame, events: DataFrame, seen: DataFrame, as_of: Column,
     properties: DataFrame | None = None, cfg: MarketConfig = DEFAULT,
 ) -> VanishResult:
-    """Guard, mark and emit for all sources at once; deal scoring follows on the result."""
+    """Guard, mark and emit for all sources at once; deal scoring follows on the result.
+
+    The marked listings are written to the shared folder once, as each of the results reads them.
+    """
     guard = coverage_guard(seen, listings, cfg)
-    marked = mark_vanished(listings, seen, as_of, guard, cfg.vanish_grace_hours)
+    marked = stored(mark_vanished(listings, seen, as_of, guard, cfg.vanish_grace_hours), "marked")
     touched = marked.where("newly_vanished").select("property_key")
     fresh = vanish_events(marked.drop("newly_vanished"), events, as_of, touched)
     after = None if properties is None else refresh_active(properties, marked)

@@ -10,6 +10,7 @@ from lotlens.plans.check_sql import LISTINGS_AS_OF as SQL_AS_OF, LOG_AS_OF as SQ
 from lotlens.plans.log_queries import _premises_events
 from lotlens.plans.registry import big, query, stamp
 from lotlens.plans.views import LISTINGS_AS_OF, as_of, listing_view
+from lotlens.session import stored
 
 KEY = S.KEY
 ACTIVE = "status IN ('active', 'relisted')"
@@ -75,7 +76,7 @@ def _scored(spark, root):
 
 def _hyps(spark, root):
     rows, scored = _scored(spark, root)
-    return rows, scored.select(
+    return rows, stored(scored, "scored").select(
         "property_key", *KEY, "score", "bucket", "features", F.lit(None).cast("string").alias("human_label"),
         F.col("vanished_at").alias("created_at"), F.col("vanished_at").alias("updated_at"))
 
@@ -210,7 +211,8 @@ def activity_summary(spark, root):
     from lotlens.operators.activity import activity_summary as summary
 
     rows, events = _data(spark, root)
-    scored = D.rescore_all(rows, events, as_of(LISTINGS_AS_OF))
+    rows, events = stored(rows, "listings"), stored(events, "events")
+    scored = stored(D.rescore_all(rows, events, as_of(LISTINGS_AS_OF)), "scored")
     listings = D.apply_deal_marks(rows, scored).withColumn("updated_at", F.col("last_seen_at"))
     def event(kind, at, df):
         return df.select(*KEY, "property_key", F.lit(kind).alias("event_type"), F.col(at).alias("occurred_at"))

@@ -52,19 +52,23 @@ def stream_vanish(spark, root):
     return rows.where(F.col("event_type").isin("vanished", "relisted")).groupBy("source", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_daily_activity", with_(OBS, body="""SELECT strftime(date_trunc('day', seen_at), '%Y-%m-%d %H:%M:%S') AS start, source, count(*) AS n FROM obs
-WHERE date_trunc('day', seen_at) + INTERVAL 1 DAY <= (SELECT max(seen_at) - INTERVAL 1 DAY FROM obs) GROUP BY 1, 2"""))
+def _activity(spark, root, window, slide, name):
+    """Windows the stream has closed, and those it still holds open."""
+    how = {"window": window, "slide": slide, "time": "seen_at", "by": ("source",)}
+    closed = K.run_available(K.stream_activity(_stream(spark, root), **how), name)
+    return closed.unionByName(K.open_activity(observation_view(spark, root), **how)).select(stamp("start"), "source", "n")
+
+
+@query("stream_daily_activity", with_(OBS, body="""SELECT strftime(date_trunc('day', seen_at), '%Y-%m-%d %H:%M:%S') AS start, source, count(*) AS n FROM obs GROUP BY 1, 2"""))
 def stream_daily(spark, root):
-    counts = K.stream_activity(_stream(spark, root), "1 day", time="seen_at", by=("source",))
-    return K.run_available(counts, "daily").select(stamp("start"), "source", "n")
+    return _activity(spark, root, "1 day", None, "daily")
 
 
 @query("stream_weekly_activity", with_(OBS, body="""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, source, count(*) AS n FROM
 (SELECT source, unnest(generate_series(date_trunc('day', seen_at) - INTERVAL 6 DAY, date_trunc('day', seen_at), INTERVAL 1 DAY)) AS s FROM obs)
-WHERE s + INTERVAL 7 DAY <= (SELECT max(seen_at) - INTERVAL 1 DAY FROM obs) GROUP BY 1, 2"""))
+GROUP BY 1, 2"""))
 def stream_weekly(spark, root):
-    counts = K.stream_activity(_stream(spark, root), "7 days", "1 day", time="seen_at", by=("source",))
-    return K.run_available(counts, "weekly").select(stamp("start"), "source", "n")
+    return _activity(spark, root, "7 days", "1 day", "weekly")
 
 
 MART_STATE_SQL = """kinds AS (SELECT source, external_id, count(*) FILTER (event_type = 'appeared') AS appeared, count(*) FILTER (event_type = 'price_changed') AS price_changed,

@@ -376,15 +376,36 @@ def text_district(text: Column) -> Column:
     return F.coalesce(let(F.lower(text), known), extract(text, r"([А-Яа-яІіЇїЄєҐґ'’\-]+)\s*р-н"))
 
 
+def first_element(html: Column) -> Column:
+    """The element a text starts with, up to its own closing tag (elements of the same name may nest); null if it is never closed."""
+    def cut(whole: Column) -> Column:
+        name = F.lower(F.regexp_extract(whole, r"^<(\w+)", 1))
+
+        def step(seen: Column, piece: Column) -> Column:
+            own = F.lower(F.regexp_extract(piece, r"^</?(\w+)", 1)) == name
+            turn = F.when(~own, 0).when(piece.startswith("</"), -1).otherwise(1)
+            depth = F.when(seen["depth"] == 0, 0).otherwise(seen["depth"] + turn)
+            return F.struct(depth.alias("depth"), (seen["size"] + F.when(depth > 0, F.length(piece)).otherwise(0)).alias("size"))
+
+        pieces = F.split(whole, "(?=<)")
+        first = F.struct(F.lit(1).alias("depth"), F.length(F.get(pieces, F.lit(0))).alias("size"))
+        walked = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step)
+        return let(walked, lambda end: F.when(end["depth"] == 0, F.substring(whole, F.lit(1), end["size"])))
+
+    return let(html, cut)
+
+
 def _class_text(html: Column, name: str) -> Column:
-    return text_of(extract(html, rf"(?is)<(\w+)\b[^>]*\bclass\s*=\s*[\"'][^\"']*\b{name}(?![\w-])[^\"']*[\"'][^>]*>(.*?)</\1>", 2))
+    opened = extract(html, rf"(?is)<\w+\b[^>]*\bclass\s*=\s*[\"'][^\"']*\b{name}(?![\w-])[^\"']*[\"'][^>]*>.*", 0)
+    return text_of(first_element(opened))
 
 
 def listings_from_cards(pages: DataFrame, source: str = "rieltor", base: str = "https://rieltor.ua") -> DataFrame:
-    """Catalog pages made of cards with an item id: one listing per card."""
+    """Catalog pages made of cards with an item id: one listing per card, which ends at its closing tag (else at the next card)."""
     rows = pages.select(
         "deal_type", "fetched_at", F.col("url").alias("page_url"), F.posexplode(F.split("html", CARD_START)).alias("position", "_card"),
     ).where(F.col("_card").rlike(CARD_START))
+    rows = computed_once(rows.withColumn("_card", F.coalesce(first_element(F.col("_card")), "_card")), "_card")
     card = F.col("_card")
     rows = rows.withColumns({
         "_ext": none_if_empty(F.trim(extract(card, r"(?is)^<div\b[^>]*\bdata-catalog-item-id\s*=\s*[\"']([^\"']*)[\"']"))),

@@ -138,6 +138,23 @@ def stream_activity(events: DataFrame, window: str = "1 day", slide: str | None
     )
 
 
+def open_activity(events: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "1 day",
+                  time: str = "occurred_at", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The counts `stream_activity` still holds back: windows that end after the newest event less ``delay``.
+
+    A batch count over the newest part of the log; with the closed windows of the stream it
+    covers every event.
+    """
+    newest = events.agg(F.max(time)).first()[0]
+    mark = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+    recent = events.where(F.col(time) > mark - F.expr(f"INTERVAL {window}"))
+    frame = F.window(time, window, slide) if slide else F.window(time, window)
+    return (
+        recent.groupBy(frame.alias("span"), *by).agg(F.count(F.lit(1)).alias("n")).where(F.col("span.end") > mark)
+        .select(F.col("span.start").alias("start"), F.col("span.end").alias("end"), *by, "n")
+    )
+
+
 def mart_writer(
     spark: SparkSession, root: str, prepare: Callable[[DataFrame], DataFrame] | None = None, hot_rows: int = HOT_ROWS,
 ) -> Callable[[DataFrame, int], None]:
