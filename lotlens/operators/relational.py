@@ -26,7 +26,7 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the greatest by ``order``; a partial aggregate, never a sorted group."""
+    """One row per key, the greatest by ``order``; partial aggregates (each task sorts its own rows), so one row per key and task is shuffled."""
     rest = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
@@ -65,7 +65,8 @@ def exact_median(
 
     A mergeable quantile sketch brackets the middle ranks; a second pass counts distinct
     values inside the bracket (all others collapse to one row below and one above), so the
-    last window sorts a sliver of the group. A missed bracket stops the query.
+    last window sorts a sliver of the group. A missed bracket stops the query. The sketch, one row per group, is
+    stored and broadcast while it is small, so that a group with a large share of the rows stays spread.
     """
     keys = list(keys)
     margin = 3.0 / accuracy
@@ -80,7 +81,7 @@ def exact_median(
         .otherwise(F.col("_v"))
     )
     counted = (
-        rows.join(sketch.select(*keys, "_edges", "n", "mean"), keys)
+        rows.join(checked_broadcast(stored(sketch, "sketch")), keys)
         .groupBy(*keys, "n", "mean", clipped.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from lotlens.functions.rules import STATUS_WORDS
 from lotlens.functions.text import map_status
 from lotlens.operators.changes import KEY, STICKY, change_events, track_observations
 from lotlens.operators.relational import HOT_ROWS
@@ -33,13 +34,8 @@ def dedupe_stream(obs: DataFrame, keys: list[str], delay: str = "2 days", time:
 
 
 def _status(raw: str | None) -> str:
-    # Status words, as in the batch rule table.
     low = (raw or "").lower()
-    for status, words in (
-        ("sold_marked", ("sold", "продано")),
-        ("rented_marked", ("rented", "здано", "арендовано", "орендовано")),
-        ("vanished", ("inactive", "404", "unavailable", "архів", "архив")),
-    ):
+    for status, words in STATUS_WORDS:
         if any(w in low for w in words):
             return status
     return "active"
