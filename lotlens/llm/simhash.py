@@ -283,7 +283,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def first_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the document with the smallest id (null last)."""
     prints = stored(fingerprints(docs), "fingerprints")
-    known = stored(classes(prints, radius), "classes").select(F.col("fp").alias("p"), "root")
+    return one_of_each(docs, prints, stored(classes(prints, radius), "classes"))
+
+
+def one_of_each(docs: DataFrame, prints: DataFrame, known: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest id; ``known`` holds fp and root."""
+    known = known.select(F.col("fp").alias("p"), "root")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row_key"))
     kept = prints.join(known, F.col("fp") == F.col("p")).groupBy("root").agg(F.min(place).alias("least"))
     kept = kept.select(F.col("least.row_key").alias("kept_key"))
