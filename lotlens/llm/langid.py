@@ -5,9 +5,11 @@ space), hashed to ``DIM`` places; weight
 (1 + ln count) * idf, vectors normalised. Inverse document frequencies come from all training documents. Each language
 has ``CLUSTERS`` centroids, clustered by cosine on a sample of about ``SAMPLE`` of its training documents (a documented bound:
 a fixed share of a hash of the id, so more rows make no larger fit). A text gets the language of the nearest centroid;
-its score is the cosine. A text is rejected if it has no letter, or if its distance (1 - cosine) exceeds the language's
-bound: the distance that ``WITHIN`` of the sample of its loosest centroid stays below, plus ``SLACK``, plus an allowance of
-``SHORT`` / sqrt(number of n-grams): a text of a few words says too little to be rejected.
+its score is the cosine. A text is rejected if it has no letter, or if its distance (1 - cosine) exceeds the bound of its
+length class: texts with as many different n-grams, by powers of two, those of ``LONG`` powers or more in one class. The bound is the largest
+distance that a sampled training text of this class, or of a class of longer texts, has from its nearest centroid, all languages taken together, plus
+``MORE`` / sqrt(number of training texts in the class) for what so many don't show. A class without training texts goes by the next shorter
+one; texts shorter than all training texts are kept, as nothing tells what is far for them.
 
 Defined results: null text or text without letters is ``und`` with score 0 and rejected; ties go to the
 first language in order; without training documents all is ``und``; a null id trains if its crc32 rule says so (null: never held
@@ -28,9 +30,8 @@ from pyspark.sql import functions as F
 DIM = 4096
 CLUSTERS = 4
 SAMPLE = 1500
-WITHIN = 0.99
-SLACK = 0.2
-SHORT = 2.0
+LONG = 7
+MORE = 0.5
 UNKNOWN = "und"
 _MIX = [(np.uint32(0x9E3779B1),), (np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)), (np.uint32(0x27D4EB2F), np.uint32(0x165667B1), np.uint32(0x9E3779B1))]
 PIECE = 1 << 20
@@ -70,14 +71,14 @@ def counts(text: str | None) -> np.ndarray | None:
 
 
 def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised vectors of the texts that have letters, which these are, and their numbers of n-grams."""
+    """Normalised vectors of the texts that have letters, which these are, and their length classes."""
     rows = [(i, c) for i, t in enumerate(texts) if (c := counts(t)) is not None]
     x = np.zeros((len(rows), DIM), dtype=np.float32)
     for k, (_, c) in enumerate(rows):
         at = np.flatnonzero(c)
         x[k, at] = (1 + np.log(c[at])) * idf[at]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return x, np.array([i for i, _ in rows], dtype=np.int64), np.array([c.sum() for _, c in rows])
+    return x, np.array([i for i, _ in rows], dtype=np.int64), np.array([min(LONG, int((c > 0).sum()).bit_length() - 1) for _, c in rows], dtype=np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,7 +98,7 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def cluster(x: np.ndarray, k: int = CLUSTERS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means, begun from groups of equal size by likeness to the mean; centroids and the distance bound of each."""
+    """Spherical k-means, begun from groups of equal size by likeness to the mean; centroids, and the distance of each vector from the nearest."""
     by_likeness = np.argsort(x @ x.mean(0), kind="stable")
     centroids = np.stack([x[part].mean(0) for part in np.array_split(by_likeness, min(k, len(x)))])
     for _ in range(rounds):
@@ -105,27 +106,34 @@ def cluster(x: np.ndarray, k: int = CLUSTERS, rounds: int = 12) -> tuple[np.ndar
         own = np.argmax(x @ centroids.T, 1)
         centroids = np.stack([x[own == j].mean(0) if (own == j).any() else centroids[j] for j in range(len(centroids))])
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    near = x @ centroids.T
-    own = np.argmax(near, 1)
-    bounds = np.array([np.quantile(1 - near[own == j, j], WITHIN) if (own == j).any() else 0.0 for j in range(len(centroids))])
-    return centroids.astype(np.float32), bounds
+    return centroids.astype(np.float32), 1 - (x @ centroids.T).max(1)
+
+
+def limits(far: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The distance bound of each length class from the largest distance and the number of its training texts."""
+    out, last = np.full(LONG + 1, np.inf), np.inf
+    for k in range(LONG + 1):
+        if texts[k]:
+            last = far[k:].max() + MORE / np.sqrt(texts[k])
+        out[k] = last
+    return out
 
 
 class Model:
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, bounds: np.ndarray):
         self.idf, self.langs, self.centroids = idf, langs, centroids
-        self.bounds = np.array([max(b for b, other in zip(bounds, langs, strict=True) if other == lang) for lang in langs])
+        self.bounds = bounds
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out = [(UNKNOWN, 0.0, True)] * len(texts)
         if not self.langs:
             return out
-        x, rows, sizes = vectors(texts, self.idf)
+        x, rows, classes = vectors(texts, self.idf)
         cosine = x @ self.centroids.T
         best = np.argmax(cosine, 1) if len(rows) else []
-        for i, (row, j, n) in enumerate(zip(rows, best, sizes, strict=True)):
+        for i, (row, j, k) in enumerate(zip(rows, best, classes, strict=True)):
             score = float(min(1.0, max(0.0, cosine[i, j])))
-            out[row] = self.langs[j], score, bool(1 - score > self.bounds[j] + SLACK + SHORT / np.sqrt(n))
+            out[row] = self.langs[j], score, bool(1 - score > self.bounds[k])
         return out
 
 
@@ -144,16 +152,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
     picked = picked.filter(F.pmod("h", F.lit(2**30)) < F.col("share") * float(2**30)).select("lang", "text")
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, _, _ = vectors(part["text"].sort_values().tolist(), idf)
+        x, _, classes = vectors(part["text"].sort_values().tolist(), idf)
         if not len(x):
-            return pd.DataFrame({"lang": [], "bound": [], "centroid": []})
-        centroids, bounds = cluster(x, clusters)
-        return pd.DataFrame({"lang": [key[0]] * len(bounds), "bound": bounds, "centroid": list(centroids.astype(float))})
-
-    found = picked.groupBy("lang").applyInPandas(learn, "lang string, bound double, centroid array<double>").collect()
-    found = sorted(found, key=lambda r: (r[0], r[2]))
-    centroids = np.array([r[2] for r in found], dtype=np.float32).reshape(-1, DIM)
-    return Model(idf, [r[0] for r in found], centroids, np.array([r[1] for r in found]))
+            return pd.DataFrame({"lang": [], "far": [], "texts": [], "centroid": []})
+        centroids, distances = cluster(x, clusters)
+        far = [float(distances[classes == k].max(initial=0)) for k in range(LONG + 1)]
+        texts = [int((classes == k).sum()) for k in range(LONG + 1)]
+        n = len(centroids)
+        return pd.DataFrame({"lang": [key[0]] * n, "far": [far] * n, "texts": [texts] * n, "centroid": list(centroids.astype(float))})
+
+    found = picked.groupBy("lang").applyInPandas(learn, "lang string, far array<double>, texts array<long>, centroid array<double>").collect()
+    found = sorted(found, key=lambda r: (r.lang, r.centroid))
+    centroids = np.array([r.centroid for r in found], dtype=np.float32).reshape(-1, DIM)
+    by_lang = {r.lang: r for r in found}.values()
+    far = np.array([r.far for r in by_lang]).reshape(-1, LONG + 1).max(0, initial=0)
+    texts = np.array([r.texts for r in by_lang]).reshape(-1, LONG + 1).sum(0)
+    return Model(idf, [r.lang for r in found], centroids, limits(far, texts))
 
 
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
