@@ -2,7 +2,8 @@
 
 A text is cut into pieces at line feeds and after a full stop followed by a space (one-paragraph texts would
 else be a single element); empty pieces don't count. Each piece hashes to ``LANES`` words of 64 bits and ``SIGNS``
-signs; a fingerprint is the sum of these over all pieces, lanes modulo 2^64, signs modulo 2^16. So it does not
+signs; a fingerprint is the sum of these over all pieces, lanes modulo 2^64, signs modulo 2^32 (a text has
+fewer than 2^31 pieces, so its signs never wrap). So it does not
 depend on order, and pieces are inserted or deleted by adding or subtracting their sums.
 
 Equality: equal texts, or equal multisets of pieces, have equal fingerprints; others differ but for a collision of
@@ -49,12 +50,12 @@ class Fingerprint:
         return Fingerprint(self.lanes - other.lanes, self.signs - other.signs)
 
     def hex(self) -> str:
-        return (self.lanes.astype("<u8").tobytes() + self.signs.astype("<u2").tobytes()).hex()
+        return (self.lanes.astype("<u8").tobytes() + self.signs.astype("<u4").tobytes()).hex()
 
     def likeness(self, other: Fingerprint) -> float:
         if (self.lanes == other.lanes).all() and (self.signs == other.signs).all():
             return 1.0
-        a, b = self.signs.view(np.int16).astype(float), other.signs.view(np.int16).astype(float)
+        a, b = self.signs.view(np.int32).astype(float), other.signs.view(np.int32).astype(float)
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return min(max(float(a @ b) / norm, 0.0), 1.0 - 1e-9) if norm else 0.0
 
@@ -66,13 +67,13 @@ def pieces(text: str) -> list[str]:
 def fingerprint(text: str) -> Fingerprint:
     """The sum over the pieces of a text."""
     parts = pieces(text)
-    lanes, signs = np.zeros(LANES, np.uint64), np.zeros(SIGNS, np.uint16)
+    lanes, signs = np.zeros(LANES, np.uint64), np.zeros(SIGNS, np.uint32)
     for at in range(0, len(parts), 4096):
         some = parts[at : at + 4096]
         rows = np.frombuffer(b"".join([hashlib.blake2b(p.encode(), digest_size=64).digest() for p in some]), dtype=np.uint8).reshape(len(some), 64)
         lanes = lanes + np.ascontiguousarray(rows[:, : 8 * LANES]).view("<u8").sum(0, dtype=np.uint64)
         ones = np.unpackbits(np.ascontiguousarray(rows[:, 8 * LANES :]), axis=1).sum(0, dtype=np.int64)
-        signs = signs + (2 * ones - len(some)).astype(np.uint16)
+        signs = signs + (2 * ones - len(some)).astype(np.uint32)
     return Fingerprint(lanes, signs)
 
 
