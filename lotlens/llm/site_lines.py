@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency; DataFrame functions only.
 
 Pages are grouped by host; a line is boilerplate on a host if the share of the host's pages that contain
-it exceeds ``ratio`` and it is on ``min_pages`` pages at least. Lines are counted as hashes, with partial sums
+it exceeds ``ratio`` and it is on ``min_pages`` pages at least (2: a line of one page is no boilerplate). Lines are counted as hashes, with partial sums
 before the shuffle, so a hot host or line is no hot task. A host has fewer than (its mean number of lines per
 page) / ``ratio`` boilerplate lines; only these come back to its pages, as one array per host.
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lotlens.session import stored
 
 RATIO = 0.1
-MIN_PAGES = 4
+MIN_PAGES = 2
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|ul|ol|li|br|hr|h[1-6]|table|tr|td|th|nav|header|footer|main|article|section|aside|title|head|body|html|form|pre|blockquote)\b[^>]*>"
 TAGS = r"<[^>]*>"
