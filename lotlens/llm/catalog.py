@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.llm import chat, decontaminate, langid, licenses, mixing, multiset, sharding, simhash, site_lines, token_files
+from lotlens.llm import chat, decontaminate, langid, licenses, mixing, multiset, negatives, periodic, quality, sharding, simhash, site_lines, token_files
 from lotlens.llm.check_sql import CHECKS  # noqa: F401
 from lotlens.session import scratch
 
@@ -63,7 +63,22 @@ def op10_byte_shards(spark: SparkSession, root: str) -> DataFrame:
     return sharding.shards(table(spark, root, "documents"))
 
 
+def op11_bond_negatives(spark: SparkSession, root: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, root, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+def op12_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return periodic.summary(periodic.runs(docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+def op13_ratio_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality.verdicts(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_token_files, op3_language_centroids, op4_multiset_fingerprints, op5_string_tiling,
     op6_simhash_trees, op7_site_lines, op8_source_mix, op9_license_bands, op10_byte_shards,
+    op11_bond_negatives, op12_periodic_runs, op13_ratio_quality,
 )}

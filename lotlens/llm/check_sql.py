@@ -1,6 +1,6 @@
 """SQL checks of the operators that SQL can express, over the same tables."""
 
-from lotlens.llm import chat, mixing, site_lines
+from lotlens.llm import chat, mixing, negatives, quality, site_lines
 
 _END = chat.END
 OP1 = rf"""
@@ -83,4 +83,55 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(sh
 FROM cut
 """
 
-CHECKS = {"op1_chat_formatting": OP1, "op7_site_lines": OP7, "op8_source_mix": OP8, "op10_byte_shards": OP10}
+OP11 = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % {negatives.ANCHORS} = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT same AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= {negatives.NEGATIVES}
+"""
+
+_HASH = "CAST('0x' || substr(md5(word), 1, 8) AS BIGINT)"
+OP13 = rf"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^ 	-]+') AS l FROM rows_)),
+hashed AS (SELECT r, i, word, {_HASH} AS h, lead(word) OVER d AS second, lead(word, 2) OVER d AS third FROM split WINDOW d AS (PARTITION BY r ORDER BY i)),
+paired AS (SELECT r, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS g FROM hashed),
+grams AS (SELECT r, h % {quality.BUCKETS} AS b FROM paired UNION ALL SELECT r, (31 * h + g) % {quality.BUCKETS} FROM paired WHERE g IS NOT NULL),
+good AS (
+  SELECT CAST(doc_id AS BIGINT) AS id, md5(CAST(doc_id AS VARCHAR)) AS m FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+  HAVING max(quality) = 1 AND min(quality) = 1 AND coalesce(max(toxic), 0) = 0 ORDER BY m, id LIMIT {quality.TRUSTED}),
+counts AS (
+  SELECT b, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT id FROM good WHERE m < '8')) AS target FROM grams JOIN rows_ USING (r) GROUP BY b),
+totals AS (SELECT sum(raw) AS n, sum(target) AS t FROM counts),
+weights AS (
+  SELECT b, CAST(round({quality.MICRO} * (ln((target + 1) / (t + {quality.BUCKETS})::DOUBLE) - ln((raw + 1) / (n + {quality.BUCKETS})::DOUBLE))) AS BIGINT) AS w
+  FROM counts, totals),
+scores AS (
+  SELECT r, CAST((s - (s % n + n) % n) // n AS BIGINT) AS score FROM (SELECT r, CAST(sum(w) AS BIGINT) AS s, count(*) AS n FROM grams JOIN weights USING (b) GROUP BY r)),
+windows AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, word, second, third) AS n FROM hashed WHERE third IS NOT NULL) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows_)
+  WHERE regexp_matches(line, '[^ 	-]') GROUP BY r),
+ruled AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-]+')) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, score
+  FROM rows_ LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r) LEFT JOIN scores USING (r)),
+failed AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM ruled),
+held AS (
+  SELECT score, row_number() OVER (ORDER BY score) AS place, count(*) OVER () AS n FROM failed WHERE NOT base_failed AND doc_id IN (SELECT id FROM good WHERE m >= '8')),
+limits AS (SELECT min(score) AS least FROM held WHERE place > CAST(floor({quality.LOSS} * n) AS BIGINT))
+SELECT failed.*, NOT base_failed AND (least IS NULL OR score >= least) AS kept FROM failed, limits
+"""
+
+CHECKS = {"op1_chat_formatting": OP1, "op7_site_lines": OP7, "op8_source_mix": OP8, "op10_byte_shards": OP10, "op11_bond_negatives": OP11, "op13_ratio_quality": OP13}

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from lotlens.llm import likeness, simhash
-from test_operators import ODD, SCHEMA, words
+from test_llm_operators import ODD, SCHEMA, words
 
 
 def shingle_set(text):

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lotlens.llm import decontaminate, mixing
 from lotlens.session import stored
-from test_operators import slow_classes, slow_print
+from test_llm_operators import slow_classes, slow_print
 
 
 def test_stages(spark, sf):
