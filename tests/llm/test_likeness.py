@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lotlens.llm import likeness, simhash
@@ -59,8 +60,8 @@ def test_edited_copies_and_a_shared_passage(spark):
     assert got == sorted(slow_firsts(rows)) and len(got) < len(rows) - 20
 
 
-def test_partners_share_a_mark():
-    draw = np.random.default_rng(4)
+def test_partners_share_a_bucket_and_have_near_sketches():
+    draw, met, close, all_ = np.random.default_rng(4), 0, 0, 0
     for size in [*range(4, 80), 150, 700, 5000]:
         for _ in range(20):
             a = draw.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
@@ -70,12 +71,40 @@ def test_partners_share_a_mark():
             b = np.concatenate([a[k:], draw.integers(0, 2**63, more, dtype=np.uint64)])
             a, b = np.unique(a), np.unique(b)
             assert len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b))
-            assert len(np.intersect1d(likeness.marks(a), likeness.marks(b)))
-            assert 9 * np.bitwise_count((likeness.sketch(a) ^ likeness.sketch(b)).view(np.uint64)).sum() <= len(a) + len(b)
+            x, y = likeness.min_hashes(a), likeness.min_hashes(b)
+            all_ += 1
+            met += len(np.intersect1d(likeness.bands(x), likeness.bands(y))) > 0
+            close += np.bitwise_count((likeness.sketch(x) ^ likeness.sketch(y)).view(np.uint64)).sum() <= likeness.FAR
+    assert met >= 0.998 * all_ and close >= 0.995 * all_
+
+
+@pytest.mark.parametrize("limits", [{}, {"CELL": 16, "HUB": 5, "SALTS": 3, "HOT": 20}])
+def test_groups_around_a_text_and_of_one_template(spark, monkeypatch, limits):
+    """Copies near to one text but not to each other, a template that fills three quarters of unlike texts, and many equal texts."""
+    for name, value in limits.items():
+        monkeypatch.setattr(likeness, name, value)
+    draw = random.Random(9)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    center, template, rows = [word() for _ in range(300)], [word() for _ in range(150)], []
+    for _ in range(80):
+        text = list(center)
+        for _ in range(draw.randrange(3, 8)):
+            text[draw.randrange(300)] = word()
+        rows.append(" ".join(text))
+    rows.append(" ".join(center))
+    rows += [" ".join(template + [word() for _ in range(50)]) for _ in range(60)]
+    rows += ["one text that many rows hold and some more words"] * 50
+    draw.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in likeness.first_of_each_group(docs).collect())
+    assert got == sorted(slow_firsts(rows)) and 60 < len(got) < 110
 
 
 def test_odd_rows(spark):
     odd = spark.createDataFrame(ODD, SCHEMA)
+    for name in ("fp", "k", "l", "doc", "rest", "key", "a.b"):
+        odd = odd.withColumn(name, F.lit("clash"))
     got = likeness.first_of_each_group(odd).collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 4, 6, 7] and len(got) == 6
     assert likeness.first_of_each_group(odd.limit(0)).count() == 0

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lotlens.llm import decontaminate, mixing
 from lotlens.session import stored
-from test_llm_operators import slow_classes, slow_print
+from test_likeness import slow_firsts
 
 
 def test_stages(spark, sf):
@@ -23,12 +23,7 @@ def test_stages(spark, sf):
     assert all(seen[n].columns == ["doc_id", "text", "lang", "source", "n_chars"] for n in list(seen)[:-1])
     assert Counter(rows["language"]) == Counter(r for r in whole if any(c.isalpha() for c in r[1] or ""))
 
-    prints = {r[0]: slow_print(r[1]) for r in rows["language"]}
-    root = slow_classes(prints.values())
-    first = {}
-    for doc_id, p in prints.items():
-        first[root[p]] = min(first.get(root[p], doc_id), doc_id)
-    assert {r[0] for r in rows["near_duplicates"]} == set(first.values())
+    assert sorted(r[0] for r in rows["near_duplicates"]) == sorted(slow_firsts([(r[0], r[1]) for r in rows["language"]]))
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     block = decontaminate.Benchmark(items, decontaminate.SEED)
