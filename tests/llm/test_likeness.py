@@ -61,7 +61,7 @@ def test_edited_copies_and_a_shared_passage(spark):
 
 
 def test_partners_share_a_bucket_and_have_near_sketches():
-    draw, met, close, all_ = np.random.default_rng(4), 0, 0, 0
+    draw, met, all_ = np.random.default_rng(4), 0, 0
     for size in [*range(4, 80), 150, 700, 5000]:
         for _ in range(20):
             a = draw.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
@@ -71,11 +71,13 @@ def test_partners_share_a_bucket_and_have_near_sketches():
             b = np.concatenate([a[k:], draw.integers(0, 2**63, more, dtype=np.uint64)])
             a, b = np.unique(a), np.unique(b)
             assert len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b))
-            x, y = likeness.min_hashes(a), likeness.min_hashes(b)
+            x, y = likeness.sketch(a).view(np.uint64), likeness.sketch(b).view(np.uint64)
+            x, y = (x, y) if len(x) <= len(y) else (y, x)
+            y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+            assert 9 * np.bitwise_count(x ^ y).sum() <= len(a) + len(b)
             all_ += 1
-            met += len(np.intersect1d(likeness.bands(x), likeness.bands(y))) > 0
-            close += np.bitwise_count((likeness.sketch(x) ^ likeness.sketch(y)).view(np.uint64)).sum() <= likeness.FAR
-    assert met >= 0.998 * all_ and close >= 0.995 * all_
+            met += len(np.intersect1d(likeness.bands(likeness.min_hashes(a)), likeness.bands(likeness.min_hashes(b)))) > 0
+    assert met >= 0.998 * all_
 
 
 @pytest.mark.parametrize("limits", [{}, {"CELL": 16, "HUB": 5, "SALTS": 3, "HOT": 20}])
