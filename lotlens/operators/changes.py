@@ -96,7 +96,7 @@ def track_observations(
     ``price_dropped`` and, on demand, the running ``price_drop_count``. Absence comes from
     guarded crawl runs, or from a plain idle time in hours.
     """
-    line = Timeline(fill_blank(obs, STICKY), KEY, "seen_at", ORDER, hot_rows=hot_rows)
+    line = Timeline(fill_blank(obs, STICKY), KEY, ORDER, hot_rows)
     line.previous([*STICKY, "seen_at", *(also or [])])
     if drop_counts:
         line.running_count(F.col("price") < F.col("prev_price"), "price_drop_count")

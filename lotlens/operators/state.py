@@ -176,6 +176,12 @@ def _payload(**fields: Column) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in names])
 
 
+def mart_events(changes: DataFrame) -> DataFrame:
+    """Change events with the columns and the payload of the events table."""
+    payload = _payload(**{n: F.col(f"payload.{n}") for n in changes.schema["payload"].dataType.names})
+    return changes.select("event_id", "property_key", *KEY, "event_type", "occurred_at", payload.alias("payload"))
+
+
 def merge_events(merged: DataFrame) -> DataFrame:
     """appeared, relisted, price_changed and status_changed events of a merged batch."""
     known = F.col("old").isNotNull()

@@ -8,13 +8,15 @@ from lotlens.config import MarketConfig
 from lotlens.operators import activity as A
 from lotlens.operators import changes as C
 from lotlens.operators import state as S
+from lotlens.operators.ingest import ingest_crawl, mart_tables
+from lotlens.operators.relational import earliest_by
 from lotlens.plans.check_sql import (
-    ACTIVE, LISTINGS_AS_OF as SQL_AS_OF, LOG_AS_OF as SQL_LOG_AS_OF, LV, MART, MISSED_BY_RUN, OBS, RUNS, tracked, ts, with_,
+    ACTIVE, LISTINGS_AS_OF as SQL_AS_OF, LOG_AS_OF as SQL_LOG_AS_OF, LV, MART, MISSED_BY_RUN, OBS, RUNS, mapped, tracked, ts, with_,
 )
 from lotlens.plans.mart import log_mart
 from lotlens.plans.registry import big, query, stamp
 from lotlens.plans.views import LISTINGS_AS_OF, LOG_AS_OF, as_of, listing_view, observation_view
-from lotlens.session import scratch
+from lotlens.session import scratch, stored
 from lotlens.sources.tables import append, conform
 
 KEY = C.KEY
@@ -89,50 +91,88 @@ def listing_state(spark, root):
 
 # --- merge of one batch into stored state ------------------------------------------------------
 
-CUT = "2024-01-20 00:00:00"
-MERGE_SQL = f"""cut AS (SELECT TIMESTAMP '{CUT}' AS cut_at),
-old0 AS (SELECT source, external_id, arg_max(price, (seen_at, seq)) FILTER (price IS NOT NULL) AS price,
-    arg_max(source_status_raw, (seen_at, seq)) FILTER (source_status_raw IS NOT NULL) AS raw, max(seen_at) AS last_seen_at, min(seen_at) AS first_seen_at,
-    arg_max(title, (seen_at, seq)) FILTER (title IS NOT NULL) AS title
-  FROM obs, cut WHERE seen_at < cut_at GROUP BY 1, 2),
-old AS (SELECT *, CASE WHEN raw LIKE '%sold%' THEN 'sold_marked' WHEN raw LIKE '%inactive%' THEN 'vanished' ELSE 'active' END AS status FROM old0),
-new AS (SELECT * FROM obs, cut WHERE seen_at >= cut_at QUALIFY row_number() OVER (PARTITION BY source, external_id ORDER BY seq) = 1),
-mg AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.external_id, n.external_id) AS external_id, o.source IS NOT NULL AS known, n.source IS NOT NULL AS seen,
-    o.price AS old_price, n.price AS new_price, o.status AS old_status, coalesce(n.source_status_raw, o.raw) AS raw, o.first_seen_at, o.last_seen_at, n.seen_at,
-    coalesce(n.title, o.title) AS title
-  FROM old o FULL JOIN new n ON o.source = n.source AND o.external_id = n.external_id),
-mg2 AS (SELECT *, CASE WHEN raw LIKE '%sold%' THEN 'sold_marked' WHEN raw LIKE '%inactive%' THEN 'vanished' ELSE 'active' END AS st FROM mg)"""
-
-
-def _split(spark, root):
-    """Stored listings up to the cut, and the first card of each listing after it."""
+# Days from the cut on are crawls of their own: a crawl keeps the first card of a listing. Crawls up to FIRST are one batch.
+CUT, FIRST = "2024-01-20 00:00:00", "2024-01-29 00:00:00"
+NEVER = "CAST(NULL AS TIMESTAMP)"
+
+
+def _crawls_sql(cut: str) -> str:
+    """The log with one card per listing and day after the cut."""
+    return OBS.replace("obs AS (", "obs0 AS (", 1) + f""",
+obs AS (SELECT * FROM obs0 WHERE seen_at < TIMESTAMP '{cut}'
+  UNION ALL (SELECT * FROM obs0 WHERE seen_at >= TIMESTAMP '{cut}' QUALIFY row_number() OVER (PARTITION BY source, external_id, date_trunc('day', seen_at) ORDER BY seq) = 1))"""
+
+
+FOLD_SQL = f"""fold AS (SELECT source, external_id, arg_max(price, (seen_at, seq)) FILTER (price IS NOT NULL) AS price, arg_max(title, (seen_at, seq)) FILTER (title IS NOT NULL) AS title,
+  arg_max(source_status_raw, (seen_at, seq)) FILTER (source_status_raw IS NOT NULL) AS raw, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at FROM obs GROUP BY 1, 2),
+state AS (SELECT source, external_id, price, title, {mapped('raw')} AS status, {ts('first_seen_at')}, {ts('last_seen_at')} FROM fold)"""
+
+
+def _stored_and_cards(spark, root, cut):
+    """Listings as of the cut, and the cards after it, one per listing and day."""
     obs = observation_view(spark, root)
-    cut = as_of(CUT)
-    folded = C.fold_observations(obs.where(F.col("seen_at") < cut)).withColumns({
+    folded = C.fold_observations(obs.where(F.col("seen_at") < as_of(cut))).withColumns({
         "exclude_from_stats": F.lit(False), "created_at": F.col("first_seen_at")})
-    listings = conform(folded, "listings")
-    batch = conform(C.dedupe_batch(obs.where(F.col("seen_at") >= cut)), "observations")
-    keys = obs.select(*KEY, "property_key").distinct()
-    return listings, batch.join(keys, KEY)
+    day = F.to_date("seen_at")
+    cards = earliest_by(obs.where(F.col("seen_at") >= as_of(cut)).withColumn("day", day), [*KEY, "day"], [F.col("seq")])
+    keyed = conform(cards, "observations").withColumn("property_key", F.col("external_id"))
+    return conform(folded, "listings"), keyed
 
 
-@query("merged_listings", with_(OBS, MERGE_SQL, body=f"""SELECT source, external_id, coalesce(new_price, old_price) AS price, title, CASE WHEN seen THEN st ELSE old_status END AS status,
-  {ts('first_seen_at')}, {ts('last_seen_at')} FROM (SELECT source, external_id, new_price, old_price, title, seen, st, old_status, coalesce(first_seen_at, seen_at) AS first_seen_at,
-  coalesce(seen_at, last_seen_at) AS last_seen_at FROM mg2)"""))
+@query("merged_listings", with_(_crawls_sql(CUT), FOLD_SQL, body="SELECT * FROM state"))
 def merged_listings(spark, root):
-    listings, batch = _split(spark, root)
-    after = S.next_listings(S.merge_state(listings, batch))
+    listings, cards = _stored_and_cards(spark, root, CUT)
+    after = S.next_listings(S.merge_state(listings, S.fold_cards(cards, stored(S.track_cards(listings, cards), "tracked"))))
     return after.select(*KEY, "price", "title", "status", stamp("first_seen_at"), stamp("last_seen_at"))
 
 
-@query("merge_events", with_(OBS, MERGE_SQL, body="""SELECT source, external_id, event_type FROM (
-  SELECT source, external_id, unnest([CASE WHEN NOT known THEN 'appeared' END, CASE WHEN known AND old_status = 'vanished' THEN 'relisted' END,
-    CASE WHEN known AND new_price <> old_price THEN 'price_changed' END,
-    CASE WHEN known AND st <> 'active' AND st <> CASE old_status WHEN 'vanished' THEN 'relisted' ELSE old_status END THEN 'status_changed' END]) AS event_type FROM mg2 WHERE seen)
-WHERE event_type IS NOT NULL"""))
+@query("merge_events", with_(_crawls_sql(CUT), tracked(NEVER), body=f"SELECT source, external_id, event_type, {ts('occurred_at')} FROM chg WHERE occurred_at >= TIMESTAMP '{CUT}'"))
 def merge_events(spark, root):
-    listings, batch = _split(spark, root)
-    return S.merge_events(S.merge_state(listings, batch)).select(*KEY, "event_type")
+    listings, cards = _stored_and_cards(spark, root, CUT)
+    return C.change_events(S.track_cards(listings, cards)).select(*KEY, "event_type", stamp("occurred_at"))
+
+
+def _ingested(spark, root):
+    """The mart after batch 0 (listings as of FIRST) and the daily crawls that follow, each one committed."""
+    key = f"ingest {spark.sparkContext.applicationId} {root}"
+    if key not in _INGESTED:
+        mart = mart_tables(spark, scratch(spark, "ingest"), parts=8)
+        listings, cards = _stored_and_cards(spark, root, FIRST)
+        mart.commit(0, {"listings": (listings, range(8))})
+        days = [r[0] for r in cards.select(F.to_date("seen_at").alias("day")).distinct().orderBy("day").collect()]
+        for n, day in enumerate(days):
+            ingest_crawl(mart, n + 1, cards.where(F.to_date("seen_at") == F.lit(day)))
+        _INGESTED[key] = mart
+    return _INGESTED[key]
+
+
+_INGESTED: dict = {}
+
+
+@query("ingest_listings", with_(_crawls_sql(FIRST), FOLD_SQL, body="SELECT * FROM state"))
+def ingest_listings(spark, root):
+    rows = _ingested(spark, root).read("listings")
+    return rows.select(*KEY, "price", "title", "status", stamp("first_seen_at"), stamp("last_seen_at"))
+
+
+@query("ingest_events", with_(_crawls_sql(FIRST), tracked(NEVER), body=f"""SELECT source, external_id, event_type, {ts('occurred_at')}, old_price, new_price FROM chg WHERE occurred_at >= TIMESTAMP '{FIRST}'
+UNION ALL SELECT NULL, external_id, 'appeared', strftime(min(seen_at), '%Y-%m-%d %H:%M:%S'), NULL, NULL FROM obs WHERE seen_at >= TIMESTAMP '{FIRST}' GROUP BY external_id"""))
+def ingest_events(spark, root):
+    """Events of listings, and the first event of premises that the crawls brought."""
+    rows = _ingested(spark, root).read("events")
+    return rows.select("source", F.coalesce("external_id", "property_key").alias("external_id"), "event_type", stamp("occurred_at"), "payload.old_price", "payload.new_price")
+
+
+@query("ingest_snapshots", with_(_crawls_sql(FIRST), tracked(NEVER), body=f"""SELECT source, external_id, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS crawled_at, mapped_status AS status
+FROM trk WHERE seen_at >= TIMESTAMP '{FIRST}' AND ({SNAPSHOT})"""))
+def ingest_snapshots(spark, root):
+    return _ingested(spark, root).read("snapshots").select(*KEY, stamp("crawled_at"), "status")
+
+
+@query("ingest_premises", with_(_crawls_sql(FIRST), body=f"""SELECT external_id AS fingerprint, {ts('first_seen_at')}, {ts('last_seen_at')}, is_active FROM (
+  SELECT external_id, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, true AS is_active FROM obs WHERE seen_at >= TIMESTAMP '{FIRST}' GROUP BY 1)"""))
+def ingest_premises(spark, root):
+    return _ingested(spark, root).read("properties").select("fingerprint", stamp("first_seen_at"), stamp("last_seen_at"), "is_active")
 
 
 # --- coverage guard and vanish ------------------------------------------------------------------

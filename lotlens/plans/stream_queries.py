@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lotlens.plans.check_sql import MISSED_BY_IDLE, OBS, mapped, tracked, ts, with_
 from lotlens.plans.registry import big, query, stamp
 from lotlens.plans.views import event_stream, observation_view
-from lotlens.schemas import TABLES
 from lotlens.session import scratch
 from lotlens.sources.tables import conform
 from lotlens.streaming import changes as K
@@ -91,10 +90,10 @@ def stream_mart(spark, root):
     for n in range(3):
         obs.where(part == n).write.mode("append").parquet(log)
         stream = spark.readStream.schema(obs.schema).parquet(log).withColumn("property_key", F.col("external_id"))
-        running = K.stream_to_mart(stream, path, checkpoint)
-        running.awaitTermination()
-    listings = spark.read.schema(TABLES["listings"]).parquet(K.latest_slot(path, running))
-    events = spark.read.parquet(f"{path}/events").groupBy("source", "external_id").agg(*[
+        K.stream_to_mart(stream, path, checkpoint, parts=8).awaitTermination()
+    mart = K.stream_mart(spark, path, 8)
+    listings = mart.read("listings")
+    events = mart.read("events").groupBy("source", "external_id").agg(*[
         F.count_if(F.col("event_type") == kind).alias(kind) for kind in ("appeared", "price_changed", "status_changed", "relisted")])
     return listings.join(events, ["source", "external_id"]).select(
         "source", "external_id", "price", "title", "status", stamp("first_seen_at"), stamp("last_seen_at"), *big("price_drop_count"),

@@ -15,9 +15,9 @@ from lotlens.functions.rules import STATUS_WORDS
 from lotlens.functions.text import map_status
 from lotlens.operators.changes import KEY, STICKY, change_events, track_observations
 from lotlens.operators.relational import HOT_ROWS
-from lotlens.operators.state import fold_cards, merge_state, next_listings, track_cards
-from lotlens.schemas import TABLES
+from lotlens.operators.state import fold_cards, mart_events, merge_state, next_listings, track_cards
 from lotlens.session import scratch, stored
+from lotlens.sources.versions import PARTS, VersionedTables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE_SCHEMA = (
@@ -151,41 +151,41 @@ def open_activity(events: DataFrame, window: str = "1 day", slide: str | None =
     )
 
 
+def stream_mart(spark: SparkSession, root: str, parts: int = PARTS) -> VersionedTables:
+    """The tables that `mart_writer` keeps."""
+    return VersionedTables(spark, root, {"listings": KEY}, parts)
+
+
 def mart_writer(
-    spark: SparkSession, root: str, prepare: Callable[[DataFrame], DataFrame] | None = None, hot_rows: int = HOT_ROWS,
+    spark: SparkSession, root: str, prepare: Callable[[DataFrame], DataFrame] | None = None, hot_rows: int = HOT_ROWS, parts: int = PARTS,
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: merges a micro-batch of cards into the listing table.
 
     Every card counts: each one is compared with the state the one before left, whether that is
     stored or in the same micro-batch, so listings and events don't depend on where the source cuts its
     batches, as long as a listing's cards come in time order over batches. ``prepare`` cleans the cards first
-    (`operators.state.clean_cards`). Listings alternate between two slots by batch number and
-    events are written per batch, so a repeated batch reads the same input and overwrites its own output.
+    (`operators.state.clean_cards`). Only the parts of the table that the cards fall into are read and written; listings and events
+    become visible together, by one manifest, and a repeated batch changes nothing (`sources.versions`).
     """
-    def slot(batch_id: int) -> str:
-        return f"{root}/listings/slot={batch_id % 2}"
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        old = (
-            session.createDataFrame([], TABLES["listings"]) if batch_id == 0
-            else session.read.schema(TABLES["listings"]).parquet(slot(batch_id - 1))
-        )
+        mart = stream_mart(batch.sparkSession, root, parts)
         cards = stored(prepare(batch) if prepare else batch, "cards")
+        touched = mart.touched("listings", cards)
+        old = mart.read("listings", touched, before=batch_id)
         tracked = stored(track_cards(old, cards, hot_rows), "tracked")
-        merged = merge_state(old, fold_cards(cards, tracked))
-        next_listings(merged).write.mode("overwrite").parquet(slot(batch_id))
-        change_events(tracked).write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}")
+        listings = next_listings(merge_state(old, fold_cards(cards, tracked)))
+        events = mart_events(change_events(tracked))
+        mart.commit(batch_id, {"listings": (listings, touched)}, {"events": events})
 
     return merge
 
 
 def stream_to_mart(
     obs: DataFrame, root: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, parts: int = PARTS,
 ) -> StreamingQuery:
     """Idempotent mart update per micro-batch."""
-    writer = mart_writer(obs.sparkSession, root, prepare, hot_rows)
+    writer = mart_writer(obs.sparkSession, root, prepare, hot_rows, parts)
     return (
         obs.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
@@ -240,11 +240,6 @@ def stream_changes_by_batch(obs: DataFrame, root: str, checkpoint: str, idle_hou
     )
 
 
-def latest_slot(root: str, query: StreamingQuery) -> str:
-    """Folder of the listing table after the last finished micro-batch."""
-    return f"{root}/listings/slot={max(p['batchId'] for p in query.recentProgress if p['numInputRows'] > 0) % 2}"
-
-
 def run_available(df: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all available input into the shared folder and reads the result."""
     spark = df.sparkSession

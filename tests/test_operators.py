@@ -14,6 +14,7 @@ from lotlens.operators import search as X
 from lotlens.operators import state as S
 from lotlens.operators.changes import change_events, fold_observations, track_observations
 from lotlens.operators.relational import exact_median, lookup_join, page, top_n_per_group
+from lotlens.operators.timeline import Timeline
 from lotlens.plans.views import listing_view, observation_view
 from lotlens.schemas import EXTRA, TABLES
 from lotlens.session import scratch
@@ -68,6 +69,35 @@ def test_tracking_is_the_same_with_hot_listings(spark, sf):
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
 
 
+def test_a_listing_with_a_third_of_the_log_on_one_day(spark):
+    """Splits hold like numbers of rows, on one day and at one instant; a window's tasks stay even without adaptive execution."""
+    n = 24_000
+    hot = spark.range(n // 3).select(
+        F.lit("hot").alias("k"), (F.lit(1_700_000_000) + F.when(F.col("id") < n // 6, 7).otherwise(F.col("id") % 80_000)).alias("t"), F.col("id").alias("seq"),
+        F.when(F.xxhash64("id") % 3 == 0, F.xxhash64("id") % 50).alias("v"))
+    rest = spark.range(2 * n // 3).select(
+        (F.col("id") % 1500).cast("string").alias("k"), (F.lit(1_700_000_000) + F.col("id")).alias("t"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, F.col("id") % 9).alias("v"))
+    rows = hot.unionByName(rest).unionByName(rest.where("k = '5'").withColumn("k", F.lit(None).cast("string"))).repartition(6)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        line = Timeline(rows, ["k"], ["t", "seq"], hot_rows=400)
+        splits = [r["count"] for r in line.rows.where("k = 'hot'").groupBy("_bucket").count().collect()]
+        assert len(splits) > 30 and max(splits) <= 3 * sorted(splits)[len(splits) // 2]
+        got = line.previous(["v"]).running_count(F.col("v") > 5, "c").rows
+        tasks = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
+        w = Window.partitionBy("k").orderBy("t", "seq")
+        want = rows.withColumn("prev_v", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        want = want.withColumn("c", F.sum(F.coalesce((F.col("v") > 5).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        got = got.select(want.columns)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_fold_equals_repeated_merge(spark, sf):
     """The state folded from a log is the state merged card by card, crawl after crawl."""
     obs = observation_view(spark, sf).where("property_key in ('1', '2', '3')")

@@ -3,6 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from lotlens.operators.changes import absence_events, change_events, fold_observations, track_observations
+from lotlens.operators.state import clean_cards
 from lotlens.plans.views import observation_view
 from lotlens.schemas import TABLES
 from lotlens.session import scratch
@@ -60,12 +61,12 @@ def test_batch_stream_equals_batch_also_with_hot_listings(spark, sf):
         same(spark.read.parquet(f"{path}/events"), expected(obs))
 
 
-def mart(spark, stream, hot_rows=10**6):
+def mart(spark, stream, hot_rows=10**6, prepare=None):
     path = scratch(spark, "mart")
     cards = conform(stream, "observations").withColumn("property_key", F.col("external_id"))
-    query = K.stream_to_mart(cards, path, scratch(spark, "cp"), hot_rows=hot_rows)
-    query.awaitTermination()
-    return spark.read.schema(TABLES["listings"]).parquet(K.latest_slot(path, query)), spark.read.parquet(f"{path}/events")
+    K.stream_to_mart(cards, path, scratch(spark, "cp"), prepare, hot_rows, parts=7).awaitTermination()
+    tables = K.stream_mart(spark, path, 7)
+    return tables.read("listings"), tables.read("events")
 
 
 def test_mart_stream_is_the_batch_fold_for_any_cut(spark, sf):
@@ -88,24 +89,37 @@ def test_mart_keeps_every_card_of_a_batch_and_stored_vanishing(spark):
         return conform(frame.withColumn("seen_at", F.to_timestamp("at")), "observations").withColumn("property_key", F.lit("p"))
 
     path = scratch(spark, "mart")
-    merge = K.mart_writer(spark, path)
+    merge, tables = K.mart_writer(spark, path), K.stream_mart(spark, path)
     merge(cards((100.0, "2024-01-01"), (90.0, "2024-01-02"), (80.0, "2024-01-03")), 0)
-    row = spark.read.schema(TABLES["listings"]).parquet(f"{path}/listings/slot=0").first()
+    row = tables.read("listings").first()
     assert (row.price, str(row.last_seen_at), row.price_drop_count) == (80.0, "2024-01-03 00:00:00", 2)
-    kinds = spark.read.parquet(f"{path}/events/batch=0").orderBy("occurred_at").select("event_type").collect()
+    kinds = tables.read("events").orderBy("occurred_at").select("event_type").collect()
     assert [k[0] for k in kinds] == ["appeared", "price_changed", "price_changed"]
 
-    gone = spark.read.schema(TABLES["listings"]).parquet(f"{path}/listings/slot=0").withColumns({
-        "status": F.lit("vanished"), "vanished_at": F.to_timestamp(F.lit("2024-01-05"))}).collect()
-    spark.createDataFrame(gone, TABLES["listings"]).write.mode("overwrite").parquet(f"{path}/listings/slot=0")
+    gone = spark.createDataFrame(tables.read("listings").withColumns({
+        "status": F.lit("vanished"), "vanished_at": F.to_timestamp(F.lit("2024-01-05"))}).collect(), TABLES["listings"])
+    tables.commit(1, {"listings": (gone, tables.touched("listings", gone))})
     for _ in range(2):  # a repeated batch changes nothing
-        merge(cards((70.0, "2024-01-06"), (70.0, "2024-01-07")), 1)
-    row = spark.read.schema(TABLES["listings"]).parquet(f"{path}/listings/slot=1").first()
+        merge(cards((70.0, "2024-01-06"), (70.0, "2024-01-07")), 2)
+    row = tables.read("listings").first()
     assert (row.status, row.vanished_at, row.price_drop_count, str(row.first_seen_at)) == ("active", None, 3, "2024-01-01 00:00:00")
-    kinds = spark.read.parquet(f"{path}/events/batch=1").select("event_type").collect()
+    kinds = tables.read("events").where("occurred_at > '2024-01-05'").select("event_type").collect()
     assert sorted(k[0] for k in kinds) == ["price_changed", "relisted"]
 
 
+def test_mart_cleans_cards_first(spark, sf):
+    """Micro-batches of cleaned cards leave what all cleaned cards leave at once."""
+    obs, stream = parts(spark, sf, ["2024-01-16"])
+    text = lambda df: df.withColumn("title", F.when(F.col("seq") % 3 == 0, "Офіс у центрі").when(F.col("seq") % 3 == 1, "Продаж магазину 120 м²"))
+    names = ["source", "external_id", "price", "title", "property_type", "property_key", "status", "price_drop_count", "last_seen_at"]
+    state = mart(spark, text(stream), prepare=clean_cards)[0].select(names)
+    cards = clean_cards(conform(text(obs), "observations").withColumn("property_key", F.col("external_id")))
+    path = scratch(spark, "mart")
+    K.mart_writer(spark, path)(cards, 0)
+    want = K.stream_mart(spark, path).read("listings").select(names)
+    assert state.count() == want.count() > 0 and state.exceptAll(want).count() == 0 and want.where("property_type IS NOT NULL").count() > 0
+
+
 def test_windows_closed_and_open_cover_the_log(spark, sf):
     obs, stream = parts(spark, sf)
     how = {"window": "1 day", "time": "seen_at", "by": ("source",)}
