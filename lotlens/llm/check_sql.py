@@ -25,7 +25,7 @@ WITH cut AS (
     regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{site_lines.HIDDEN}', ' ', 'g'),
       '{site_lines.BREAKS}', chr(10), 'g'), '{site_lines.TAGS}', '', 'g') AS flat FROM pages),
 page AS (
-  SELECT n, page_id, host, list_filter(list_transform(string_split(flat, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM cut),
+  SELECT n, page_id, host, list_filter(list_transform(string_split(flat, chr(10)), lambda x: trim(x, '{site_lines.SPACES}')), lambda x: x <> '') AS lines FROM cut),
 total AS (SELECT host, count(*) AS pages FROM page WHERE host IS NOT NULL GROUP BY host),
 counted AS (
   SELECT host, line, count(*) AS c FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM page WHERE host IS NOT NULL) GROUP BY host, line),
@@ -102,7 +102,8 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score
 _HASH = "CAST('0x' || substr(md5(word), 1, 8) AS BIGINT)"
 OP13 = rf"""
 WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-split AS (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^ 	-]+') AS l FROM rows_)),
+split AS (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^ 	-
+]+') AS l FROM rows_)),
 hashed AS (SELECT r, i, word, {_HASH} AS h, lead(word) OVER d AS second, lead(word, 2) OVER d AS third FROM split WINDOW d AS (PARTITION BY r ORDER BY i)),
 paired AS (SELECT r, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS g FROM hashed),
 grams AS (SELECT r, h % {quality.BUCKETS} AS b FROM paired UNION ALL SELECT r, (31 * h + g) % {quality.BUCKETS} FROM paired WHERE g IS NOT NULL),
@@ -122,9 +123,12 @@ windows AS (
 repeated AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 lines AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows_)
-  WHERE regexp_matches(line, '[^ 	-]') GROUP BY r),
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY r),
 ruled AS (
-  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-]+')) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+  SELECT doc_id, len(regexp_extract_all(text, '[^ 	-
+]+')) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, score
   FROM rows_ LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r) LEFT JOIN scores USING (r)),
 failed AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM ruled),

@@ -184,6 +184,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
 
         return keep
 
+    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
     for block in _blocks(benchmark, seed):
-        docs = docs.mapInArrow(keeper(block), docs.schema)
-    return docs
+        kept = kept.mapInArrow(keeper(block), kept.schema)
+    return kept.toDF(*docs.columns)

@@ -4,7 +4,7 @@ Features: counts of character 1-, 2- and 3-grams of the lower-cased letters (any
 space), hashed to ``DIM`` places; weight
 (1 + ln count) * idf, vectors normalised. Inverse document frequencies come from all training documents. Each language
 has ``CLUSTERS`` centroids, clustered by cosine on a sample of about ``SAMPLE`` of its training documents (a documented bound:
-a fixed share of a hash of the id, so more rows make no larger fit). A text gets the language of the nearest centroid;
+a fixed share of a hash of id and text, repeated rows once, so more rows make no larger fit, whatever their ids). A text gets the language of the nearest centroid;
 its score is the cosine. A text is rejected if it has no letter, or if its distance (1 - cosine) exceeds the bound of its
 length class: texts with as many different n-grams, by powers of two, those of ``LONG`` powers or more in one class. The bound is the largest
 distance that a sampled training text of this class, or of a class of longer texts, has from its nearest centroid, all languages taken together, plus
@@ -137,19 +137,26 @@ class Model:
         return out
 
 
+def training_sample(training: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang and text of about ``sample`` rows per language, of training rows with lang, text and h (hash of id and text)."""
+    # one row per language
+    sizes = training.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.least(F.lit(1.0), sample / F.col("n")))
+    picked = training.join(F.broadcast(sizes.select(F.col("lang").alias("l"), "share")), F.col("lang") == F.col("l"))
+    picked = picked.filter(F.pmod("h", F.lit(2**30)) < F.col("share") * float(2**30))
+    # repeated rows share a hash and are one row of the sample
+    return picked.groupBy("lang", "h").agg(F.any_value("text").alias("text")).select("lang", "text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
     """Learns from text and lang of the documents that are not held out; collects DIM sums and one row per centroid."""
     training = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64("doc_id").alias("h"))
+        F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64("doc_id", "text").alias("h"))
     rows = training.select("text").mapInArrow(_document_frequency, "place long, docs long").groupBy("place").agg(F.sum("docs").alias("docs")).collect()
     seen = np.zeros(DIM + 1)
     for place, n in rows:
         seen[place] = n
     idf = np.log((1 + seen[DIM]) / (1 + seen[:DIM])) + 1
-    # one row per language
-    sizes = training.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.least(F.lit(1.0), sample / F.col("n")))
-    picked = training.join(F.broadcast(sizes.select(F.col("lang").alias("l"), "share")), F.col("lang") == F.col("l"))
-    picked = picked.filter(F.pmod("h", F.lit(2**30)) < F.col("share") * float(2**30)).select("lang", "text")
+    picked = training_sample(training, sample)
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         x, _, classes = vectors(part["text"].sort_values().tolist(), idf)
@@ -198,7 +205,8 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 found = known.value.predict(batch.column(at).to_pylist())
                 yield batch.filter(pa.array([not f[2] for f in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:

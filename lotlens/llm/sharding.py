@@ -1,6 +1,6 @@
 """Contiguous shards of near equal bytes from global prefix sums; DataFrame functions only.
 
-Rows are put in order of ``doc_id`` (null first; ties by checksum and size) by a range partitioning of
+Rows are put in order of ``doc_id`` (null first; ties by checksum, size and place in the table) by a range partitioning of
 narrow rows. Totals per range partition, one row each, give the bases; a running sum inside each
 partition does the rest, so no task sees more than its share. A document belongs to the shard in
 which the middle of its byte span falls, so each cut is off by half a document at most.
@@ -21,10 +21,12 @@ from lotlens.session import stored
 def with_prefix_sums(rows: DataFrame, order: list[str], value: str) -> DataFrame:
     """Adds ``before`` (sum of ``value`` of all rows before) and ``rank`` (rows before) in the global order.
 
-    ``rows`` should be narrow: they are sorted and written once, as the range bounds of a
-    recomputed partitioning could differ.
+    ``rows`` should be narrow: they are written once to number them, so that equal rows fall into several ranges, and once
+    sorted, as the range bounds of a recomputed partitioning could differ.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    order = [*order, "row"]
+    numbered = stored(rows, "rows").withColumn("row", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = stored(ranged, "ranged")
     totals = ranged.groupBy("part").agg(F.sum(value).alias("part_sum"), F.count("*").alias("part_rows"))
     # one row for each partition
@@ -51,10 +53,9 @@ def shards(docs: DataFrame, count: int = 8) -> DataFrame:
     )
     placed = with_prefix_sums(rows, ["doc_id", "text_crc32", "size"], "size")
     total = stored(placed, "placed")
-    whole = total.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("whole"))
+    whole = total.agg(F.sum("size")).first()[0] or 1
     # the middle of the document's span, in halves, times the shards, by twice the whole: all in integers
-    cut = total.join(F.broadcast(whole)).withColumn(
-        "shard", F.expr(f"CAST(least(((2 * before + size) * {count}) div (2 * whole), {count - 1}) AS int)"))
+    cut = total.withColumn("shard", F.expr(f"CAST(least(((2 * before + size) * {count}) div (2 * {whole}L), {count - 1}) AS int)"))
     first = cut.groupBy("shard").agg(F.min("rank").alias("first"))
     return cut.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

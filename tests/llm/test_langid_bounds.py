@@ -6,7 +6,9 @@ import string
 
 import pytest
 
-from lotlens.llm import langid
+from pyspark.sql import functions as F
+
+from lotlens.llm import decontaminate, langid
 
 IT = "La vita è bella quando il sole sorge sopra le colline e gli uccelli cantano nei boschi vicini. Ogni mattina mia nonna preparava il caffè e raccontava storie di quando era bambina nella campagna toscana. "
 PL = "W małym miasteczku na wschodzie mieszkał stary zegarmistrz, który codziennie otwierał swój warsztat o świcie. Ludzie przychodzili do niego z daleka, żeby naprawić zegarki i posłuchać jego opowieści o dawnych czasach. "
@@ -24,3 +26,17 @@ def test_strange_texts_go_and_held_out_documents_stay(spark, size):
     assert [p[2] for p in model.predict(strange)] == [True] * len(strange)
     assert langid.languages(docs, model).filter("held_out and rejected and lang_pred <> 'und'").count() == 0
     assert (model.bounds[langid.LONG :] < 0.7).all()
+
+
+def test_sample_is_bounded_for_null_and_repeated_ids(spark):
+    rows = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 1, "one text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang"))
+    training = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    assert 100 < langid.training_sample(training, 300).count() < 400
+
+
+def test_names_with_dots(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("a.b", F.lit(1))
+    assert langid.accepted(docs).columns == docs.columns and langid.accepted(docs).count() > 150
+    assert decontaminate.clean(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).columns == docs.columns

@@ -490,3 +490,17 @@ def test_shards(spark, docs, odd, none):
             held[r.shard] += r.size
         assert all(abs(held[s] - total / 8) <= largest for s in range(8))
     assert sharding.shards(none).count() == 0
+
+
+def test_equal_rows_fall_into_several_ranges(spark, monkeypatch):
+    rows, kept, write = spark.range(8_000).select(F.when(F.col("id") % 2 == 0, 3).otherwise(F.col("id")).alias("doc_id"), F.lit(5).cast("long").alias("size")).repartition(6), {}, sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sharding.with_prefix_sums(rows, ["doc_id", "size"], "size").orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    parts = [r["count"] for r in kept["ranged"].groupBy("part").count().collect()]
+    assert len(parts) == 4 and max(parts) <= 3_000
+    assert [r["rank"] for r in got] == list(range(8_000)) and [r.before for r in got] == [5 * i for i in range(8_000)]
