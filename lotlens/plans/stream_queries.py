@@ -45,6 +45,30 @@ def stream_changes_by_batch(spark, root):
     return rows.select("source", "external_id", "event_type", stamp("occurred_at"), "old_price", "new_price")
 
 
+# Cards before the last whole minute that the watermark has passed.
+CLOSED_SQL = (OBS.replace("obs AS (", "arrived AS (", 1), """wm AS (SELECT date_trunc('minute', max(seen_at) - INTERVAL 1 DAY) AS at FROM arrived),
+obs AS (SELECT arrived.* FROM arrived, wm WHERE seen_at < wm.at)""")
+
+
+@query("stream_late_changes", with_(*CLOSED_SQL, tracked(MISSED_BY_IDLE), STREAM_SQL.split("\n", 1)[1], body=f"SELECT source, external_id, event_type, {ts('occurred_at')}, old_price, new_price FROM sev"))
+def stream_late_changes(spark, root):
+    """The log in two files, the odd cards of the last 20 hours of the first file come with the second."""
+    obs = observation_view(spark, root)
+    days = obs.agg(F.min("seen_at").alias("low"), F.max("seen_at").alias("high")).first()
+    cut = F.lit(days.low + (days.high - days.low) / 2)
+    late = (F.col("seen_at") >= cut - F.expr("INTERVAL 20 HOURS")) & (F.col("seq") % 2 == 1)
+    log = scratch(spark, "late-log")
+    first = (F.col("seen_at") < cut) & ~late
+    checkpoint, out = scratch(spark, "late-cp"), scratch(spark, "late")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", K.ROCKSDB)
+    for part in (first, ~first):
+        obs.where(part).write.mode("append").parquet(log)
+        changes = K.stream_ordered_changes(spark.readStream.schema(obs.schema).parquet(log), 72)
+        changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(changes.schema).parquet(out)
+    return rows.select("source", "external_id", "event_type", stamp("occurred_at"), "old_price", "new_price")
+
+
 @query("stream_vanish_counts", with_(OBS, tracked(MISSED_BY_IDLE), STREAM_SQL, body="SELECT source, event_type, count(*) AS n FROM sev WHERE event_type IN ('vanished', 'relisted') GROUP BY 1, 2"))
 def stream_vanish(spark, root):
     rows = K.run_available(K.stream_changes(_stream(spark, root), 72), "vanish")

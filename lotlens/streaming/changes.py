@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,8 @@ CHANGE_SCHEMA = (
 )
 CARD_STATE = "price DOUBLE, raw_status STRING, last_seen TIMESTAMP, gone_at TIMESTAMP"
 CARD_FIELDS = ["seen_at", "seq", "price", "source_status_raw"]
+HELD_CARDS = "cards ARRAY<STRUCT<seen: BIGINT, seq: BIGINT, price: DOUBLE, raw: STRING>>"
+EPOCH = datetime(1970, 1, 1)
 
 
 def dedupe_stream(obs: DataFrame, keys: list[str], delay: str = "2 days", time: str = "seen_at") -> DataFrame:
@@ -60,6 +62,27 @@ class _ChangeDetector(StatefulProcessor):
         self.handle = handle
         self.card = handle.getValueState("card", CARD_STATE)
 
+    def _step(self, key, state, seen, value: float | None, stated: str | None, events: list[tuple]) -> tuple:
+        """The state after a card; what the card changed is added to ``events``."""
+        price, raw, last, gone = state
+        before = None if last is None else _status(raw)
+        if last is None:
+            events.append((*key, "appeared", seen, None, None, None, None))
+        else:
+            if before == "active" and gone is None and last + self.idle < seen:
+                gone = last + self.idle
+                events.append((*key, "vanished", gone, None, None, None, None))
+            if gone is not None or before == "vanished":
+                before = "relisted"
+                events.append((*key, "relisted", seen, None, None, None, None))
+            if price is not None and value is not None and value != price:
+                events.append((*key, "price_changed", seen, price, value, None, None))
+        raw = stated or raw
+        after = _status(raw)
+        if last is not None and after != "active" and after != before:
+            events.append((*key, "status_changed", seen, None, None, before, after))
+        return value if value is not None else price, raw, seen, None
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         cards = pd.concat(list(rows)).sort_values(["seen_at", "seq"])
         price = raw = last = gone = None
@@ -67,26 +90,8 @@ class _ChangeDetector(StatefulProcessor):
             price, raw, last, gone = self.card.get()
         events = []
         for seen, value, stated in zip(cards["seen_at"], cards["price"], cards["source_status_raw"]):
-            seen = seen.to_pydatetime()
             value = None if pd.isna(value) else float(value)
-            stated = stated or None
-            before = None if last is None else _status(raw)
-            if last is None:
-                events.append((*key, "appeared", seen, None, None, None, None))
-            else:
-                if before == "active" and gone is None and last + self.idle < seen:
-                    gone = last + self.idle
-                    events.append((*key, "vanished", gone, None, None, None, None))
-                if gone is not None or before == "vanished":
-                    before = "relisted"
-                    events.append((*key, "relisted", seen, None, None, None, None))
-                if price is not None and value is not None and value != price:
-                    events.append((*key, "price_changed", seen, price, value, None, None))
-            raw = stated or raw
-            after = _status(raw)
-            if last is not None and after != "active" and after != before:
-                events.append((*key, "status_changed", seen, None, None, before, after))
-            price, last, gone = value if value is not None else price, seen, None
+            price, raw, last, gone = self._step(key, (price, raw, last, gone), seen.to_pydatetime(), value, stated or None, events)
         self.card.update((price, raw, last, None))
         for due in list(self.handle.listTimers()):
             self.handle.deleteTimer(due)
@@ -105,6 +110,65 @@ class _ChangeDetector(StatefulProcessor):
         pass
 
 
+class _OrderedDetector(_ChangeDetector):
+    """`_ChangeDetector` for cards that arrive out of order, up to the watermark's delay.
+
+    Cards wait in a map by time span until the watermark passes the end of their span; its timer then releases them in
+    time order. Memory holds one Arrow batch, or the cards of one listing and span. An idle listing is told at the end of the span its
+    idle time ends in, after the cards of that span.
+    """
+
+    def __init__(self, idle_hours: int, span_seconds: int):
+        super().__init__(idle_hours)
+        self.span = span_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getMapState("held", "ends BIGINT", HELD_CARDS)
+
+    def _ends(self, at: int) -> int:
+        """End of the span of a time, in microseconds."""
+        return at - at % self.span + self.span
+
+    def _wake(self, ends: int) -> None:
+        self.handle.registerTimer(ends // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            spans: dict[int, list[tuple]] = {}
+            times = batch["seen_at"].to_numpy().astype("datetime64[us]").astype("int64")
+            for seen, seq, value, stated in zip(times.tolist(), batch["seq"], batch["price"], batch["source_status_raw"]):
+                spans.setdefault(self._ends(seen), []).append((seen, int(seq), None if pd.isna(value) else float(value), stated or None))
+            for ends, cards in spans.items():
+                if self.held.containsKey((ends,)):
+                    cards = [tuple(c) for c in self.held.getValue((ends,))[0]] + cards
+                else:
+                    self._wake(ends)
+                self.held.updateValue((ends,), (cards,))
+        yield _frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ends = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        state = self.card.get() if self.card.exists() else (None, None, None, None)
+        events: list[tuple] = []
+        if self.held.containsKey((ends,)):
+            for seen, _, value, stated in sorted((tuple(c) for c in self.held.getValue((ends,))[0]), key=lambda c: c[:2]):
+                state = self._step(key, state, EPOCH + timedelta(microseconds=seen), value, stated, events)
+            self.held.removeKey((ends,))
+            if _status(state[1]) == "active":
+                self._wake(self._ends(_micros(state[2] + self.idle)))
+        price, raw, last, gone = state
+        if last is not None and gone is None and _status(raw) == "active" and _micros(last + self.idle) < ends:
+            gone = last + self.idle
+            events.append((*key, "vanished", gone, None, None, None, None))
+        self.card.update((price, raw, last, gone))
+        yield _frame(events)
+
+
+def _micros(at: datetime) -> int:
+    return (at - EPOCH) // timedelta(microseconds=1)
+
+
 def _frame(events: list[tuple]) -> pd.DataFrame:
     names = [part.split()[0] for part in CHANGE_SCHEMA.split(", ")]
     return pd.DataFrame(events, columns=names)
@@ -124,6 +188,20 @@ def stream_changes(obs: DataFrame, idle_hours: int = 72, delay: str = "1 day") -
     )
 
 
+def stream_ordered_changes(obs: DataFrame, idle_hours: int = 72, delay: str = "1 day", span_seconds: int = 60) -> DataFrame:
+    """Change events of cards that may come up to ``delay`` late: those of the batch run, for any order of arrival.
+
+    A card counts once the watermark has passed the end of its span of ``span_seconds``; a card behind the watermark is
+    dropped by Spark. State is one row per listing and the waiting cards, in RocksDB; a listing that fills a micro-batch
+    is read batch by batch, so choose the span for the cards one listing may have in it. The session runs in UTC.
+    """
+    cards = obs.select(*KEY, *CARD_FIELDS).withWatermark("seen_at", delay)
+    return cards.groupBy(*KEY).transformWithStateInPandas(
+        statefulProcessor=_OrderedDetector(idle_hours, span_seconds), outputStructType=CHANGE_SCHEMA,
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
 def stream_activity(events: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "1 day",
                     time: str = "occurred_at", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Event counts per tumbling or sliding window; partial counts before the shuffle."""

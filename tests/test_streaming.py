@@ -51,6 +51,57 @@ def test_state_stream_equals_batch(spark, sf):
     same(K.run_available(K.stream_changes(stream, 72), "changes"), expected(obs))
 
 
+def late_parts(spark, sf):
+    """The log in files by day; one card in three comes with the next file, and so up to 20 hours late."""
+    path = scratch(spark, "late")
+    obs = observation_view(spark, sf)
+    late = (F.col("seq") % 3 == 0) & (F.hour("seen_at") >= 4)
+    for low in range(0, 32, 4):
+        day = F.dayofmonth("seen_at")
+        came = F.when(late & (day % 4 == 3), day + 1).otherwise(day)
+        obs.where((came >= low) & (came < low + 4)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return obs, spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_late_cards_give_the_events_of_the_batch_run(spark, sf):
+    obs, stream = late_parts(spark, sf)
+    ends = obs.agg(F.max("seen_at")).first()[0]
+    shut = F.date_trunc("minute", F.lit(ends) - F.expr("INTERVAL 1 DAY"))
+    closed = obs.where(F.col("seen_at") < shut)
+    tracked = track_observations(closed, idle_hours=72)
+    changes = change_events(tracked).select(*COLUMNS[:4], "payload.old_price", "payload.new_price")
+    gone = absence_events(tracked, fold_observations(closed, idle_hours=72, as_of=shut)).select(*COLUMNS[:4])
+    got = K.run_available(K.stream_ordered_changes(stream, 72), "ordered")
+    same(got, changes.unionByName(gone, allowMissingColumns=True))
+
+
+def test_hot_listing_out_of_order_in_many_batches(spark):
+    """All cards of one listing, in any order, some equal in time and some twice."""
+    rows = spark.range(6000).selectExpr(
+        "'s' AS source", "'1' AS external_id", "timestamp_seconds(1700000000 + (id * 7919 % 5000) * 20) AS seen_at", "id AS seq",
+        "CAST(id % 11 AS DOUBLE) AS price", "CASE WHEN id % 40 = 0 THEN 'inactive' WHEN id % 40 = 20 THEN 'active' END AS source_status_raw")
+    end = rows.selectExpr("'s' AS source", "'2' AS external_id", "timestamp_seconds(1800000000) AS seen_at", "0L AS seq", "1D AS price", "'' AS source_status_raw")
+    path = scratch(spark, "hot")
+    for n in range(3):
+        rows.where(F.col("seq") % 3 == n).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        got = K.run_available(K.stream_ordered_changes(stream, 1, "3 days"), "hot").where("external_id = '1'")
+        got = got.cache()
+        got.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    obs = rows.selectExpr("*", *[f"CAST(NULL AS {t}) AS {c}" for c, t in (
+        ("currency", "STRING"), ("title", "STRING"), ("area_sqm", "DOUBLE"), ("description", "STRING"), ("phone", "STRING"), ("url", "STRING"), ("property_key", "STRING"))])
+    tracked = track_observations(obs, idle_hours=1)
+    changes = change_events(tracked).select(*COLUMNS[:4], "payload.old_price", "payload.new_price")
+    same(got.where("event_type <> 'vanished'"), changes)
+
+
 def test_batch_stream_equals_batch_also_with_hot_listings(spark, sf):
     obs, stream = parts(spark, sf)
     for hot in (10**6, 3):
