@@ -148,21 +148,28 @@ class _OrderedDetector(_ChangeDetector):
         yield _frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ends = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         state = self.card.get() if self.card.exists() else (None, None, None, None)
-        events: list[tuple] = []
-        if self.held.containsKey((ends,)):
+        # the first timer of a micro-batch releases all spans that have ended; the timers of the others find nothing left
+        fired = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        ended = self.held.containsKey((fired,))
+        for ends in sorted(k[0] for k in self.held.keys() if k[0] <= now) if ended else ():
+            events: list[tuple] = []
             for seen, _, value, stated in sorted((tuple(c) for c in self.held.getValue((ends,))[0]), key=lambda c: c[:2]):
                 state = self._step(key, state, EPOCH + timedelta(microseconds=seen), value, stated, events)
             self.held.removeKey((ends,))
-            if _status(state[1]) == "active":
-                self._wake(self._ends(_micros(state[2] + self.idle)))
+            yield _frame(events)
         price, raw, last, gone = state
-        if last is not None and gone is None and _status(raw) == "active" and _micros(last + self.idle) < ends:
-            gone = last + self.idle
-            events.append((*key, "vanished", gone, None, None, None, None))
+        if last is not None and gone is None and _status(raw) == "active":
+            gone_at = last + self.idle
+            due = self._ends(_micros(gone_at))
+            # the timer of an older card must not speak for spans that wait for theirs
+            if due <= now and (ended or fired == due):
+                gone = gone_at
+                yield _frame([(*key, "vanished", gone, None, None, None, None)])
+            elif ended:
+                self._wake(due)
         self.card.update((price, raw, last, gone))
-        yield _frame(events)
 
 
 def _micros(at: datetime) -> int:

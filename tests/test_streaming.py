@@ -76,6 +76,19 @@ def test_late_cards_give_the_events_of_the_batch_run(spark, sf):
     same(got, changes.unionByName(gone, allowMissingColumns=True))
 
 
+def test_timer_of_an_older_card_waits_for_held_cards(spark):
+    path = scratch(spark, "older")
+    schema = "source STRING, external_id STRING, seen_at TIMESTAMP, seq BIGINT, price DOUBLE, source_status_raw STRING"
+    for one, other in ((0, 2), (5, 7), (12, 40)):
+        spark.sql(f"""SELECT 's' AS source, id AS external_id, timestamp_seconds(1700000000 + h * 3600) AS seen_at, 1L AS seq, 5D AS price, '' AS source_status_raw
+            FROM VALUES ('1', {one}), ('2', {other}) AS t(id, h)""").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = K.run_available(K.stream_ordered_changes(stream, 10, "1 hour"), "older").where("external_id = '1'")
+    hours = got.selectExpr("event_type", "CAST((unix_seconds(occurred_at) - 1700000000) / 3600 AS INT)").collect()
+    assert sorted(map(tuple, hours)) == [("appeared", 0), ("vanished", 22)]
+
+
 def test_hot_listing_out_of_order_in_many_batches(spark):
     """All cards of one listing, in any order, some equal in time and some twice."""
     rows = spark.range(6000).selectExpr(
