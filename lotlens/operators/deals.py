@@ -67,8 +67,13 @@ def bulk_delist(listings: DataFrame, as_of: Column, cfg: MarketConfig = DEFAULT)
     )
 
 
-def deal_candidates(listings: DataFrame, events: DataFrame, as_of: Column, cfg: MarketConfig = DEFAULT) -> DataFrame:
-    """One scoring input per premises whose listings have all gone."""
+def deal_candidates(
+    listings: DataFrame, events: DataFrame, as_of: Column, cfg: MarketConfig = DEFAULT, everyone: DataFrame | None = None,
+) -> DataFrame:
+    """One scoring input per premises whose listings have all gone.
+
+    ``everyone`` is the whole listing table when ``listings`` holds some premises only.
+    """
     sets = source_sets(listings).where(F.col("active_listings") == 0)
     low = F.lower(blank_safe(F.col("source_status_raw")))
     explicit = any_contains(low, rules.EXPLICIT_DEAL_WORDS)
@@ -79,7 +84,7 @@ def deal_candidates(listings: DataFrame, events: DataFrame, as_of: Column, cfg:
         representative(listings).join(sets, "property_key")
         .join(previous_price(events), KEY, "left").join(back, "property_key", "left")
     )
-    rows = lookup_join(rows, bulk_delist(listings, as_of, cfg).withColumn("_bulk", F.lit(True)), ["agency", "source"], "n")
+    rows = lookup_join(rows, bulk_delist(listings if everyone is None else everyone, as_of, cfg).withColumn("_bulk", F.lit(True)), ["agency", "source"], "n")
     return rows.select(
         "property_key", *KEY, "deal_type", F.coalesce("vanished_at", as_of).alias("vanished_at"), "first_seen_at",
         F.col("price").alias("last_price"), "previous_price", "price_drop_count",

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from lotlens.operators import deals as D
 from lotlens.operators import state as S
 from lotlens.plans.check_sql import LISTINGS_AS_OF as SQL_AS_OF, LOG_AS_OF as SQL_LOG_AS_OF, LV, MART, with_
-from lotlens.plans.log_queries import _premises_events
+from lotlens.operators.ingest import mart_tables, vanish_crawl
+from lotlens.plans.log_queries import GUARD_CFG, MARKED_SQL, MISSING_SQL, PROPERTY_EVENTS, SEEN_SQL, VANISH_SQL, _listings_seen, _premises_events
 from lotlens.plans.registry import big, query, stamp
 from lotlens.plans.views import LISTINGS_AS_OF, as_of, listing_view
-from lotlens.session import stored
+from lotlens.session import scratch, stored
+from lotlens.sources.tables import conform
 
 KEY = S.KEY
 ACTIVE = "status IN ('active', 'relisted')"
@@ -81,6 +83,50 @@ def _hyps(spark, root):
         F.col("vanished_at").alias("created_at"), F.col("vanished_at").alias("updated_at"))
 
 
+# --- the vanish pass over the versioned mart --------------------------------------------------------
+
+_VANISHED: dict = {}
+MART_VANISH_SQL = (
+    LV, SEEN_SQL, MISSING_SQL, MARKED_SQL, PROPERTY_EVENTS, VANISH_SQL, EVENTS_SQL.split("\n")[-1], "lc AS (SELECT * FROM marked)", BULK_SQL,
+    CAND_SQL.replace("sets AS", "dsets AS").replace("JOIN sets s", "JOIN dsets s").replace("rep AS", "drep AS").replace("FROM rep r", "FROM drep r")[:-1]
+    + " WHERE r.property_key IN (SELECT property_key FROM fresh))", SCORE_SQL)
+
+
+def _vanish_mart(spark, root):
+    """Listings, premises and events committed as one batch, the vanish pass as the next."""
+    key = f"vanish {spark.sparkContext.applicationId} {root}"
+    if key not in _VANISHED:
+        rows, seen = _listings_seen(spark, root)
+        mart = mart_tables(spark, scratch(spark, "vanish-mart"), parts=8)
+        premises = rows.groupBy(F.col("property_key").alias("fingerprint")).agg(F.bool_or(F.expr(ACTIVE)).alias("is_active"))
+        logged = _events(rows)
+        payload = F.col("payload")
+        logged = logged.withColumn("payload", S._payload(old_price=payload.old_price, new_price=payload.new_price))
+        mart.commit(0, {"listings": (conform(rows, "listings"), range(8)), "properties": (conform(premises, "properties"), range(8))}, {"events": conform(logged, "events")})
+        vanish_crawl(mart, 1, seen, as_of(LISTINGS_AS_OF), GUARD_CFG)
+        _VANISHED[key] = mart
+    return _VANISHED[key]
+
+
+@query("mart_vanish_listings", with_(*MART_VANISH_SQL, body=f"""SELECT m.source, m.external_id, coalesce(s.new_status, m.status) AS status, strftime(m.vanished_at, '%Y-%m-%d %H:%M:%S') AS vanished_at
+FROM marked m LEFT JOIN hyp s ON s.source = m.source AND s.external_id = m.external_id"""))
+def mart_vanish_listings(spark, root):
+    return _vanish_mart(spark, root).read("listings").select(*KEY, "status", stamp("vanished_at"))
+
+
+@query("mart_vanish_hypotheses", with_(*MART_VANISH_SQL, body=f"SELECT property_key, source, external_id, score, bucket, strftime({SQL_AS_OF}, '%Y-%m-%d %H:%M:%S') AS created_at FROM hyp"))
+def mart_vanish_hypotheses(spark, root):
+    return _vanish_mart(spark, root).read("hypotheses").select("property_key", *KEY, "score", "bucket", stamp("created_at"))
+
+
+@query("mart_vanish_premises", with_(*MART_VANISH_SQL, body=f"""SELECT property_key, bool_or({ACTIVE}) AS is_active, property_key IN (SELECT property_key FROM fresh) AS told FROM marked GROUP BY 1"""))
+def mart_vanish_premises(spark, root):
+    mart = _vanish_mart(spark, root)
+    told = mart.read("events").where((F.col("event_type") == "vanished") & (F.col("payload.level") == "property")).select(F.col("property_key").alias("fingerprint"), F.lit(True).alias("told"))
+    rows = mart.read("properties").join(told, "fingerprint", "left")
+    return rows.select(F.col("fingerprint").alias("property_key"), "is_active", F.coalesce("told", F.lit(False)).alias("told"))
+
+
 @query("agency_bulk_delist", with_(LV, CLOSED_SQL, BULK_SQL.replace("INTERVAL 24 HOUR", "INTERVAL 2400 HOUR"), body="SELECT * FROM bulk"))
 def bulk(spark, root):
     from lotlens.config import MarketConfig

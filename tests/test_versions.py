@@ -5,6 +5,8 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from lotlens.config import MarketConfig
+from lotlens.operators.ingest import mart_tables, vanish_crawl
 from lotlens.schemas import TABLES
 from lotlens.session import scratch
 from lotlens.sources.tables import conform
@@ -77,3 +79,25 @@ def test_tables_change_together_and_parts_can_empty(spark):
     assert tables.read("listings", before=1).count() == 9 and tables.read("properties", before=1).count() == 9
     tables.commit(2, {})
     assert tables.read("properties").count() == 4
+
+
+def test_vanish_pass_again_and_nothing_to_do(spark):
+    """One premises with two listings, one with a sold listing, one still seen; the pass twice, then one that sees all that is left."""
+    at = F.to_timestamp(F.lit("2024-03-01"))
+    rows = spark.sql("""SELECT s AS source, e AS external_id, p AS property_key, 'active' AS status, 'sale' AS deal_type, 9D AS price, r AS source_status_raw, 0 AS price_drop_count,
+        timestamp'2024-01-01' AS first_seen_at, timestamp'2024-02-01' AS last_seen_at FROM VALUES ('a', '1', 'x', ''), ('b', '2', 'x', ''), ('a', '3', 'y', 'sold'), ('b', '4', 'z', ''), ('a', '5', NULL, '') AS t(s, e, p, r)""")
+    mart = mart_tables(spark, scratch(spark, "vanish"), parts=3)
+    premises = spark.sql("SELECT p AS fingerprint, true AS is_active FROM VALUES ('x'), ('y'), ('z') AS t(p)")
+    mart.commit(0, {"listings": (conform(rows, "listings"), range(3)), "properties": (conform(premises, "properties"), range(3))})
+    seen = rows.where("external_id IN ('2', '4')").select("source", "external_id")
+    loose = MarketConfig(min_seen_for_vanish=1, vanish_min_active_ratio=0.0)
+    two = seen.unionByName(spark.sql("SELECT 'a' AS source, 'new' AS external_id"))
+    for _ in range(2):
+        vanish_crawl(mart, 1, two, at, loose)
+        status = {r.external_id: r.status for r in mart.read("listings").collect()}
+        assert status == {"1": "vanished", "2": "active", "3": "sold_marked", "4": "active", "5": "vanished"}
+        assert {r.fingerprint: r.is_active for r in mart.read("properties").collect()} == {"x": True, "y": False, "z": True}
+        assert [(r.property_key, r.external_id) for r in mart.read("hypotheses").collect()] == [("y", "3")]
+        assert [(r.event_type, r.property_key) for r in mart.read("events").collect()] == [("vanished", "y")]
+    vanish_crawl(mart, 2, two, at, loose)
+    assert mart.read("events").count() == 1 and mart.read("hypotheses").count() == 1 and {r.external_id: r.status for r in mart.read("listings").collect()} == status
