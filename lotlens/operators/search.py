@@ -14,6 +14,7 @@ from lotlens.functions.text import classify_seller, phone_digits
 from lotlens.operators.changes import KEY
 from lotlens.operators.market import is_active, with_market_hint
 from lotlens.operators.relational import checked_broadcast, lookup_join, top_n_per_group
+from lotlens.session import stored
 
 
 def list_listings(
@@ -216,31 +217,73 @@ def annotate(
 # --- saved filters ------------------------------------------------------------------------------
 
 
+def _trigrams(text: Column) -> Column:
+    """All runs of three characters, in time linear in the text; null for shorter ones."""
+    chars = F.split(text, "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.length(text)), lambda a, b: F.concat(a, b))
+    runs = F.zip_with(pairs, F.slice(chars, F.lit(3), F.length(text)), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= 3, F.filter(runs, lambda r: r.isNotNull()))
+
+
+def _text_trigrams() -> Column:
+    """Distinct trigrams of the fields that ``has_text`` searches."""
+    fields = [F.coalesce(_trigrams(F.lower(c)), F.array().cast("array<string>")) for c in ("title", "address_raw", "district", "city")]
+    return F.array_distinct(F.concat(*fields))
+
+
+def text_anchors(needles: DataFrame, listings: DataFrame) -> DataFrame:
+    """(needle, anchor): of the trigrams of a searched text the one that fewest listings hold."""
+    asked = stored(needles.select("needle").distinct().select("needle", F.explode(F.array_distinct(_trigrams(F.col("needle")))).alias("gram")), "grams")
+    held = listings.select(F.explode(_text_trigrams()).alias("gram")).join(checked_broadcast(asked.select("gram").distinct()), "gram")
+    counted = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rated = asked.join(counted, "gram", "left")
+    return rated.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("anchor"))
+
+
 def match_watches(
-    watches: DataFrame, listings: DataFrame, as_of: Column, cfg: MarketConfig = DEFAULT
+    watches: DataFrame, listings: DataFrame, as_of: Column, cfg: MarketConfig = DEFAULT, index_from: int = 1_000,
 ) -> DataFrame:
     """(watch name, listing key) for every saved filter a catalog listing meets.
 
     Optional equality fields form a composite key with ``*`` for "any"; a listing looks up
     the few field combinations that filters really use, so this is an equi-join with the
-    ranges, period and text as residual conditions. ``listings`` carries ``below_market``.
+    ranges, period and text as residual conditions. From ``index_from`` searched texts on (of three characters
+    or more), the key of a filter with a text also holds the rarest trigram of it, and a listing looks up the
+    trigrams it has of these: a filter then meets the listings with that trigram, not all. ``listings``
+    carries ``below_market``.
     """
     fields = {"source": "source", "deal_type": "deal_type", "segment": "property_type", "district": "district"}
     blank = lambda c: F.when((c == "") | c.isNull(), F.lit("*")).otherwise(c)
     mask = F.concat(*[F.when((F.col(f) == "") | F.col(f).isNull(), F.lit("0")).otherwise(F.lit("1")) for f in fields])
+    needle = F.lower(F.trim("q"))
     keyed = watches.select(
         "name", F.concat_ws("|", *[blank(F.col(f)) for f in fields]).alias("_wkey"), mask.alias("_mask"),
-        "q", "period", "below_market", "price_min", "price_max",
+        "q", "period", "below_market", "price_min", "price_max", F.when(F.length(needle) >= 3, needle).alias("needle"),
     )
-    masks = [r[0] for r in keyed.select("_mask").distinct().collect()]  # at most 16 combinations
-    combos = F.array(*[
-        F.concat_ws("|", *[
-            F.coalesce(F.col(col), F.lit("~")) if bit == "1" else F.lit("*") for bit, col in zip(m, fields.values())
-        ]) for m in sorted(masks)
-    ]) if masks else F.array().cast("array<string>")
-    rows = with_usd(listings, "_usd", cfg).withColumn("_lkey", F.explode(combos))
+    needles = keyed.where(F.col("needle").isNotNull()).select("needle").distinct()
+    rows = with_usd(listings, "_usd", cfg)
+    if needles.limit(index_from).count() >= max(index_from, 1):
+        anchors = stored(text_anchors(needles, listings), "anchors")
+        keyed = stored(keyed.join(checked_broadcast(anchors), "needle", "left"), "watches")
+        used = checked_broadcast(anchors.select(F.col("anchor").alias("_gram")).distinct().unionByName(watches.sparkSession.sql("SELECT '' AS _gram")))
+        rows = rows.withColumn("_gram", F.explode(F.concat(F.array(F.lit("")), _text_trigrams()))).join(used, "_gram")
+    else:
+        keyed = keyed.withColumn("anchor", F.lit(None).cast("string"))
+        rows = rows.withColumn("_gram", F.lit(""))
+    keyed = keyed.withColumn("_wkey", F.concat_ws("|", "_wkey", F.coalesce("anchor", F.lit("")))).withColumn("_texted", F.col("anchor").isNotNull()).drop("needle", "anchor")
+    masks = [tuple(r) for r in keyed.select("_mask", "_texted").distinct().collect()]  # at most 32 combinations
+
+    def combos(texted: bool) -> Column:
+        found = [
+            F.concat_ws("|", *[
+                F.coalesce(F.col(col), F.lit("~")) if bit == "1" else F.lit("*") for bit, col in zip(m, fields.values())
+            ], "_gram") for m, t in sorted(masks) if t == texted
+        ]
+        return F.array(*found) if found else F.array().cast("array<string>")
+
+    rows = rows.withColumn("_lkey", F.explode(F.when(F.col("_gram") == "", combos(False)).otherwise(combos(True))))
     w = {c: F.col(f"_w_{c}") for c in ("q", "period", "below_market", "price_min", "price_max")}
-    side = checked_broadcast(keyed.drop("_mask").withColumnsRenamed({c: f"_w_{c}" for c in w}))
+    side = checked_broadcast(keyed.drop("_mask", "_texted").withColumnsRenamed({c: f"_w_{c}" for c in w}))
     hours = F.when(w["period"] == "24h", 24).when(w["period"] == "7d", 168)
     age = F.unix_timestamp(as_of) - F.unix_timestamp("first_seen_at")
     low, high = F.least(w["price_min"], w["price_max"]), F.greatest(w["price_min"], w["price_max"])

@@ -20,7 +20,7 @@ from lotlens.plans.deal_queries import LOG_HYPOTHESES
 from lotlens.plans.market_queries import HINT, HINT_COLUMNS, RATES, REF, _market
 from lotlens.plans.mart import log_mart
 from lotlens.plans.registry import big, query, stamp
-from lotlens.plans.views import LISTINGS_AS_OF, as_of, listing_view, market_view
+from lotlens.plans.views import LISTINGS_AS_OF, as_of, listing_view, market_view, table
 from lotlens.schemas import EXTRA
 
 KEY = C.KEY
@@ -195,7 +195,6 @@ def premises_with_vanished(spark, root):
 
 @query("premises_active_flag", with_(LV, body=f"SELECT CAST(c_custkey AS VARCHAR) AS fingerprint, coalesce(a.live, false) AS is_active FROM customer LEFT JOIN (SELECT property_key, bool_or({ACTIVE}) AS live FROM lv GROUP BY 1) a ON a.property_key = CAST(c_custkey AS VARCHAR)"))
 def active_flag(spark, root):
-    from lotlens.plans.views import table
 
     premises = table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("fingerprint"))
     return S.refresh_active(premises, listing_view(spark, root)).select("fingerprint", "is_active")
@@ -271,6 +270,19 @@ def saved_filters(spark, root):
     return X.match_watches(spark.createDataFrame(WATCHES, schema), rows, _now())
 
 
+# One filter per customer: even ones search the name alone, odd ones a street of sales up to a price.
+@query("saved_filters_by_text", with_(LV, body=f"""SELECT c_name AS name, source, external_id FROM (SELECT *, {usd('price', 'currency')} AS u FROM lv) l JOIN customer
+ON CASE WHEN c_custkey % 2 = 0 THEN contains(lower(title), lower(c_name))
+  ELSE deal_type = 'sale' AND u <= 500 + c_custkey AND contains(lower(address_raw), ' street ' || (c_custkey % 100)) END"""))
+def saved_filters_by_text(spark, root):
+    k, even = F.col("c_custkey"), F.col("c_custkey") % 2 == 0
+    watches = table(spark, root, "customer").select(
+        F.col("c_name").alias("name"), F.when(even, F.concat(F.lit(" "), F.upper("c_name"))).otherwise(F.concat(F.lit("street "), (k % 100).cast("string"))).alias("q"),
+        F.lit("").alias("source"), F.when(~even, "sale").alias("deal_type"), *[F.lit(None).cast("string").alias(c) for c in ("segment", "district", "period")],
+        F.lit(False).alias("below_market"), F.lit(None).cast("double").alias("price_min"), F.when(~even, 500.0 + k).alias("price_max"))
+    return X.match_watches(watches, listing_view(spark, root).withColumn("below_market", F.lit(False)), _now(), index_from=1)
+
+
 @query("premises_detail", with_(*LOG_HYPOTHESES, body="""SELECT property_key, 'listing' AS section, source, external_id, status AS label, strftime(last_seen_at, '%Y-%m-%d %H:%M:%S') AS at FROM ls
 UNION ALL SELECT property_key, 'event', source, external_id, event_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') FROM ev
 UNION ALL SELECT property_key, 'hypothesis', source, external_id, bucket, strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM hyp"""))
@@ -411,7 +423,6 @@ def irrelevant_pruned(spark, root):
 
 @query("orphan_premises", with_(LV, body="SELECT CAST(c_custkey AS VARCHAR) AS fingerprint FROM customer WHERE c_custkey NOT IN (SELECT property_id FROM lv WHERE status <> 'vanished')"))
 def orphan_premises(spark, root):
-    from lotlens.plans.views import table
 
     premises = table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("fingerprint"))
     return Q.orphans(premises, listing_view(spark, root).where(F.col("status") != "vanished"))

@@ -274,3 +274,28 @@ def test_change_events_of_statuses(spark):
     ).withColumns({c: F.lit(None).cast("string") for c in ("currency", "title", "description", "phone")}).withColumn("area_sqm", F.lit(None).cast("double"))
     got = [(r.event_type, r.occurred_at.day) for r in change_events(track_observations(obs)).orderBy("occurred_at").collect()]
     assert got == [("appeared", 1), ("price_changed", 2), ("status_changed", 3)]
+
+
+def test_saved_filters_with_and_without_the_text_index(spark):
+    """Texts of every length, in any field, with blanks and upper case, beside filters without one."""
+    from lotlens.operators.search import match_watches
+
+    rows = spark.sql("""SELECT 's' || id % 2 AS source, CAST(id AS STRING) AS external_id, 'sale' AS deal_type, 'office' AS property_type, IF(id % 5 = 0, NULL, 'D' || id % 3) AS district,
+        IF(id % 7 = 0, NULL, 'Lot Київ ' || id) AS title, 'street ' || id % 9 AS address_raw, IF(id % 2 = 0, 'Київ', '') AS city, CAST(id AS DOUBLE) AS price, 'USD' AS currency,
+        timestamp'2024-01-01' AS first_seen_at, id % 4 = 0 AS below_market FROM range(60)""")
+    filters = [("a", None, None, None), ("b", "", "s1", None), ("c", "  ", None, None), ("d", "t", None, None), ("e", "ЇВ", None, None), ("f", "КИЇВ", None, 9.0), ("g", "lot київ 1", "s1", None),
+               ("h", "d1", None, None), ("i", "nowhere", None, None), ("j", "aaa", "s0", None), ("k", " Street 3 ", None, None), ("k", "street 3", None, None)]
+    watches = spark.createDataFrame(filters, "name STRING, q STRING, source STRING, price_min DOUBLE").selectExpr(
+        "*", *[f"CAST(NULL AS STRING) AS {c}" for c in ("deal_type", "segment", "district", "period")], "false AS below_market", "CAST(NULL AS DOUBLE) AS price_max")
+    now = F.to_timestamp(F.lit("2024-02-01"))
+    plain, indexed = (sorted(map(tuple, match_watches(watches, rows, now, index_from=n).collect())) for n in (10**6, 1))
+    held = [r.asDict() for r in rows.collect()]
+    want = []
+    for name, q, source, low in filters:
+        text = None if q in (None, "") else q.strip(" ").lower()
+        for r in held:
+            hit = text is None or any(r[c] is not None and text in r[c].lower() for c in ("title", "address_raw", "district", "city"))
+            if hit and (not source or source == r["source"]) and (low is None or r["price"] >= low):
+                want.append((name, r["source"], r["external_id"]))
+    assert plain == sorted(want) and indexed == plain
+    assert match_watches(watches.limit(0), rows, now, index_from=1).count() == 0 and match_watches(watches, rows.limit(0), now, index_from=1).count() == 0
