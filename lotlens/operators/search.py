@@ -129,6 +129,36 @@ def sort_listings(df: DataFrame, mode: str, as_of: Column, cfg: MarketConfig = D
     return rows.orderBy(*order).drop("_sort")
 
 
+def first_pages(
+    df: DataFrame, modes: Sequence[str], as_of: Column, n: int = 50, cfg: MarketConfig = DEFAULT, accuracy: int = 10_000,
+) -> DataFrame:
+    """The first ``n`` listings of every sort mode, with ``mode`` and ``rank``; two scans for any number of modes.
+
+    The first scan sketches the sort keys of all modes; of each it takes the smallest quantile that surely holds ``n`` rows.
+    The second keeps rows up to that cut in some mode, so that the exact ranking (nulls last, ties by key) sees a sliver of the rows. The
+    sketches' quantiles, three numbers per mode, come to the driver. A mode with too few rows for a cut keeps all of them.
+    """
+    rows = df
+    for mode in modes:
+        keyed, _ = with_sort_key(rows, mode, as_of, cfg)
+        value = F.unix_micros("_sort") if mode in ("newest", "oldest") else F.col("_sort")
+        # every key ascends; microseconds of any date before the year 2255 are whole doubles
+        rows = keyed.withColumn(f"_by_{mode}", value.cast("double") * (1 if mode.endswith("asc") or mode == "oldest" else -1)).drop("_sort")
+    shares = [2 / accuracy, 0.01, 0.1]
+    told = rows.agg(*[x for m in modes for x in (
+        F.count(f"_by_{m}").alias(f"n_{m}"), F.percentile_approx(f"_by_{m}", F.array(*map(F.lit, shares)), accuracy).alias(f"at_{m}"))]).first()
+
+    def wanted(mode: str) -> Column:
+        for share, cut in zip(shares, told[f"at_{mode}"] or ()):
+            if told[f"n_{mode}"] * (share - 1 / accuracy) >= n:
+                return F.col(f"_by_{mode}") <= cut
+        return F.lit(True)
+
+    found = F.filter(F.array(*[F.when(wanted(m), F.struct(F.lit(m).alias("mode"), F.col(f"_by_{m}").alias("_key"))) for m in modes]), lambda x: x.isNotNull())
+    close = rows.withColumn("_at", F.explode(found)).select(*df.columns, "_at.mode", "_at._key")
+    return top_n_per_group(close, ["mode"], [F.col("_key").asc_nulls_last(), *[F.col(k) for k in KEY]], n, F.struct(*KEY)).drop("_key")
+
+
 def facets(df: DataFrame, deal_type: str) -> DataFrame:
     """Segments and sources of a deal type by falling count."""
     rows = df.where(F.col("deal_type") == deal_type)

@@ -104,12 +104,7 @@ SORT_SQL = {
     for mode, (key, way) in SORT_SQL.items())))
 def sorted_pages(spark, root):
     rows = listing_view(spark, root).where(F.col("deal_type") == "sale")
-    out = None
-    for mode in SORT_MODES:
-        keyed, order = X.with_sort_key(rows, mode, _now())
-        first = keyed.orderBy(*order).limit(50).select(F.lit(mode).alias("mode"), "listing_id")
-        out = first if out is None else out.unionByName(first)
-    return out
+    return X.first_pages(rows, SORT_MODES, _now(), 50).select("mode", "listing_id")
 
 
 @query("last_page_clamped", with_(LV, body="""SELECT listing_id FROM (SELECT listing_id, row_number() OVER (ORDER BY listing_id) AS rn, count(*) OVER () AS total FROM lv WHERE deal_type = 'rent')

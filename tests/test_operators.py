@@ -299,3 +299,21 @@ def test_saved_filters_with_and_without_the_text_index(spark):
                 want.append((name, r["source"], r["external_id"]))
     assert plain == sorted(want) and indexed == plain
     assert match_watches(watches.limit(0), rows, now, index_from=1).count() == 0 and match_watches(watches, rows.limit(0), now, index_from=1).count() == 0
+
+
+def test_first_pages_equal_whole_sorts(spark):
+    """With cuts and without them; ties beyond the page, nulls, fewer rows than a page."""
+    from lotlens.config import SORT_MODES
+    from lotlens.operators.search import first_pages, sort_listings
+
+    rows = spark.sql("""SELECT 's' AS source, CAST(id AS STRING) AS external_id, 'sale' AS deal_type, 'active' AS status, IF(id % 3 = 0, NULL, CAST(id * 7919 % 4000 AS DOUBLE)) AS price, 'USD' AS currency,
+        CAST(NULL AS DOUBLE) AS price_per_sqm, IF(id < 3990, NULL, 50D) AS area_sqm, timestamp_seconds(1700000000 + id % 5 * 86400) AS first_seen_at FROM range(4000)""")
+    now = F.to_timestamp(F.lit("2024-02-01"))
+    for part, n in ((rows, 20), (rows.limit(7), 20), (rows.limit(0), 20), (rows, 1)):
+        part = part.cache()
+        got = {}
+        for r in first_pages(part, SORT_MODES, now, n).collect():
+            got.setdefault(r.mode, {})[r["rank"]] = r.external_id
+        for mode in SORT_MODES:
+            want = [r.external_id for r in sort_listings(part, mode, now).limit(n).collect()]
+            assert [got.get(mode, {})[i + 1] for i in range(len(got.get(mode, {})))] == want, mode
