@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlens.config import DEFAULT, SORT_MODES, MarketConfig
@@ -136,27 +136,34 @@ def first_pages(
 
     The first scan sketches the sort keys of all modes; of each it takes the smallest quantile that surely holds ``n`` rows.
     The second keeps rows up to that cut in some mode, so that the exact ranking (nulls last, ties by key) sees a sliver of the rows. The
-    sketches' quantiles, three numbers per mode, come to the driver. A mode with too few rows for a cut keeps all of them.
+    sketches' quantiles, six numbers per sort value, come to the driver. A mode with too few rows for a cut keeps all of them.
     """
+    ways = {m: ("seen", m == "oldest") if m in ("newest", "oldest") else (m.rsplit("_", 1)[0], m.endswith("asc")) for m in modes}
+    values = {what: m for m, (what, _) in ways.items()}
     rows = df
-    for mode in modes:
+    for what, mode in values.items():
         keyed, _ = with_sort_key(rows, mode, as_of, cfg)
-        value = F.unix_micros("_sort") if mode in ("newest", "oldest") else F.col("_sort")
-        # every key ascends; microseconds of any date before the year 2255 are whole doubles
-        rows = keyed.withColumn(f"_by_{mode}", value.cast("double") * (1 if mode.endswith("asc") or mode == "oldest" else -1)).drop("_sort")
+        # microseconds of any date before the year 2255 are whole doubles
+        value = F.unix_micros("_sort") if what == "seen" else F.col("_sort")
+        rows = keyed.withColumn(f"_by_{what}", value.cast("double")).drop("_sort")
     shares = [2 / accuracy, 0.01, 0.1]
-    told = rows.agg(*[x for m in modes for x in (
-        F.count(f"_by_{m}").alias(f"n_{m}"), F.percentile_approx(f"_by_{m}", F.array(*map(F.lit, shares)), accuracy).alias(f"at_{m}"))]).first()
-
-    def wanted(mode: str) -> Column:
-        for share, cut in zip(shares, told[f"at_{mode}"] or ()):
-            if told[f"n_{mode}"] * (share - 1 / accuracy) >= n:
-                return F.col(f"_by_{mode}") <= cut
+    asked = F.array(*map(F.lit, [*shares, *[1 - x for x in shares]]))
+    told = rows.agg(*[x for v in values for x in (F.count(f"_by_{v}").alias(f"n_{v}"), F.percentile_approx(f"_by_{v}", asked, accuracy).alias(f"at_{v}"))]).first()
+
+    def wanted(what: str, up: bool) -> Column:
+        cuts = told[f"at_{what}"] or [0.0] * 6
+        for share, low, high in zip(shares, cuts[:3], cuts[3:]):
+            if told[f"n_{what}"] * (share - 1 / accuracy) >= n:
+                return F.col(f"_by_{what}") <= low if up else F.col(f"_by_{what}") >= high
         return F.lit(True)
 
-    found = F.filter(F.array(*[F.when(wanted(m), F.struct(F.lit(m).alias("mode"), F.col(f"_by_{m}").alias("_key"))) for m in modes]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[
+        F.when(wanted(what, up), F.struct(F.lit(m).alias("mode"), (F.col(f"_by_{what}") * (1 if up else -1)).alias("_key"))) for m, (what, up) in ways.items()
+    ]), lambda x: x.isNotNull())
     close = rows.withColumn("_at", F.explode(found)).select(*df.columns, "_at.mode", "_at._key")
-    return top_n_per_group(close, ["mode"], [F.col("_key").asc_nulls_last(), *[F.col(k) for k in KEY]], n, F.struct(*KEY)).drop("_key")
+    # a window that keeps few rows is limited in every task before the shuffle
+    first = Window.partitionBy("mode").orderBy(F.col("_key").asc_nulls_last(), *[F.col(k) for k in KEY])
+    return close.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).drop("_key")
 
 
 def facets(df: DataFrame, deal_type: str) -> DataFrame:
