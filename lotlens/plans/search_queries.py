@@ -190,7 +190,6 @@ def premises_with_vanished(spark, root):
 
 @query("premises_active_flag", with_(LV, body=f"SELECT CAST(c_custkey AS VARCHAR) AS fingerprint, coalesce(a.live, false) AS is_active FROM customer LEFT JOIN (SELECT property_key, bool_or({ACTIVE}) AS live FROM lv GROUP BY 1) a ON a.property_key = CAST(c_custkey AS VARCHAR)"))
 def active_flag(spark, root):
-
     premises = table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("fingerprint"))
     return S.refresh_active(premises, listing_view(spark, root)).select("fingerprint", "is_active")
 
@@ -418,7 +417,6 @@ def irrelevant_pruned(spark, root):
 
 @query("orphan_premises", with_(LV, body="SELECT CAST(c_custkey AS VARCHAR) AS fingerprint FROM customer WHERE c_custkey NOT IN (SELECT property_id FROM lv WHERE status <> 'vanished')"))
 def orphan_premises(spark, root):
-
     premises = table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("fingerprint"))
     return Q.orphans(premises, listing_view(spark, root).where(F.col("status") != "vanished"))
 
