@@ -17,6 +17,7 @@ from lotlens.operators.market import is_active
 from lotlens.operators.relational import top_n_per_group
 from lotlens.session import stored
 from lotlens.operators.state import JUNK_TITLE_SOURCE, _extra_with, apply_exclusion
+from lotlens.sources.versions import VersionedTables
 
 REGION_SOURCE = "domria"
 
@@ -191,39 +192,40 @@ def orphans(properties: DataFrame, listings: DataFrame, key: str = "fingerprint"
     return properties.join(owners, key, "left_anti")
 
 
-def cascade_delete(tables: dict[str, DataFrame], removed: DataFrame, lost: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Child tables without rows of removed listings (KEY) and of lost premises (property_key)."""
-    out = {}
-    for name, df in tables.items():
-        kept = df.join(removed.select(*KEY).distinct(), KEY, "left_anti")
-        if lost is not None and "property_key" in df.columns:
-            kept = kept.join(lost.select("property_key").distinct(), "property_key", "left_anti")
-        out[name] = kept.select(*df.columns)
-    return out
-
-
-def _removal(tables: dict[str, DataFrame], kept: DataFrame, removed: DataFrame) -> dict[str, DataFrame]:
-    """All tables after listings are removed: children cascade, premises left alone go too."""
-    lost = orphans(tables["properties"], kept)
-    children = {n: tables[n] for n in ("snapshots", "events", "hypotheses") if n in tables}
-    out = cascade_delete(children, removed, lost.select(F.col("fingerprint").alias("property_key")))
-    out["listings"] = kept
-    out["properties"] = tables["properties"].join(lost.select("fingerprint"), "fingerprint", "left_anti")
-    out["removed"] = removed
-    out["orphans"] = lost
-    return out
+CHILDREN = ("snapshots", "events", "hypotheses")
 
 
-def clean_junk(tables: dict[str, DataFrame], cfg: MarketConfig = DEFAULT) -> dict[str, DataFrame]:
-    """Removes out-of-region listings with their children, nulls bad prices, drops orphans.
+def bury_listings(mart: VersionedTables, batch: int, decided: DataFrame, changed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cascading delete as batch ``batch``: listings, their children, and premises left without a listing.
 
-    The keys to remove are decided once and stored, as five tables read them.
+    ``decided`` holds every listing's KEY, ``property_key`` and ``_gone``. Only keys are written; children are not read.
+    ``changed`` holds rows of remaining listings with new values, put in place by the same commit.
+    Returns the removed listings' keys and the fingerprints of the premises that went.
     """
-    rows = tables["listings"]
-    outside = (F.col("source") == REGION_SOURCE) & (blank_safe(F.col("url")) != "") & ~in_region(F.col("url"))
-    removed = stored(rows.where(outside).select(*KEY), "removed")
-    kept = rows.join(removed, KEY, "left_anti").withColumn("price", null_bad_price(F.col("price"), cfg))
-    return _removal(tables, kept, removed)
+    removed = stored(decided.where("_gone").select(*KEY).distinct(), "removed")
+    owners = decided.where(~F.col("_gone")).select("property_key")
+    lost = stored(orphans(mart.read("properties", before=batch).select("fingerprint"), owners), "lost")
+    by_premises = lost.select(F.col("fingerprint").alias("property_key"))
+    buried = {"listings": [removed], "properties": [lost]}
+    for name in CHILDREN:
+        buried[name] = [removed] if "property_key" not in mart.columns(name) else [removed, by_premises]
+    parts = {}
+    if changed is not None:
+        new = stored(changed, "changed")
+        touched = mart.touched("listings", new)
+        old = mart.read("listings", touched, before=batch).join(new.select(*KEY).unionByName(removed), KEY, "left_anti")
+        parts["listings"] = (old.unionByName(new), touched)
+    mart.commit(batch, parts, buried=buried)
+    return removed, lost
+
+
+def clean_junk(mart: VersionedTables, batch: int, cfg: MarketConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Removes out-of-region listings with their children and premises left alone, nulls bad prices; one commit."""
+    rows = mart.read("listings", before=batch)
+    gone = F.coalesce((F.col("source") == REGION_SOURCE) & (blank_safe(F.col("url")) != "") & ~in_region(F.col("url")), F.lit(False))
+    decided = stored(rows.select(*KEY, "property_key", gone.alias("_gone")), "junk")
+    price = null_bad_price(F.col("price"), cfg)
+    return bury_listings(mart, batch, decided, rows.where(~gone & ~price.eqNullSafe(F.col("price"))).withColumn("price", price))
 
 
 def reclassify(listings: DataFrame) -> DataFrame:
@@ -234,20 +236,20 @@ def reclassify(listings: DataFrame) -> DataFrame:
         "property_type", segment).drop("segment_decision")
 
 
-def prune_irrelevant(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Removes irrelevant listings with children and orphans; target segments re-tag the rest.
+def prune_irrelevant(mart: VersionedTables, batch: int) -> tuple[DataFrame, DataFrame]:
+    """Removes irrelevant listings with children and premises left alone; target segments re-tag the rest; one commit.
 
-    The texts are classified once; the decisions are stored, as five tables read them.
+    The texts are classified once and the decisions stored.
     """
-    rows = tables["listings"]
+    rows = mart.read("listings", before=batch)
     segment = F.col("segment_decision.segment")
     decided = stored(classify_segment(rows).select(
-        *KEY, F.col("segment_decision.relevant").alias("_good"),
-        F.when(segment.isin(*TARGET_SEGMENTS), segment).alias("_tag"),
+        *KEY, "property_key", (~F.coalesce(F.col("segment_decision.relevant"), F.lit(False))).alias("_gone"),
+        F.when(segment.isin(*TARGET_SEGMENTS), segment).alias("_tag"), F.col("property_type").alias("_was"),
     ), "segments")
-    kept = rows.join(decided.where("_good"), KEY).withColumn(
-        "property_type", F.coalesce("_tag", "property_type")).select(*rows.columns)
-    return _removal(tables, kept, decided.where(~F.col("_good")).select(*KEY))
+    retagged = decided.where(~F.col("_gone") & F.col("_tag").isNotNull() & ~F.col("_tag").eqNullSafe(F.col("_was"))).select(*KEY, "_tag")
+    changed = rows.join(retagged, KEY).withColumn("property_type", F.col("_tag")).select(*rows.columns)
+    return bury_listings(mart, batch, decided, changed)
 
 
 def backfill_opex(listings: DataFrame) -> DataFrame:

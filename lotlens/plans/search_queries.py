@@ -12,6 +12,7 @@ from lotlens.operators import market as M
 from lotlens.operators import quality as Q
 from lotlens.operators import search as X
 from lotlens.operators import state as S
+from lotlens.operators.ingest import mart_tables
 from lotlens.operators.relational import page
 from lotlens.plans.check_sql import (
     ACTIVE, COHORTS, LISTINGS_AS_OF as SQL_AS_OF, LOG_AS_OF as SQL_LOG_AS_OF, LV, MARKET, MART, MK, rnd, usd, with_,
@@ -22,6 +23,8 @@ from lotlens.plans.mart import log_mart
 from lotlens.plans.registry import big, query, stamp
 from lotlens.plans.views import LISTINGS_AS_OF, as_of, listing_view, market_view, table
 from lotlens.schemas import EXTRA
+from lotlens.session import scratch, stored
+from lotlens.sources.tables import conform
 
 KEY = C.KEY
 
@@ -382,18 +385,25 @@ def batch_summary(spark, root):
 JUNK = """jk AS (SELECT *, listing_id % 3 = 0 AND listing_id % 4 = 0 AS outside FROM lv)"""
 
 
-def _mart_tables(rows):
-    events = rows.select(*KEY, "property_key", F.lit("appeared").alias("event_type"))
-    return {
+def _mart(spark, rows):
+    """The listings as a mart of one batch."""
+    mart = mart_tables(spark, scratch(spark, "junk-mart"), parts=8)
+    rows = stored(rows, "junk-rows")
+    keyed = {
         "listings": rows, "properties": rows.select(F.col("property_key").alias("fingerprint")).distinct(),
-        "events": events, "snapshots": rows.select(*KEY, "price"), "hypotheses": rows.where(F.col("status") == "vanished").select(*KEY, "property_key"),
+        "hypotheses": rows.where(F.col("status") == "vanished").dropDuplicates(["property_key", *KEY]).select(*KEY, "property_key"),
     }
+    events = rows.select(*KEY, "property_key", F.lit("appeared").alias("event_type"))
+    appended = {"events": conform(events, "events"), "snapshots": conform(rows.select(*KEY, "price"), "snapshots")}
+    mart.commit(0, {n: (conform(df, n), range(mart.parts)) for n, df in keyed.items()}, appended)
+    return mart
 
 
-def _counts(tables):
+def _counts(mart, removed, lost):
     out = None
-    for name in ("listings", "properties", "events", "snapshots", "hypotheses", "removed", "orphans"):
-        one = tables[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
+    tables = {n: mart.read(n) for n in ("listings", "properties", "events", "snapshots", "hypotheses")}
+    for name, df in {**tables, "removed": removed, "orphans": lost}.items():
+        one = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -407,12 +417,14 @@ UNION ALL SELECT 'removed', count(*) FROM jk WHERE {gone} UNION ALL SELECT 'orph
 
 @query("junk_cleaned", f"WITH {LV},\n{JUNK},\n" + counts_sql("outside"))
 def junk_cleaned(spark, root):
-    return _counts(Q.clean_junk(_mart_tables(_audit_rows(spark, root))))
+    mart = _mart(spark, _audit_rows(spark, root))
+    return _counts(mart, *Q.clean_junk(mart, 1))
 
 
 @query("irrelevant_pruned", f"WITH {LV},\n{JUNK},\n" + counts_sql("(property_type = 'warehouse')"))
 def irrelevant_pruned(spark, root):
-    return _counts(Q.prune_irrelevant(_mart_tables(listing_view(spark, root))))
+    mart = _mart(spark, listing_view(spark, root))
+    return _counts(mart, *Q.prune_irrelevant(mart, 1))
 
 
 @query("orphan_premises", with_(LV, body="SELECT CAST(c_custkey AS VARCHAR) AS fingerprint FROM customer WHERE c_custkey NOT IN (SELECT property_id FROM lv WHERE status <> 'vanished')"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotlens.config import MarketConfig
 from lotlens.operators.ingest import mart_tables, vanish_crawl
+from lotlens.operators.quality import clean_junk
 from lotlens.schemas import TABLES
 from lotlens.session import scratch
 from lotlens.sources.tables import conform
@@ -101,3 +102,56 @@ def test_vanish_pass_again_and_nothing_to_do(spark):
         assert [(r.event_type, r.property_key) for r in mart.read("events").collect()] == [("vanished", "y")]
     vanish_crawl(mart, 2, two, at, loose)
     assert mart.read("events").count() == 1 and mart.read("hypotheses").count() == 1 and {r.external_id: r.status for r in mart.read("listings").collect()} == status
+
+
+def test_tombstones(spark):
+    tables = VersionedTables(spark, scratch(spark, "graves"), KEYS, parts=4)
+    rows = listings(spark, range(40), 1.0).withColumn("property_key", F.lit("p"))
+    events = conform(rows.select("source", "external_id", F.when(F.col("external_id").cast("int") < 20, "old").otherwise("p").alias("property_key")), "events")
+    tables.commit(0, {"listings": (rows, range(4))}, {"events": events})
+    dead = rows.where("external_id in ('3', '4', '25')").select(*KEYS["listings"])
+    home = spark.createDataFrame([("old",)], "property_key STRING")
+    for _ in range(2):  # a repeated batch changes nothing
+        tables.commit(1, {}, buried={"listings": [dead.unionByName(dead)], "events": [dead, home]})
+        assert set(prices(tables)) == {str(i) for i in range(40)} - {"3", "4", "25"}
+        assert {int(r.external_id) for r in tables.read("events").collect()} == set(range(20, 40)) - {25}
+    assert size(tables.root, 1) == 0 and tables.read("listings", before=1).count() == 40  # no table is rewritten
+
+    back = listings(spark, [4], 2.0)  # a listing that comes back lives, its part loses the dead rows
+    frame, parts = merged(tables, 2, back)
+    tables.commit(2, {"listings": (frame, parts)}, {"events": conform(back, "events")})
+    assert prices(tables)["4"] == 2.0 and "3" not in prices(tables) and len(prices(tables)) == 38
+    assert "4" in {r.external_id for r in tables.read("events").collect()}
+
+    before = prices(tables)
+    left = tables.compact(3, "listings")
+    assert set(left) == set(tables.touched("listings", dead)) - set(parts) and prices(tables) == before
+    assert tables.compact(4, "listings") == []
+    held = [f"{tables.root}/listings/version={v}/part={p}" for (t, p), v in tables.manifest().items() if t == "listings"]
+    assert spark.read.schema(TABLES["listings"]).parquet(*held).count() == len(before)  # no dead row is left in a file
+
+
+def test_unfinished_burial_is_not_seen(spark):
+    tables = VersionedTables(spark, scratch(spark, "graves"), KEYS, parts=2)
+    rows = listings(spark, range(6), 1.0)
+    tables.commit(0, {"listings": (rows, range(2))})
+    rows.select(*KEYS["listings"]).write.parquet(f"{tables.root}/tombstones/listings/by=source+external_id/version=1")
+    assert len(prices(tables)) == 6
+
+
+def test_cascade_by_keys(spark):
+    mart = mart_tables(spark, scratch(spark, "cascade"), parts=2)
+    rows = spark.createDataFrame(
+        [("domria", str(i), f"p{i % 4}", f"https://x/realty-{'lviv' if i % 4 == 1 or i == 2 else 'kiev'}-{i}", -5.0 if i == 3 else 900.0) for i in range(8)]
+        + [("domria", "none", None, None, None)], "source STRING, external_id STRING, property_key STRING, url STRING, price DOUBLE")
+    homes = rows.where("property_key is not null").selectExpr("property_key AS fingerprint").distinct()
+    mart.commit(0, {"listings": (conform(rows, "listings"), range(2)), "properties": (conform(homes, "properties"), range(2)),
+                    "hypotheses": (conform(rows, "hypotheses"), range(2))},
+                {"events": conform(rows, "events"), "snapshots": conform(rows, "snapshots")})
+    removed, lost = clean_junk(mart, 1)
+    assert {r.external_id for r in removed.collect()} == {"1", "2", "5"} and {r.fingerprint for r in lost.collect()} == {"p1"}
+    for name in ("listings", "events", "snapshots", "hypotheses"):
+        assert {r.external_id for r in mart.read(name).collect()} == {"0", "3", "4", "6", "7", "none"}, name
+    assert {r.fingerprint for r in mart.read("properties").collect()} == {"p0", "p2", "p3"}
+    kept = prices(mart)
+    assert kept["3"] is None and kept["0"] == 900.0 and len(kept) == 6
