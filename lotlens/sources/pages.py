@@ -28,11 +28,6 @@ STATE = r'window\.__PRERENDERED_STATE__=\s*"(\{.*\})"\s*;'
 CARD_START = r"(?is)(?=<div\b(?=[^>]*\bclass\s*=\s*[\"'][^\"']*\bcatalog-card(?![\w-]))(?=[^>]*\bdata-catalog-item-id\s*=))"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages stored as parquet with the fixed page schema."""
-    return spark.read.schema(TABLES["pages"]).parquet(path)
-
-
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """Fetched pages stored as one html file each."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))

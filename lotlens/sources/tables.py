@@ -12,13 +12,13 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Columns and types of a mart table; missing columns become null."""
+def conform(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """Columns and types of a mart table; missing columns become null. ``more`` columns stay as they are."""
     target = df.sparkSession.createDataFrame([], TABLES[name]).schema
     have = set(df.columns)
     return df.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in target
-    ])
+    ], *more)
 
 
 def append(df: DataFrame, root: str, name: str, time: str) -> None:
