@@ -11,7 +11,7 @@ from lotlens.config import ACTIVE_STATUSES, DEFAULT, MarketConfig
 from lotlens.functions import rules
 from lotlens.functions.money import in_band, to_usd, with_effective_rate
 from lotlens.functions.text import any_contains, blank_safe, listing_district, resolve_opex
-from lotlens.operators.relational import exact_median
+from lotlens.operators.relational import checked_broadcast, exact_median
 from lotlens.session import stored
 
 CITY = "*"
@@ -233,8 +233,9 @@ def with_market_reference(listings: DataFrame, market: DataFrame) -> DataFrame:
     """Reference median of a listing: its cohort's district, else the cohort's city.
 
     The cohort follows the deal type and, for rent, the OPEX class when that class has any
-    sample. ``market`` is a stored table with one row per cohort and district.
+    sample. ``market`` is a stored table with one row per cohort and district; it is broadcast while it is counted to be small.
     """
+    market = checked_broadcast(market)
     city = market.where(F.col("district").isNull()).select(
         F.col("cohort").alias("_c"), F.col("median_psm").alias("_city"), F.col("n").alias("_city_n"))
     places = market.where(F.col("district").isNotNull()).select(

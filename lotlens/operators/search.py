@@ -239,7 +239,7 @@ def with_seller(listings: DataFrame, everyone: DataFrame | None = None, cfg: Mar
 def annotate(
     listings: DataFrame, market: DataFrame, as_of: Column, everyone: DataFrame | None = None, cfg: MarketConfig = DEFAULT
 ) -> DataFrame:
-    """Everything the catalog shows beside a listing.
+    """Everything the catalog shows beside a listing: market hint, seller, portals, cap rate, NOI, flags, days on market.
 
     ``listings`` comes from `prepare_market`; ``everyone`` is the whole listing table when
     ``listings`` is only a part of it.
@@ -248,7 +248,13 @@ def annotate(
     rows = with_market_hint(listings, market, cfg)
     rows = with_seller(rows, base, cfg)
     rows = with_portals(rows, base, cfg)
-    return rows.withColumn("dom_days", days_on_market(F.col("first_seen_at"), as_of))
+    extra = (lambda c: F.col(f"raw_extra.{c}")) if "raw_extra" in rows.columns else (lambda c: F.lit(None))
+    return rows.withColumns({
+        "cap_rate_pct": extra("cap_rate_pct").cast("double"), "noi": extra("noi").cast("double"),
+        "price_suspicious": F.coalesce(extra("price_suspicious").cast("boolean"), F.lit(False)),
+        "excluded_from_stats": F.coalesce("exclude_from_stats", F.lit(False)),
+        "dom_days": days_on_market(F.col("first_seen_at"), as_of),
+    })
 
 
 # --- saved filters ------------------------------------------------------------------------------

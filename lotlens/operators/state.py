@@ -19,7 +19,7 @@ from lotlens.functions.text import (
 from lotlens.operators.activity import last_reactivation, representative
 from lotlens.operators.changes import KEY, STICKY, card_changed, dedupe_batch, track_observations
 from lotlens.operators.market import is_active
-from lotlens.operators.relational import HOT_ROWS, append_key
+from lotlens.operators.relational import HOT_ROWS, append_key, checked_broadcast
 from lotlens.schemas import CARD_COLUMNS, EXTRA, PAYLOAD
 from lotlens.session import stored
 
@@ -330,7 +330,8 @@ def missing_listings(
     """Active listings past their grace time that the crawl did not see."""
     late = listings.where(is_active() & (F.col("last_seen_at") < as_of - F.expr(f"INTERVAL {grace_hours} HOURS")))
     if guard is not None:
-        late = late.join(guard.where("allowed").select("source"), "source", "left_semi")
+        allowed = checked_broadcast(stored(guard.where("allowed").select("source"), "allowed"))  # one row per source
+        late = late.join(allowed, "source", "left_semi")
     return late.join(seen.select(*KEY).distinct(), KEY, "left_anti")
 
 

@@ -316,11 +316,18 @@ def _audit_rows(spark, root):
     return _with_extra(rows, price_suspicious=F.when((F.col("deal_type") == "rent") & (k % 7 == 0), True), opex=F.col("opex"))
 
 
-@query("price_audit", with_(LV, RATES, AUDIT_ROWS, body=f"""SELECT unnest(['active_listings', 'sale_psm_out_of_band', 'rent_psm_over_ceiling', 'junk_titles', 'rate_equals_total', 'price_without_area', 'out_of_region', 'flagged_suspicious']) AS metric,
+METRICS = ("active_listings", "sale_psm_out_of_band", "rent_psm_over_ceiling", "junk_titles", "rate_equals_total", "price_without_area", "out_of_region", "flagged_suspicious")
+
+
+def audit_sql(rows: str) -> str:
+    return f"""SELECT unnest([{', '.join(f"'{m}'" for m in METRICS)}]) AS metric,
 unnest([count(*) FILTER ({ACTIVE}), count(*) FILTER ({ACTIVE} AND price IS NOT NULL AND area_sqm IS NOT NULL AND deal_type = 'sale' AND (rate_usd < 450 OR rate_usd > 10000)),
   count(*) FILTER ({ACTIVE} AND price IS NOT NULL AND area_sqm IS NOT NULL AND deal_type = 'rent' AND rate_usd > 70), count(*) FILTER ({ACTIVE} AND src = 'rieltor' AND ttl LIKE '17 17 %'),
   count(*) FILTER (area_sqm > 0 AND abs(price_per_sqm - price) / greatest(price, 1.0) < 0.02), count(*) FILTER ({ACTIVE} AND price IS NOT NULL AND area_sqm IS NULL),
-  count(*) FILTER ({ACTIVE} AND src = 'domria' AND lnk LIKE '%lviv%'), count(*) FILTER (flagged)]) AS n FROM au"""))
+  count(*) FILTER ({ACTIVE} AND src = 'domria' AND lnk LIKE '%lviv%'), count(*) FILTER (flagged)]) AS n FROM {rows}"""
+
+
+@query("price_audit", with_(LV, RATES, AUDIT_ROWS, body=audit_sql("au")))
 def price_audit(spark, root):
     return Q.price_audit(_audit_rows(spark, root))
 

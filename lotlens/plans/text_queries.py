@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lotlens.functions import identity as I
@@ -11,10 +13,10 @@ from lotlens.functions import text as T
 from lotlens.functions.segments import classify_segment, keep_relevant
 from lotlens.operators import quality as Q
 from lotlens.operators.state import new_fingerprints
-from lotlens.plans.check_sql import LV, rnd, usd, with_
+from lotlens.plans.check_sql import ACTIVE, LV, rnd, usd, with_
 from lotlens.plans.market_queries import RATES
 from lotlens.plans.registry import query
-from lotlens.plans.search_queries import _audit_rows, _with_extra
+from lotlens.plans.search_queries import AUDIT_ROWS, _audit_rows, _with_extra, audit_sql
 from lotlens.plans.views import listing_view, table
 from lotlens.session import spread
 from lotlens.sources import pages as P
@@ -193,7 +195,35 @@ def price_fix_outcomes(spark, root):
     return fixed.groupBy(F.when(detail.startswith("implied_psm_usd="), "expanded").otherwise(detail).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("price_review")
+def _rates_of(rows: str, mark: str) -> str:
+    """The rate rules of `RATES` over another table of listings."""
+    out = RATES.replace("FROM lv", f"FROM {rows}")
+    for name in ("rt0", "rt1", "rt2", "rates"):
+        out = re.sub(rf"\b{name}\b", mark + name, out)
+    return out
+
+
+RATE_COLUMNS = "implied, implied_usd, cur2, iu, su, su0, sane_rate, rate_usd"
+# Rows before the fix, what the rules say of the active ones, their rates under the new price, and their rates once more under the new rate.
+REVIEW_SQL = f"""nn AS (SELECT listing_id, outcome, CASE outcome WHEN 'expanded' THEN {rnd('price * area_sqm', 2)} ELSE price END AS np, cur2 AS nc,
+    CASE outcome WHEN 'clean' THEN cr WHEN 'expanded' THEN coalesce(price_per_sqm, price) ELSE price_per_sqm END AS nr,
+    CASE outcome WHEN 'clean' THEN coalesce((deal_type = 'rent' AND imp > 70) OR (deal_type = 'sale' AND (imp < 450 OR imp > 10000)), false) ELSE outcome = 'skip_expand_implausible_rate' END AS susp FROM norm),
+fx0 AS (SELECT au.* EXCLUDE ({RATE_COLUMNS}) REPLACE (np AS price, nc AS currency, nr AS price_per_sqm), au.price AS old_price, au.currency AS old_currency, au.price_per_sqm AS old_rate, outcome, susp
+  FROM au JOIN nn USING (listing_id) WHERE {ACTIVE}),
+{_rates_of('fx0', 'a_')},
+fx1 AS (SELECT * EXCLUDE ({RATE_COLUMNS}) REPLACE (coalesce(sane_rate, price_per_sqm, old_rate) AS price_per_sqm) FROM a_rates),
+{_rates_of('fx1', 'b_')},
+fx AS (SELECT * REPLACE (CASE WHEN src = 'rieltor' THEN title ELSE ttl END AS ttl, deal_type = 'rent' AND odd AS flagged), flagged AS was_flagged, src = 'rieltor' AND ttl <> title AS retitled,
+    old_price IS DISTINCT FROM price OR old_currency IS DISTINCT FROM currency OR old_rate IS DISTINCT FROM price_per_sqm AS moved
+  FROM (SELECT *, susp OR coalesce((deal_type = 'rent' AND rate_usd > 70) OR (deal_type = 'sale' AND (rate_usd < 450 OR rate_usd > 10000)), false) AS odd FROM b_rates)),
+done AS (SELECT status, deal_type, price, area_sqm, price_per_sqm, rate_usd, src, ttl, lnk, flagged FROM fx
+  UNION ALL SELECT status, deal_type, price, area_sqm, price_per_sqm, rate_usd, src, ttl, lnk, flagged FROM au WHERE NOT ({ACTIVE}))"""
+
+
+@query("price_review", with_(LV, RATES, AUDIT_ROWS, NORM, REVIEW_SQL, body=f"""SELECT 'before' AS step, metric, n FROM ({audit_sql('au')})
+UNION ALL SELECT 'after', metric, n FROM ({audit_sql('done')})
+UNION ALL SELECT 'fix', unnest(['touched', 'repaired_from_text', 'repaired_from_text_psm', 'title_cleaned']),
+  unnest([count(*) FILTER (moved OR retitled OR outcome = 'expanded' OR odd OR was_flagged), 0, 0, count(*) FILTER (retitled)]) FROM fx"""))
 def price_review(spark, root):
     return Q.review_prices(_audit_rows(spark, root), ["active", "relisted"])
 
