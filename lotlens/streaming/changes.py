@@ -28,6 +28,9 @@ CARD_STATE = "price DOUBLE, raw_status STRING, last_seen TIMESTAMP, gone_at TIME
 CARD_FIELDS = ["seen_at", "seq", "price", "source_status_raw"]
 HELD_CARDS = "cards ARRAY<STRUCT<seen: BIGINT, seq: BIGINT, price: DOUBLE, raw: STRING>>"
 EPOCH = datetime(1970, 1, 1)
+#: Spans of an entry of waiting cards, and the cards from which it is cut into entries of the next width.
+WIDTHS = (16_384, 128, 1)
+HELD_ROWS = 1_000
 
 
 def dedupe_stream(obs: DataFrame, keys: list[str], delay: str = "2 days", time: str = "seen_at") -> DataFrame:
@@ -113,9 +116,11 @@ class _ChangeDetector(StatefulProcessor):
 class _OrderedDetector(_ChangeDetector):
     """`_ChangeDetector` for cards that arrive out of order, up to the watermark's delay.
 
-    Cards wait in a map by time span until the watermark passes the end of their span; its timer then releases them in
-    time order. Memory holds one Arrow batch, or the cards of one listing and span. An idle listing is told at the end of the span its
-    idle time ends in, after the cards of that span.
+    Cards wait in a map until the watermark passes the end of their time span, and are then released in time order. An entry of the map holds
+    the cards of ``WIDTHS[0]`` spans; one that outgrows ``HELD_ROWS`` cards is cut into entries of fewer spans, down to one, and an empty
+    entry marks the cut. So a listing of few cards costs few calls to its state, and memory holds one Arrow batch, ``HELD_ROWS`` cards, or the
+    cards of one listing and span. A listing has one timer: the end of the first span that waits, or of the span its idle time ends in; an idle listing is
+    told after the cards of that span.
     """
 
     def __init__(self, idle_hours: int, span_seconds: int):
@@ -124,52 +129,91 @@ class _OrderedDetector(_ChangeDetector):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.held = handle.getMapState("held", "ends BIGINT", HELD_CARDS)
+        self.held = handle.getMapState("held", "width INT, start BIGINT", HELD_CARDS)
+        self.alarm = handle.getValueState("alarm", "at BIGINT")
 
     def _ends(self, at: int) -> int:
         """End of the span of a time, in microseconds."""
         return at - at % self.span + self.span
 
     def _wake(self, ends: int) -> None:
+        """Sets the listing's one timer to the end of a span, unless it rings before that."""
+        alarm = self.alarm.get()
+        if alarm is not None:
+            if alarm[0] <= ends:
+                return
+            self.handle.deleteTimer(alarm[0] // 1000)
+        self.alarm.update((ends,))
         self.handle.registerTimer(ends // 1000)
 
+    def _hold(self, cards: list[tuple], level: int = 0) -> None:
+        width = WIDTHS[level] * self.span
+        entries: dict[int, list[tuple]] = {}
+        for card in cards:
+            entries.setdefault(card[0] - card[0] % width, []).append(card)
+        for start, found in entries.items():
+            place, cut = (WIDTHS[level], start), False
+            if self.held.containsKey(place):
+                waiting = self.held.getValue(place)[0]
+                cut, found = not len(waiting), [tuple(c) for c in waiting] + found
+            if level + 1 < len(WIDTHS) and (cut or len(found) > HELD_ROWS):
+                if not cut:
+                    self.held.updateValue(place, ([],))
+                self._hold(found, level + 1)
+            else:
+                self.held.updateValue(place, (found,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            spans: dict[int, list[tuple]] = {}
             times = batch["seen_at"].to_numpy().astype("datetime64[us]").astype("int64")
-            for seen, seq, value, stated in zip(times.tolist(), batch["seq"], batch["price"], batch["source_status_raw"]):
-                spans.setdefault(self._ends(seen), []).append((seen, int(seq), None if pd.isna(value) else float(value), stated or None))
-            for ends, cards in spans.items():
-                if self.held.containsKey((ends,)):
-                    cards = [tuple(c) for c in self.held.getValue((ends,))[0]] + cards
-                else:
-                    self._wake(ends)
-                self.held.updateValue((ends,), (cards,))
-        yield _frame([])
+            cards = [
+                (seen, int(seq), None if pd.isna(value) else float(value), stated or None)
+                for seen, seq, value, stated in zip(times.tolist(), batch["seq"], batch["price"], batch["source_status_raw"])]
+            self._hold(cards)
+            least = min(c[0] for c in cards)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(self._ends(first))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         state = self.card.get() if self.card.exists() else (None, None, None, None)
-        # the first timer of a micro-batch releases all spans that have ended; the timers of the others find nothing left
-        fired = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ended = self.held.containsKey((fired,))
-        for ends in sorted(k[0] for k in self.held.keys() if k[0] <= now) if ended else ():
-            events: list[tuple] = []
-            for seen, _, value, stated in sorted((tuple(c) for c in self.held.getValue((ends,))[0]), key=lambda c: c[:2]):
+        self.alarm.clear()
+        following, events = None, []
+        # entries with cards do not overlap, so their starts give time order
+        places = sorted(((k[0], k[1]) for k in self.held.keys()), key=lambda place: (place[1], -place[0]))
+        for place in places:
+            cards = sorted((tuple(c) for c in self.held.getValue(place)[0]), key=lambda c: c[:2])
+            waiting = [c for c in cards if self._ends(c[0]) > now]
+            for seen, _, value, stated in cards[: len(cards) - len(waiting)]:
                 state = self._step(key, state, EPOCH + timedelta(microseconds=seen), value, stated, events)
-            self.held.removeKey((ends,))
-            yield _frame(events)
+            if not waiting and (cards or place[1] + place[0] * self.span <= now):
+                self.held.removeKey(place)
+            elif 0 < len(waiting) < len(cards):
+                self.held.updateValue(place, (waiting,))
+            if len(events) > HELD_ROWS:
+                yield _frame(events)
+                events = []
+            if waiting:
+                following = self._ends(waiting[0][0])
+                break
         price, raw, last, gone = state
         if last is not None and gone is None and _status(raw) == "active":
             gone_at = last + self.idle
-            due = self._ends(_micros(gone_at))
-            # the timer of an older card must not speak for spans that wait for theirs
-            if due <= now and (ended or fired == due):
+            told = self._ends(_micros(gone_at))
+            if told <= now:
                 gone = gone_at
-                yield _frame([(*key, "vanished", gone, None, None, None, None)])
-            elif ended:
-                self._wake(due)
-        self.card.update((price, raw, last, gone))
+                events.append((*key, "vanished", gone, None, None, None, None))
+            else:
+                following = told if following is None else min(following, told)
+        if last is not None:
+            self.card.update((price, raw, last, gone))
+        if following is not None:
+            self._wake(following)
+        if events:
+            yield _frame(events)
 
 
 def _micros(at: datetime) -> int:
