@@ -12,7 +12,8 @@ Rows die by tombstones: a batch writes the keys of the dead, and no table is rew
 batch, so a listing that comes back later lives. Readers leave the dead out by an anti-join (broadcast while the keys are few); a part that
 is rewritten for another reason loses its dead rows, and `compact` rewrites the parts that still hold some.
 
-Choose ``parts`` so that a part stays below a few hundred MB: one task writes one part. The manifest has one row per table and part.
+Choose ``parts`` so that a part stays below a few hundred MB: a batch reads and writes whole parts. A large part is written by several tasks, as
+adaptive execution splits it at the advisory size; without it, by one. The manifest has one row per table and part.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ class VersionedTables:
             parts = sorted(parts)
             path = f"{self.root}/{name}/version={batch}"
             rows = frame.select(*[F.col(c) for c in self.columns(name)]).withColumn("part", self.part(name))
-            rows.repartition(max(1, len(parts)), "part").write.mode("overwrite").partitionBy("part").parquet(path)
+            rows.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
             for part in parts:
                 written, files = self._path(name, f"version={batch}", f"part={part}")
                 if files.exists(written):
