@@ -109,7 +109,7 @@ paired AS (SELECT r, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS g FROM hashe
 grams AS (SELECT r, h % {quality.BUCKETS} AS b FROM paired UNION ALL SELECT r, (31 * h + g) % {quality.BUCKETS} FROM paired WHERE g IS NOT NULL),
 good AS (
   SELECT CAST(doc_id AS BIGINT) AS id, md5(CAST(doc_id AS VARCHAR)) AS m FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
-  HAVING max(quality) = 1 AND min(quality) = 1 AND coalesce(max(toxic), 0) = 0 ORDER BY m, id LIMIT {quality.TRUSTED}),
+  HAVING max(quality) = 1 AND min(quality) = 1 AND coalesce(max(toxic), 0) = 0 ORDER BY m, id LIMIT 100000),
 counts AS (
   SELECT b, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT id FROM good WHERE m < '8')) AS target FROM grams JOIN rows_ USING (r) GROUP BY b),
 totals AS (SELECT sum(raw) AS n, sum(target) AS t FROM counts),

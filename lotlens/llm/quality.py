@@ -6,14 +6,13 @@ documents, the target one those of trusted documents; both add one to each bucke
 probabilities in whole millionths, and a document scores the sum over its n-grams divided by their number, rounded down: whole numbers only,
 so that no order of adding changes a verdict.
 
-Trusted: documents that a label calls good (quality 1) and none calls bad or toxic. Of these the ``TRUSTED`` ids with the least MD5 are used, the one bound
-of the fit. Those with an MD5 below "8" make the target multinomial, the others set the threshold: the score that all but a
+Trusted: documents that a label calls good (quality 1) and none calls bad or toxic, all of them. Those whose id has an MD5 below "8" make the target multinomial, the others set the threshold: the score that all but a
 share ``LOSS`` of them reach, of those that pass the text rules. So the threshold is held out from the counts. No such document: no threshold, and the rules alone decide.
 
 A document fails the text rules with fewer than ``LEAST_WORDS`` words or with over half of them in repeated windows of three words. It is kept
 if it passes them and scores the threshold or more. All statistics are over all documents and whole texts; nothing is drawn by chance.
 
-Memory: one document, ``BUCKETS`` counts per task, ``TRUSTED`` ids; the driver holds as much.
+Memory: one document and ``BUCKETS`` counts per task; the driver holds the counts, and numbers of scores by steps of ``STEP`` and within one step.
 
 Defined results: null text has no words and fails; repeated rows count as often as they occur and each give a row; null ids are never trusted; labels of ids that no
 document has, or with null quality, do nothing; an empty table gives an empty result; other columns are ignored.
@@ -29,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.operators.relational import checked_broadcast
 from lotlens.session import stored
 
 BUCKETS = 1 << 16
-TRUSTED = 100_000
 LOSS = 0.001
 LEAST_WORDS = 50
 #: The characters that count as symbols, a fixed value.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MICRO = 1_000_000
+#: Scores lie within 50 million of 0, so they fall into some 12,000 steps.
+STEP = 1 << 12
 KNOWN_WORDS = 200_000
 RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score long"
 
@@ -87,7 +88,7 @@ def _hashed(words: list[bytes], known: Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def _counter(trusted):
+def _counter():
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, raw, target, held = Hashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), [[], []]
 
@@ -99,10 +100,10 @@ def _counter(trusted):
 
         for batch in batches:
             size = 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for text, trusted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = buckets(_hashed((text.as_py() or "").encode().split(), known))
                 held[0].append(found)
-                if doc_id.as_py() in trusted.value:
+                if trusted:
                     held[1].append(found)
                 size += len(found)
                 if size > BUCKETS:
@@ -135,18 +136,17 @@ def _scorer(weights):
     return score
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> tuple[list[int], list[int]]:
-    """Ids of trusted documents for the counts and for the threshold, ``bound`` together."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all trusted documents, and ``held_out``: for the threshold, else for the counts."""
     good = (F.max("quality") == 1) & (F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
     ids = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("good")).filter("good")
-    rows = ids.select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("m")).orderBy("m", "doc_id").limit(bound).collect()
-    return [r.doc_id for r in rows if r.m < "8"], [r.doc_id for r in rows if r.m >= "8"]
+    return ids.select("doc_id", (F.md5(F.col("doc_id").cast("string").cast("binary")) >= "8").alias("held_out"))
 
 
-def ratio_weights(docs: DataFrame, trusted: list[int]) -> np.ndarray:
-    """Millionths of the log ratio of each bucket."""
-    ids = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
-    counts = docs.mapInArrow(_counter(ids), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def ratio_weights(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """Millionths of the log ratio of each bucket; ``trusted`` holds the ids of the target."""
+    marked = docs.join(checked_broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left").select("text", "trusted")
+    counts = marked.mapInArrow(_counter(), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counts.collect():  # BUCKETS rows at most
         raw[row.bucket], target[row.bucket] = row.raw, row.target
@@ -154,22 +154,32 @@ def ratio_weights(docs: DataFrame, trusted: list[int]) -> np.ndarray:
     return np.round(MICRO * logs).astype(np.int64)
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, loss: float = LOSS, bound: int = TRUSTED) -> DataFrame:
+def threshold(scores: DataFrame, loss: float) -> int | None:
+    """The least score with more than a share ``loss`` of all scores up to it; null without scores."""
+    steps = scores.groupBy(F.floor(F.col("score") / STEP).alias("step")).count().orderBy("step").collect()
+    left = int(loss * sum(r["count"] for r in steps))
+    for step in steps:
+        if step["count"] > left:
+            break
+        left -= step["count"]
+    else:
+        return None
+    within = scores.filter(F.floor(F.col("score") / STEP) == step["step"])
+    for row in within.groupBy("score").count().orderBy("score").collect():  # STEP rows at most
+        if row["count"] > left:
+            return row["score"]
+        left -= row["count"]
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> DataFrame:
     """doc_id, the counts of the text rules, base_failed, score (null without words) and kept, one row per row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counted, held_out = trusted_ids(labels, bound)
-    weights = spark.sparkContext.broadcast(ratio_weights(docs, counted))
+    trusted = stored(trusted_ids(labels), "trusted")
+    weights = spark.sparkContext.broadcast(ratio_weights(docs, trusted.filter("NOT held_out")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = stored(docs.mapInArrow(_scorer(weights), RULES).withColumn("base_failed", failed), "quality")
-    ids = spark.createDataFrame([(i,) for i in held_out], "doc_id long")
-    passed = scored.filter(~F.col("base_failed")).join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``bound`` ids
-    by_score = passed.groupBy("score").count().orderBy("score").collect()  # at most as many as held-out rows
-    total, limit = sum(r["count"] for r in by_score), None
-    for row in by_score:
-        total_below = row["count"] if limit is None else total_below + row["count"]
-        limit = row["score"]
-        if total_below > int(loss * total):
-            break
+    passed = scored.filter(~F.col("base_failed")).join(checked_broadcast(trusted.filter("held_out").select("doc_id")), "doc_id", "left_semi")
+    limit = threshold(passed.select("score"), loss)
     kept = ~F.col("base_failed") if limit is None else ~F.col("base_failed") & (F.col("score") >= limit)
     return scored.withColumn("kept", kept)

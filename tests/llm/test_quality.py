@@ -88,3 +88,14 @@ def test_empty_tables(spark):
     assert quality.verdicts(docs, labels).count() == 0
     one = spark.createDataFrame([(1, "word " * 20 + " ".join(map(str, range(60))))], "doc_id long, text string")
     assert [r.kept for r in quality.verdicts(one, labels).collect()] == [True]
+
+
+def test_all_trusted_documents_count_and_the_threshold_is_exact(spark):
+    """More trusted ids than the former bound of 100,000; scores in few and many steps."""
+    labels = spark.range(120_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 120_000
+    for spread, loss in ((1, 0.0), (1, 0.25), (7_919, 0.001), (7_919, 0.5)):
+        scores = [i * spread % 10_007 - 4_000 for i in range(3_000)]
+        got = quality.threshold(spark.createDataFrame([(x,) for x in scores], "score long"), loss)
+        assert got == sorted(scores)[int(loss * len(scores))]
+    assert quality.threshold(spark.createDataFrame([], "score long"), 0.5) is None
