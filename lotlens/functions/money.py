@@ -147,9 +147,9 @@ def with_effective_rate(df: DataFrame, name: str = "rate_usd", cfg: MarketConfig
 
 def with_rate(
     df: DataFrame, text: Column, value: str = "text_rate", currency: str = "text_rate_currency",
-    cfg: MarketConfig = DEFAULT,
+    cfg: MarketConfig = DEFAULT, lowered: bool = False,
 ) -> DataFrame:
-    """First explicit "N per square metre" of a text and its currency (USD by default)."""
+    """First explicit "N per square metre" of a text and its currency (USD by default); ``lowered`` says that it is lower-case already."""
     metre, sqm = RATE_PATTERNS
     low, hit = F.col("_r_low"), F.col("_r_hit")
     found = F.coalesce(
@@ -160,18 +160,21 @@ def with_rate(
         .when(hit.rlike(LOCAL_CURRENCY_PATTERN), "UAH").otherwise("USD")
     )
     return (
-        df.withColumn("_r_low", F.lower(text)).withColumn("_r_hit", found)
+        df.withColumn("_r_low", text if lowered else F.lower(text)).withColumn("_r_hit", found)
         .withColumns({value: to_number(number, cfg.max_price), currency: F.when(hit.isNotNull(), cur)})
         .drop("_r_low", "_r_hit")
     )
 
 
-def _candidate(cur: str, alone: bool):
-    return lambda m: F.struct(
-        F.length(m).alias("len"),
-        number_value(F.regexp_extract(m, NUMBER + r"(?!\d)", 0)).alias("value"),
-        F.lit(cur).alias("cur"), F.lit(alone).alias("alone"),
-    )
+def _candidate(alone: bool):
+    def of(m: Column) -> Column:
+        cur = F.when(any_contains(m, MARKS["USD"][2]), "USD").when(any_contains(m, MARKS["EUR"][2]), "EUR").otherwise("UAH")
+        return F.struct(
+            F.length(m).alias("len"), number_value(F.regexp_extract(m, NUMBER + r"(?!\d)", 0)).alias("value"),
+            cur.alias("cur"), F.lit(alone).alias("alone"),
+        )
+
+    return of
 
 
 def _candidates(low: Column, cfg: MarketConfig) -> Column:
@@ -179,22 +182,23 @@ def _candidates(low: Column, cfg: MarketConfig) -> Column:
 
     A mark after a number closes it and opens no other, unless it stands apart from it and touches the
     next. ``alone`` is false where another number goes before, as the digits may then belong to
-    both. ``low`` is lower-case text; a currency whose marks do not occur costs no regex.
+    both. ``low`` is lower-case text; a text without marks costs no regex. A match holds one mark, so all currencies share a
+    scan; each pattern looks at the next character first.
     """
     empty = F.array().cast("array<struct<len:int,value:double,cur:string,alone:boolean>>")
-    arrays = []
-    for cur, (before, after, words) in MARKS.items():
-        opened = rf"(?:(?<!\d)(?<!\d\s{{1,3}}){before}\s*[:\s]*|(?<=\d\s{{1,3}}){before})"
-        closed = rf"(?=({NUMBER}(?:{after}|\s+{after}(?!\d)))(?!{PER_METRE}))"
-        patterns = (
-            (rf"({opened}{NUMBER}(?!\d)(?![ \u00a0]\d{{3}}(?!\d)))(?!{PER_METRE})", True),
-            (rf"(?<![\d.,])(?<!\d[ \u00a0]){closed}", True),
-            (rf"(?<=\d[ \u00a0]){closed}", False),
-        )
-        found = F.concat(*[
-            F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), _candidate(cur, alone)) for p, alone in patterns])
-        arrays.append(F.when(any_contains(low, words), found).otherwise(empty))
-    return F.filter(F.concat(*arrays), lambda c: (c["value"] > 0) & (c["value"] <= cfg.max_price))
+    before, after = (f"(?:{'|'.join(marks[i] for marks in MARKS.values())})" for i in (0, 1))
+    words = [w for marks in MARKS.values() for w in marks[2]]
+    first = "[" + "".join(sorted({w[0] for w in words})) + "]"
+    opened = rf"(?={first})(?:(?<!\d)(?<!\d\s{{1,3}}){before}\s*[:\s]*|(?<=\d\s{{1,3}}){before})"
+    closed = rf"(?=({NUMBER}(?:{after}|\s+{after}(?!\d)))(?!{PER_METRE}))"
+    patterns = (
+        (rf"({opened}{NUMBER}(?!\d)(?![ \u00a0]\d{{3}}(?!\d)))(?!{PER_METRE})", True),
+        (rf"(?=\d)(?<![\d.,])(?<!\d[ \u00a0]){closed}", True),
+        (rf"(?=\d)(?<=\d[ \u00a0]){closed}", False),
+    )
+    found = F.concat(*[
+        F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), _candidate(alone)) for p, alone in patterns])
+    return F.filter(F.when(any_contains(low, words), found).otherwise(empty), lambda c: (c["value"] > 0) & (c["value"] <= cfg.max_price))
 
 
 def with_total_price(
@@ -211,8 +215,8 @@ def with_total_price(
     """
     low, cand, rate, rate_cur, area = (F.col(c) for c in ("_t_low", "_t_cand", "_t_rate", "_t_rcur", "_t_area"))
     staged = df.withColumn("_t_low", F.lower(text))
-    staged = with_rate(staged, low, "_t_rate", "_t_rcur", cfg).withColumns({
-        "_t_cand": _candidates(low, cfg), "_t_area": parse_area(low),
+    staged = with_rate(staged, low, "_t_rate", "_t_rcur", cfg, lowered=True).withColumns({
+        "_t_cand": _candidates(low, cfg), "_t_area": parse_area(low, lowered=True),
     })
 
     def error(c: Column) -> Column:

@@ -87,8 +87,9 @@ def phone_digits(col: Column) -> Column:
 
 def number_value(col: Column) -> Column:
     """Double written with blanks, a decimal comma or dot groups (1.234.567)."""
-    plain = F.translate(F.translate(col, " \u00a0", ""), ",", ".")
-    return F.regexp_replace(plain, r"(?<=^\d{1,3}(?:\.\d{3}){0,5})\.(?=(?:\d{3}\.)*\d{3}$)", "").try_cast("double")
+    plain = F.translate(col, ", \u00a0", ".")  # blanks go, a comma becomes a dot
+    ungrouped = F.regexp_replace(plain, r"(?<=^\d{1,3}(?:\.\d{3}){0,5})\.(?=(?:\d{3}\.)*\d{3}$)", "")
+    return F.when(plain.contains("."), ungrouped).otherwise(plain).try_cast("double")
 
 
 def to_number(col: Column, maximum: float | None = None) -> Column:
@@ -100,8 +101,9 @@ def to_number(col: Column, maximum: float | None = None) -> Column:
     return F.when(ok, value)
 
 
-def parse_area(col: Column) -> Column:
-    low = F.lower(col)
+def parse_area(col: Column, lowered: bool = False) -> Column:
+    """Area named in a text; ``lowered`` says that the text is lower-case already."""
+    low = col if lowered else F.lower(col)
     raw = F.when(any_contains(low, ("м²", "м2", "кв")), extract(low, r"(\d+(?:[.,]\d+)?)\s*(?:м²|м2|кв\.?\s*м)"))
     value = F.translate(raw, ",", ".").try_cast("double")
     return F.when((value > 0) & (value <= DEFAULT.max_area), value)

@@ -54,9 +54,10 @@ def drop_blocked_pages(pages: DataFrame) -> DataFrame:
 
 def unescape(col: Column) -> Column:
     # The named entities that occur in portal markup.
+    plain = col
     for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(col.contains("&"), plain).otherwise(col)
 
 
 def text_of(html: Column) -> Column:
@@ -103,7 +104,7 @@ def json_blocks(html: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return get(v, "$", "struct<>").isNotNull()
 
 
 def get(v: Column, path: str, kind: str = "string") -> Column:
@@ -387,7 +388,13 @@ def first_element(html: Column) -> Column:
         walked = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step)
         return let(walked, lambda end: F.when(end["depth"] == 0, F.substring(whole, F.lit(1), end["size"])))
 
-    return let(html, cut)
+    def up_to_own(whole: Column) -> Column:
+        """Most elements hold none of their own name: cut before the first tag of that name, if it closes."""
+        head = F.regexp_extract(whole, r"(?is)^(<(\w++).*?)</?\2(?!\w)", 1)
+        return let(head, lambda h: F.when(
+            (h != "") & (F.substring(whole, F.length(h) + 1, F.lit(2)) == "</"), h).otherwise(cut(whole)))
+
+    return let(html, up_to_own)
 
 
 def _class_text(html: Column, name: str) -> Column:
