@@ -151,17 +151,17 @@ def fix_geo(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 def first_offer(block: Column) -> Column:
     """First offer object of a block."""
-    listed = get(block, "$.offers[0]", "variant")
-    single = get(block, "$.offers", "variant")
-    return F.when(is_object(single), single).when(is_object(listed), listed)
+    def object_of(path: str) -> Column:
+        return let(get(block, path, "variant"), lambda v: F.when(is_object(v), v))
+
+    return F.coalesce(object_of("$.offers"), object_of("$.offers[0]"))
 
 
 def offer_price(offer: Column) -> tuple[Column, Column]:
     """(price, currency) of an offer within sane bounds; a non-numeric price is null here."""
-    value = get(offer, "$.price", "double")
-    cur = F.upper(none_if_empty(get(offer, "$.priceCurrency")))
-    ok = (value > 0) & (value <= DEFAULT.max_price)
-    return F.when(ok, value), F.when(cur == "GRN", "UAH").otherwise(cur)
+    price = let(get(offer, "$.price", "double"), lambda value: F.when((value > 0) & (value <= DEFAULT.max_price), value))
+    cur = let(F.upper(get(offer, "$.priceCurrency")), lambda c: F.when(c == "GRN", "UAH").otherwise(none_if_empty(c)))
+    return price, cur
 
 
 def offer_fields(blocks: DataFrame) -> DataFrame:
@@ -178,7 +178,6 @@ def offer_fields(blocks: DataFrame) -> DataFrame:
 
 def page_status(html: Column, blocks: Column) -> Column:
     """Status label of a detail page, first rule wins; null when nothing is said."""
-    text = F.lower(html)
     states = F.transform(
         F.flatten(F.transform(blocks, lambda b: F.coalesce(
             get(b, "$.offers", "array<variant>"), F.array(get(b, "$.offers", "variant"))))),
@@ -186,14 +185,17 @@ def page_status(html: Column, blocks: Column) -> Column:
     )
     sold_out = F.exists(states, lambda a: a.contains("soldout") | a.contains("discontinued"))
     in_stock = F.exists(blocks, lambda b: blank_safe(get(b, "$.offers.availability")).contains("InStock"))
-    return (
-        F.when(sold_out, "sold_or_unavailable")
-        .when(text.rlike(rules.STATUS_SOLD_PATTERN), "sold")
-        .when(text.rlike(rules.STATUS_RENTED_PATTERN), "rented")
-        .when(F.replace(text, F.lit(" "), F.lit("")).contains('"statuscode":404'), "inactive_404")
-        .when(any_contains(text, rules.STATUS_INACTIVE_WORDS), "inactive")
-        .when(in_stock, "active")
-    )
+    def said(text: Column) -> Column:
+        return (
+            F.when(sold_out, "sold_or_unavailable")
+            .when(text.rlike(rules.STATUS_SOLD_PATTERN), "sold")
+            .when(text.rlike(rules.STATUS_RENTED_PATTERN), "rented")
+            .when(text.contains("404") & F.replace(text, F.lit(" "), F.lit("")).contains('"statuscode":404'), "inactive_404")
+            .when(any_contains(text, rules.STATUS_INACTIVE_WORDS), "inactive")
+            .when(in_stock, "active")
+        )
+
+    return let(F.lower(html), said)
 
 
 # --- list pages ---------------------------------------------------------------------------------
@@ -444,8 +446,7 @@ DETAIL_TYPES = {
 
 def _last(blocks: Column, value) -> Column:
     """Value of the last block that has one."""
-    found = F.filter(F.transform(blocks, value), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.try_element_at(F.filter(F.transform(blocks, value), lambda x: x.isNotNull()), F.lit(-1))
 
 
 def detail_fields(pages: DataFrame) -> DataFrame:
@@ -462,13 +463,14 @@ def detail_fields(pages: DataFrame) -> DataFrame:
         own = F.when((source == "olx") & has_type(b, "Offer"), b)
         return F.coalesce(first_offer(b), own)
 
-    def priced(b: Column) -> Column:
-        p, c = offer_price(offer_of(b))
-        return F.when(p.isNotNull(), F.struct(p.alias("price"), c.alias("currency")))
+    def priced(o: Column) -> Column:
+        price, currency = offer_price(o)
+        both = F.struct(price.alias("price"), currency.alias("currency"))
+        return let(both, lambda x: F.when(x["price"].isNotNull(), x))
 
     def placed(b: Column) -> Column:
-        la, lo = geo(get(b, "$.geo", "variant"))
-        return F.when(la.isNotNull(), F.struct(la.alias("lat"), lo.alias("lon")))
+        lat, lon = geo(get(b, "$.geo", "variant"))
+        return let(F.struct(lat.alias("lat"), lon.alias("lon")), lambda x: F.when(x["lat"].isNotNull(), x))
 
     crumbs = F.flatten(F.transform(
         F.filter(F.col("_all"), lambda b: has_type(b, "BreadcrumbList")),
@@ -477,20 +479,20 @@ def detail_fields(pages: DataFrame) -> DataFrame:
             lambda e: F.coalesce(none_if_empty(get(e, "$.name")), get(e, "$.item.name"))),
     ))
     district_crumbs = F.filter(crumbs, lambda n: F.lower(n).contains("район") | F.lower(n).endswith("кий"))
-    served = _last(blocks, lambda b: get(offer_of(b), "$.areaServed"))
-    rows = rows.withColumns({
+    rows = rows.withColumn("_offers", F.transform(blocks, offer_of))
+    offers, served = F.col("_offers"), F.col("d_served")
+    rows = rows.withColumn("d_served", _last(offers, lambda o: get(o, "$.areaServed"))).withColumns({
         "d_title": meta(html, "og:title"), "d_description": meta(html, "og:description"),
         "d_phones": extract_phones(html), "d_text": text_of(html),
-        "d_ld_name": _last(blocks, lambda b: none_if_empty(get(b, "$.name"))),
-        "d_ld_description": _last(blocks, lambda b: none_if_empty(get(b, "$.description"))),
-        "d_address": _last(blocks, lambda b: postal_address(get(b, "$.address", "variant"))),
-        "d_geo": _last(blocks, placed), "d_offer": _last(blocks, priced),
-        "d_crumb": F.when(F.size(district_crumbs) > 0, F.element_at(district_crumbs, -1)),
-        "d_served": served,
+        "d_ld_name": _last(blocks, lambda b: let(get(b, "$.name"), none_if_empty)),
+        "d_ld_description": _last(blocks, lambda b: let(get(b, "$.description"), none_if_empty)),
+        "d_address": _last(blocks, lambda b: let(get(b, "$.address", "variant"), postal_address)),
+        "d_geo": _last(blocks, placed), "d_offer": _last(offers, priced),
+        "d_crumb": F.try_element_at(district_crumbs, F.lit(-1)),
         "d_served_district": F.when(F.lower(served).contains("район"), extract(served, r"(?iu)район\s+([A-Za-zА-Яа-яІіЇїЄєҐґ'’\-]+)")),
-        "d_seller": _last(blocks, lambda b: none_if_empty(get(offer_of(b), "$.seller.name"))),
-        "d_offered": _last(blocks, lambda b: get(offer_of(b), "$.itemOffered")),
-        "d_availability": _last(blocks, lambda b: get(offer_of(b), "$.availability")),
+        "d_seller": _last(offers, lambda o: let(get(o, "$.seller.name"), none_if_empty)),
+        "d_offered": _last(offers, lambda o: get(o, "$.itemOffered")),
+        "d_availability": _last(offers, lambda o: get(o, "$.availability")),
     })
     keep = [c for c in rows.columns if c.startswith("d_")]
     return rows.select("source", F.col("url").alias("page_url"), *keep)

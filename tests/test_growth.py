@@ -189,3 +189,17 @@ def test_text_work_gets_more_tasks_as_rows_grow(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     assert session.spread(spark.range(0, 5_000, 1, 6)).rdd.getNumPartitions() == 50
     assert session.spread(spark.range(0, 50, 1, 40)).rdd.getNumPartitions() == 40
+
+
+def _mentions(df, text):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(text)
+
+
+def test_a_rule_runs_once_for_a_value(spark):
+    """A value that a rule names several times is bound first: its regex or path stands once in the plan."""
+    rows = spark.createDataFrame([("$ 12 500",)], "text string")
+    prices = money.with_total_price(rows, F.col("text"))
+    assert _mentions(prices, money.PLAIN_NUMBER) == 1
+    pages_ = rows.select(F.lit("domria").alias("source"), F.col("text").alias("url"), F.col("text").alias("html"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"))
+    details = pages.detail_fields(pages_)
+    assert _mentions(details, "$.areaServed") == 1 and _mentions(details, "$.seller.name") == 1 and _mentions(details, "$.priceCurrency") == 1
