@@ -190,7 +190,7 @@ def _candidates(low: Column, cfg: MarketConfig) -> Column:
     words = [w for marks in MARKS.values() for w in marks[2]]
     first = "[" + "".join(sorted({w[0] for w in words})) + "]"
     opened = rf"(?={first})(?:(?<!\d)(?<!\d\s{{1,3}}){before}\s*[:\s]*|(?<=\d\s{{1,3}}){before})"
-    closed = rf"(?=({NUMBER}(?:{after}|\s+{after}(?!\d)))(?!{PER_METRE}))"
+    closed = rf"(?=({NUMBER}(?:(?={first}){after}|\s+(?={first}){after}(?!\d)))(?!{PER_METRE}))"
     patterns = (
         (rf"({opened}{NUMBER}(?!\d)(?![ \u00a0]\d{{3}}(?!\d)))(?!{PER_METRE})", True),
         (rf"(?=\d)(?<![\d.,])(?<!\d[ \u00a0]){closed}", True),
