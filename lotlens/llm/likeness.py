@@ -3,7 +3,9 @@
 Words as in ``simhash``; a text's set holds the XXH64 of its distinct runs of ``WORDS`` words (fewer words: all of them; none: the
 empty set). Equal sets count once (``fp``, 128 bits of hash over the set), and so does a text for all its copies.
 
-Candidates: each set has ``BANDS`` buckets, each named by ``ROWS`` min-hashes; two sets of likeness 0.8 share one with a probability of 0.9996.
+Candidates: the operator of ``simhash`` gives each set a wide SimHash, searches the vantage-point trees for fingerprints within its radius and
+joins them to components; a component is a bucket. Two sets of likeness 0.8 come together with a probability of 0.999 or more
+(always, but for the radius, while one shard holds all). Sets that are less alike come together too, so a bucket is only where the exact rounds look.
 A set's sketch holds the parities of the numbers of its shingles in 4 to 8 times as many places as it has shingles. Sketches differ in at most as many bits as the sets in
 shingles, and sets of likeness 0.8 differ in a ninth of both sizes at most; so the sketch drops no such pair, and few others pass. A sketch is
 folded to half its length to meet one of half the length.
@@ -35,11 +37,12 @@ from pyspark.sql import functions as F
 
 from lotlens.llm import simhash
 from lotlens.operators.relational import checked_broadcast, lookup_join
-from lotlens.session import stored
+from lotlens.session import passing, scratch, stored
 
 WORDS = 5
 #: Likeness as a fraction.
 LEAST = (4, 5)
+#: Min-hash buckets: the yardstick of the tests for the trees.
 BANDS, ROWS = 20, 5
 HASHES = BANDS * ROWS
 #: Bits of the shortest sketch.
@@ -52,7 +55,7 @@ HOT = 100_000
 _DRAW = np.random.default_rng(6)
 _SCALE = _DRAW.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _DRAW.integers(0, 2**63, HASHES, dtype=np.uint64)
-PRINTS = "doc_id long, k long, l long, fp binary, size long, sketch array<long>, bands array<long>"
+PRINTS = "doc_id long, k long, l long, fp binary, size long, sketch array<long>, print binary"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -102,17 +105,17 @@ def bands(least: np.ndarray) -> np.ndarray:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists = pa.list_(pa.int64())
     for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-        keys, sizes, sketches, buckets = [], [], [], []
+        keys, sizes, sketches, prints = [], [], [], []
         for text in batch.column(1):
             found = shingles(text.as_py())
             keys.append(set_key(found))
             sizes.append(len(found))
             sketches.append(sketch(found))
             # smaller sets have no partner but their equals
-            buckets.append(bands(min_hashes(found)) if len(found) > 3 else np.zeros(0, np.int64))
+            prints.append(simhash.wide(found) if len(found) > 3 else None)
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, lists), pa.array(buckets, lists),
-        ], names=["doc_id", "k", "l", "fp", "size", "sketch", "bands"])
+            batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, lists), pa.array(prints, pa.binary()),
+        ], names=["doc_id", "k", "l", "fp", "size", "sketch", "print"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +135,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def set_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, k and l (hash of id and text), fp (hash of the shingle set), and the set's size, sketch and buckets."""
+    """doc_id, k and l (hash of id and text), fp (hash of the shingle set), and the set's size, sketch and wide SimHash (null: no partner but its equals)."""
     return _rows(docs).mapInArrow(_keyed, PRINTS)
 
 
 def distinct_sets(prints: DataFrame) -> DataFrame:
-    """fp, own (the row whose text stands for the set), size, sketch and bands; one row per set."""
-    return prints.groupBy("fp").agg(F.min(F.struct("k", "l")).alias("own"), *[F.any_value(c).alias(c) for c in ("size", "sketch", "bands")])
+    """fp, own (the row whose text stands for the set), size, sketch and print; one row per set."""
+    return prints.groupBy("fp").agg(F.min(F.struct("k", "l")).alias("own"), *[F.any_value(c).alias(c) for c in ("size", "sketch", "print")])
 
 
 def _folded(one: str, other: str) -> Column:
@@ -269,10 +272,9 @@ def sized(spark: SparkSession, rows: int, per_task: int = 20_000) -> Iterator[No
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links a -> b between sets of likeness ``LEAST`` or more; ``sets`` as of ``distinct_sets``."""
-    marked = sets.select("fp", F.explode("bands").alias("key"))
-    buckets = marked.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "low", "n")
-    members = stored(lookup_join(marked, buckets, ["key"], "n", HOT).filter("n IS NOT NULL").select("key", "fp", "low"), "members")
-    pairs = stored(members.filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    pairs = simhash.wide_classes(sets.filter("print IS NOT NULL").select("fp", "print"))
+    members = pairs.select(F.col("b").alias("key"), F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("key"), F.col("b").alias("fp")).distinct())
+    members = stored(members, "members")
     whole = stored(whole_sets(docs, sets, members), "whole")
     spark, n_members, n_pairs = docs.sparkSession, members.count(), pairs.count()
     found, met, most = None, pairs, 1
@@ -291,16 +293,19 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the document with the smallest id (null last)."""
-    prints = stored(set_prints(docs), "fingerprints")
-    sets = stored(distinct_sets(prints), "sets")
-    linked = links(docs, sets)
-    with sized(docs.sparkSession, linked.count()):
-        known = simhash.roots(linked).select(F.col("a").alias("p"), F.col("b").alias("r"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("k"), F.col("l"))
-    # one row per set first, so that copies don't meet in a join
-    first = prints.groupBy("fp").agg(F.min(place).alias("first"))
-    kept = first.join(known, F.col("fp") == F.col("p"), "left").groupBy(F.coalesce("r", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = stored(kept.select(F.col("first.k").alias("kk"), F.col("first.l").alias("kl")), "kept")
+    spark = docs.sparkSession
+    path = scratch(spark, "kept")
+    with passing(spark):
+        prints = stored(set_prints(docs), "fingerprints")
+        sets = stored(distinct_sets(prints), "sets")
+        linked = links(docs, sets)
+        with sized(spark, linked.count()):
+            known = simhash.roots(linked).select(F.col("a").alias("p"), F.col("b").alias("r"))
+        place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("k"), F.col("l"))
+        # one row per set first, so that copies don't meet in a join
+        first = prints.groupBy("fp").agg(F.min(place).alias("first"))
+        kept = first.join(known, F.col("fp") == F.col("p"), "left").groupBy(F.coalesce("r", "fp").alias("root")).agg(F.min("first").alias("first"))
+        kept = stored(kept.select(F.col("first.k").alias("kk"), F.col("first.l").alias("kl")), "kept", path)
     names = docs.columns
     rest = F.to_json(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in names if c != "text"]))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), rest.alias("rest"), *_keys())

@@ -15,6 +15,12 @@ and asked. Inside a shard a vantage-point tree in the full metric finds all part
 fingerprint (to the smallest of its local component), never all pairs. Components of these links come from
 alternating large and small stars.
 
+Wide fingerprints (``wide``: 256 bits over a set of hashes) serve likeness far below 2 bits: sets of Jaccard likeness 0.8 differ in some 15 % of the bits
+(19 % if they are tiny), unlike ones in half. No triangle inequality prunes at such a radius, so each node of a tree uses the distance on a single bit, each tree
+begins at a bit of its own, and nobody visits a second shard: a pair parts from a tree of depth d with probability 1 - 0.85^d. There are as many trees as
+make a pair of likeness 0.8 share a shard with probability 0.999 (``n_trees``); their number grows as rows^0.23, the rows of a shard don't grow.
+Inside a shard all pairs are compared, but those within a ball of half the radius, which are near by the triangle inequality.
+
 Defined results: null text is empty text; documents without words share fingerprint 0 and are linked;
 equal fingerprints are linked; a component is named by its smallest ``doc_id`` (null ids never name one unless there
 is no other); repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
@@ -22,6 +28,7 @@ is no other); repeated rows give repeated rows; an empty table gives an empty re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +45,9 @@ WORDS = 3
 SAMPLE = 32_768
 SHARD_ROWS = 20_000
 LEAF = 256
+#: Wide fingerprints: bits, radius, rows of a shard, the share of bits that a pair at the bound differs in, and how often it may miss all shards.
+WIDE, WIDE_RADIUS, WIDE_ROWS, WIDE_PART, WIDE_MISS = 256, 68, 4_096, 0.15, 0.001
+_WIDE_SALT = np.random.default_rng(256).integers(0, 2**63, WIDE // 64, dtype=np.uint64)
 
 
 def simhash(text: str | None) -> int:
@@ -60,6 +70,17 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
+def wide(found: np.ndarray) -> bytes:
+    """The wide fingerprint of a set of 64-bit hashes: a bit is set if it is set in over half of them."""
+    ones = np.zeros(WIDE, dtype=np.int64)
+    for part in range(0, len(found), 255):
+        mixed = (found[part : part + 255, None] ^ _WIDE_SALT) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found)).tobytes()
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((simhash(t) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
@@ -76,25 +97,31 @@ def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def _in_words(points: np.ndarray) -> np.ndarray:
+    return points if points.ndim == 2 else points[:, None]
+
+
 class Tree:
-    """Top of a vantage-point tree: nodes as (vantage, mask, bound, radius, inner, outer), leaves as shard numbers."""
+    """Top of a vantage-point tree: nodes as (vantage, word, mask, bound, radius, inner, outer), leaves as shard numbers.
+
+    Points are numbers of 64 bits, or rows of several; a metric is the distance on the bits of ``mask`` of one word, with the radius that counts there.
+    """
 
-    def __init__(self, sample: np.ndarray, mask: int, radius: int, weight: float, shard_rows: int):
-        self.shards = 0
-        full = (np.uint64(2**64 - 1), radius)
-        self.root = self._grow(sample, [(np.uint64(mask), 0), full] if radius and mask != 2**64 - 1 else [full], weight, shard_rows, 0)
+    def __init__(self, sample: np.ndarray, metrics: list[tuple[int, int, int]], weight: float, shard_rows: int, least: int = 16):
+        self.shards, self.least = 0, least
+        self.root = self._grow(_in_words(sample), [(word, np.uint64(mask), radius) for word, mask, radius in metrics], weight, shard_rows, 0)
 
     def _leaf(self) -> int:
         self.shards += 1
         return self.shards - 1
 
     def _grow(self, points: np.ndarray, metrics: list, weight: float, shard_rows: int, depth: int):
-        if len(points) * weight <= shard_rows or len(points) < 16 or depth > 40:
+        if len(points) * weight <= shard_rows or len(points) < self.least or depth > 40:
             return self._leaf()
-        for mask, radius in metrics:
-            best = None
-            for vantage in points[:: max(1, len(points) // 8)][:8]:
-                d = distance(points & mask, vantage & mask)
+        for word, mask, radius in metrics:
+            best, seen = None, points[:, word] & mask
+            for vantage in seen[:: max(1, len(points) // 8)][:8]:
+                d = distance(seen, vantage)
                 for bound in np.unique(d)[:-1]:
                     size = max((d <= bound + radius).sum(), (d > int(bound) - radius).sum())
                     if best is None or size < best[0]:
@@ -103,11 +130,12 @@ class Tree:
                 _, vantage, bound, d = best
                 inner = self._grow(points[d <= bound], metrics, weight, shard_rows, depth + 1)
                 outer = self._grow(points[d > bound], metrics, weight, shard_rows, depth + 1)
-                return vantage, mask, bound, radius, inner, outer
+                return vantage, word, mask, bound, radius, inner, outer
         return self._leaf()
 
     def route(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Shard, indexes of the points that ask it, and whether they live there."""
+        points = _in_words(points)
         stack = [(self.root, np.arange(len(points)), np.ones(len(points), dtype=bool))]
         while stack:
             node, rows, home = stack.pop()
@@ -116,8 +144,8 @@ class Tree:
             if isinstance(node, int):
                 yield node, rows, home
                 continue
-            vantage, mask, bound, radius, inner, outer = node
-            d = distance(points[rows] & mask, vantage & mask).astype(np.int16)
+            vantage, word, mask, bound, radius, inner, outer = node
+            d = distance(points[rows, word] & mask, vantage).astype(np.int16)
             near, far = d <= bound + radius, d > bound - radius
             stack.append((inner, rows[near], (home & (d <= bound))[near]))
             stack.append((outer, rows[far], (home & (d > bound))[far]))
@@ -129,8 +157,22 @@ def forest(sample: np.ndarray, total: int, radius: int = RADIUS, blocks: int | N
     if blocks not in (1, radius + 1):
         raise ValueError("one block, or one more than the radius")
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    weight = total / max(1, len(sample))
-    return [Tree(sample, (1 << high) - (1 << low), radius, weight, shard_rows) for low, high in zip(cuts, cuts[1:], strict=False)]
+    weight, full = total / max(1, len(sample)), (0, 2**64 - 1, radius)
+    block = [[(0, (1 << high) - (1 << low), 0)] if radius and blocks > 1 else [] for low, high in zip(cuts, cuts[1:], strict=False)]
+    return [Tree(sample, [*first, full], weight, shard_rows) for first in block]
+
+
+def n_trees(total: int, shard_rows: int = WIDE_ROWS) -> int:
+    """Trees over wide fingerprints of which a pair at the bound shares a shard of one, but for ``WIDE_MISS``."""
+    together = (1 - WIDE_PART) ** math.ceil(max(0.0, math.log2(max(1, total) / shard_rows)))
+    return 1 if together == 1 else math.ceil(math.log(WIDE_MISS) / math.log(1 - together))
+
+
+def wide_forest(sample: np.ndarray, total: int, shard_rows: int = WIDE_ROWS) -> list[Tree]:
+    """Trees over rows of ``WIDE`` bits; they take single bits in turn, each tree from a place of its own."""
+    trees, bits = n_trees(total, shard_rows), np.random.default_rng(64).permutation(WIDE).tolist()
+    starts = [round(WIDE * i / trees) % WIDE for i in range(trees)]
+    return [Tree(sample, [(b // 64, 1 << (b % 64), 0) for b in bits[at:] + bits[:at]], total / max(1, len(sample)), shard_rows, 2) for at in starts]
 
 
 def components(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,6 +246,40 @@ def local_links(members: np.ndarray, visitors: np.ndarray, radius: int = RADIUS,
     return points[moved], points[label[moved]]
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each row of ``a`` differs from each row of ``b``."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint16)
+    for word in range(a.shape[1]):
+        out += distance(a[:, word][:, None], b[:, word][None, :])
+    return out
+
+
+def wide_links(points: np.ndarray, radius: int = WIDE_RADIUS) -> np.ndarray:
+    """For each row the first row of its component by pairs within ``radius``; rows of one ball are not compared with each other."""
+    ball, label = np.full(len(points), -1), np.arange(len(points))
+    for center in range(0, len(points), max(1, len(points) // 8)):
+        inside = (ball < 0) & (_apart(points, points[center : center + 1])[:, 0] <= radius // 2)
+        if inside.sum() >= 64:
+            ball[inside] = center
+            label[inside] = np.flatnonzero(inside)[0]
+    order = np.argsort(ball, kind="stable")
+    ends = np.searchsorted(ball[order], ball[order], side="right")
+    sorted_points, at = points[order], 0
+    while at < len(order):
+        # rows outside all balls meet all that follow, rows of a ball those behind the ball
+        loose = ball[order[at]] < 0
+        start = at if loose else int(ends[at])
+        stop = min(int(ends[at]), at + max(1, 2_000_000 // max(1, len(order) - start)))
+        i, j = np.nonzero(_apart(sorted_points[at:stop], sorted_points[start:]) <= radius)
+        open_ = label[order[at + i]] != label[order[start + j]]
+        a, b = order[at + i[open_]], order[start + j[open_]]
+        if len(a):
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            label = components(len(points), np.concatenate([linked, a]), np.concatenate([label[linked], b]))
+        at = stop
+    return label
+
+
 def _router(trees: Callable[[], list[Tree]]):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,6 +316,40 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, sh
     return routed.groupBy("shard").applyInArrow(_search(radius), "a long, b long")
 
 
+def _wide_points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64)
+
+
+def _wide_router(trees: Callable[[], list[Tree]]):
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, shards = _wide_points(batch.column(1)), np.zeros(batch.num_rows, dtype=np.int64)
+            for number, tree in enumerate(trees()):
+                for shard, rows, _ in tree.route(points):
+                    shards[rows] = number * 2**32 + shard
+                yield pa.RecordBatch.from_arrays([pa.array(shards), *batch.columns], names=["shard", "fp", "print"])
+
+    return route
+
+
+def _wide_search(shard: pa.Table) -> pa.Table:
+    shard = shard.sort_by("fp")
+    label = wide_links(_wide_points(shard.column("print")))
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"a": shard.column("fp").take(moved), "b": shard.column("fp").take(label[moved])})
+
+
+def wide_classes(prints: DataFrame, shard_rows: int = WIDE_ROWS) -> DataFrame:
+    """(a, b): the smallest key b of the component of a, for all a but the smallest; ``prints`` has distinct keys fp (binary) and their wide fingerprints print."""
+    spark, total = prints.sparkSession, prints.count()
+    share = min(1.0, SAMPLE / max(1, total))
+    picked = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(2**30)) < int(share * 2**30) + (share == 1.0)).select("print")
+    sample = _wide_points(picked.limit(2 * SAMPLE).toArrow().column(0))
+    trees = spark.sparkContext.broadcast(wide_forest(sample, total, shard_rows))
+    routed = prints.select("fp", "print").mapInArrow(_wide_router(lambda: trees.value), "shard long, fp binary, print binary")
+    return roots(routed.groupBy("shard").applyInArrow(_wide_search, "a binary, b binary"))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step; edges (a, b) with a > b."""
     ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
