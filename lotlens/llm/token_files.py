@@ -20,10 +20,11 @@ import json
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -38,13 +39,18 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # The byte-to-character table and the splitting pattern of byte-level vocabularies.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Kinds of characters for ``Encoder._starts``; white space last.
+LETTER, OTHER, SPACE, BLANK = 1, 2, 3, 4
+#: Bytes of texts encoded at once; a longer text goes alone.
+BLOCK = 2**23
 
 
 class Encoder:
     """Ids of whole texts as bytes, with the ids of frequent words kept.
 
-    A byte-level vocabulary splits a text into words first, and no merge crosses a word; so the library's
-    model runs once per word that is not yet known. ``kept`` bounds the memory; other tokenizers encode whole texts.
+    A byte-level vocabulary splits a text into words first, and no merge crosses a word; so texts are cut by arrays where
+    a word begins in any case, and the library's model runs once per block of texts for each different word that is not
+    yet known. ``kept`` bounds the memory; other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, end_id: int = 0, kept: int = 300_000):
@@ -60,7 +66,12 @@ class Encoder:
         self.words = regex.compile(SPLIT).findall
         spare = iter(range(256, 512))
         self.table = {b: chr(b if b in set(PLAIN_BYTES) else next(spare)) for b in range(256)}
-        self.pieces, self.chunks = _Kept(self._piece, kept), _Kept(self._chunk, kept)
+        self.kinds = np.full(2**16, OTHER, np.uint8)
+        points = "".join(map(chr, [*range(0xD800), *range(0xE000, 2**16)]))
+        for pattern, kind in ((r"\p{L}", LETTER), (r"[\s\x1c-\x1f\x85]", BLANK), (" ", SPACE)):
+            self.kinds[[ord(c) for c in regex.findall(pattern, points)]] = kind
+        self.ascii = np.where(np.arange(256) < 128, self.kinds[:256], 0).astype(np.uint8)
+        self.kept, self.most = {}, kept
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -68,34 +79,67 @@ class Encoder:
     def _piece(self, word: str) -> bytes:
         return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))])
 
-    def _chunk(self, chunk: str) -> bytes | None:
-        """None if it ends in white space: then a word may go on in the next chunk."""
-        return None if chunk[-1:].isspace() else b"".join(map(self.pieces.__getitem__, self.words(chunk)))
+    def _chunk(self, chunk: str) -> bytes:
+        """Mostly one word, seen by its letters alone."""
+        if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():
+            return self._piece(chunk)
+        return b"".join(map(self._piece, self.words(chunk)))
+
+    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Places in UTF-8 texts where a word begins in any case, in ascending order, and the end.
+
+        These are the starts of texts, a space after a character other than white space, another ASCII character that
+        follows a letter and is none, and what follows a single line feed.
+        """
+        kinds = self.ascii[data]
+        at = np.flatnonzero(kinds >= OTHER)
+        here, before = kinds[at], kinds[at - 1]
+        far = np.flatnonzero(before == 0)
+        c, b, a = (data[at[far] - k].astype(np.int32) for k in (1, 2, 3))
+        point = np.where(b >= 0xC0, (b & 31) << 6 | c & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63)
+        before[far] = np.where((b >= 0xC0) | (a >= 0xE0), self.kinds[point], OTHER)  # beyond 2^16 no white space, letters are not told
+        mark = np.zeros(len(data) + 1, bool)
+        mark[at[np.where(here == SPACE, before < SPACE, before == LETTER)]] = True
+        line = at[(here == BLANK) & (before < SPACE)]
+        line = line[data[line] == 10] + 1
+        line = line[line < len(data)]
+        mark[line[(kinds[line] == LETTER) | (kinds[line] == OTHER)]] = True
+        mark[bounds] = True
+        return np.flatnonzero(mark)
+
+    def _block(self, texts: pa.LargeStringArray) -> tuple[bytes | pa.Buffer, np.ndarray]:
+        if not self.by_word:
+            ids = [self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end for text in texts.to_pylist()]
+            return b"".join(ids), np.array([len(i) for i in ids]) // len(self.end)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        starts = self._starts(data, bounds)
+        found = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)).dictionary_encode()
+        chunks, places = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        ids, often = [*map(self.kept.get, chunks)], np.bincount(places, minlength=len(chunks)) > 1
+        for i in [i for i, known in enumerate(ids) if known is None]:
+            ids[i] = self._chunk(chunks[i])
+            if often[i] and len(self.kept) < self.most:
+                self.kept[chunks[i]] = ids[i]
+        last = np.searchsorted(starts, bounds[1:])
+        every = pa.array([*ids, self.end], pa.large_binary()).take(pa.array(np.insert(places, last, len(ids))))
+        ends = np.frombuffer(every.buffers()[1], np.int64)[last + np.arange(1, len(last) + 1)]
+        return every.buffers()[2], np.diff(ends, prepend=0) // len(self.end)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[bytes | pa.Buffer, np.ndarray]]:
+        """By blocks of texts: the ids of each text and the end id, little-endian, one after another; numbers of ids."""
+        texts = texts.cast(pa.large_string())
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+            yield self._block(texts.slice(at, stop - at))
+            at = stop
 
     def encode(self, text: str) -> bytes:
         """The ids and the end id, little-endian."""
-        if not self.by_word:
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
-        if "\0" not in text:
-            # a word never goes on across a space that follows a character other than white space
-            found = [*map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0"))]
-            if None not in found:
-                return b"".join(found) + self.end
-        return b"".join(map(self.pieces.__getitem__, self.words(text))) + self.end
-
-
-class _Kept(dict):
-    """Remembers what ``make`` gives for up to ``most`` keys."""
-
-    def __init__(self, make: Callable[[str], bytes | None], most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes | None:
-        value = self.make(key)
-        if len(self) < self.most:
-            self[key] = value
-        return value
+        return b"".join(bytes(ids) for ids, _ in self.encode_all(pa.array([text])))
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -124,15 +168,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> dict
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (store, base), part = _encoder(tokenizer, end_id), _open(folder), TaskContext.get().partitionId()
         place, own = f"{base}/{_name(part)}", uuid.uuid4().hex
-        size, offsets, ids, out = 2 + 2 * encoder.wide, array("Q", [0]), array("q"), None
+        offsets, ids, out = array("Q", [0]), array("q"), None
         for batch in batches:
             if batch.num_rows and out is None:
                 out = store.open_output_stream(f"{place}.tokens.{own}")
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = encoder.encode(text)
+            for data, counts in encoder.encode_all(batch.column(1)):
                 out.write(data)
-                offsets.append(offsets[-1] + len(data) // size)
-                ids.append(NULL_ID if doc_id is None else doc_id)
+                offsets.frombytes((offsets[-1] + np.cumsum(counts)).astype("<u8").tobytes())
+            ids.frombytes(batch.column(0).fill_null(NULL_ID).to_numpy().tobytes())
         if out is not None:
             out.close()
             for kind, data in (("offsets", offsets), ("ids", ids)):
