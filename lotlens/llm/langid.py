@@ -8,7 +8,8 @@ a fixed share of a hash of id and text, repeated rows once, so more rows make no
 its score is the cosine. A text is rejected if it has no letter, or if its distance (1 - cosine) exceeds the bound of its
 length class: texts with as many different n-grams, by powers of two, those of ``LONG`` powers or more in one class. The bound is the largest
 distance that a sampled training text of this class, or of a class of longer texts, has from its nearest centroid, all languages taken together, plus
-``MORE`` / sqrt(number of training texts in the class) for what so many don't show. A class without training texts goes by the next shorter
+``MORE`` / sqrt(number of training texts in the class) for what so many don't show. The last class is mostly of far longer texts
+than its shortest; so up to twice the least number of n-grams its bound comes down from that of the class before, if larger. A class without training texts goes by the next shorter
 one; texts shorter than all training texts are kept, as nothing tells what is far for them.
 
 Defined results: null text or text without letters is ``und`` with score 0 and rejected; ties go to the
@@ -71,14 +72,18 @@ def counts(text: str | None) -> np.ndarray | None:
 
 
 def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised vectors of the texts that have letters, which these are, and their length classes."""
+    """Normalised vectors of the texts that have letters, which these are, and their numbers of different n-grams as powers of two."""
     rows = [(i, c) for i, t in enumerate(texts) if (c := counts(t)) is not None]
     x = np.zeros((len(rows), DIM), dtype=np.float32)
     for k, (_, c) in enumerate(rows):
         at = np.flatnonzero(c)
         x[k, at] = (1 + np.log(c[at])) * idf[at]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return x, np.array([i for i, _ in rows], dtype=np.int64), np.array([min(LONG, int((c > 0).sum()).bit_length() - 1) for _, c in rows], dtype=np.int64)
+    return x, np.array([i for i, _ in rows], dtype=np.int64), np.array([np.log2((c > 0).sum()) for _, c in rows])
+
+
+def length_classes(powers: np.ndarray) -> np.ndarray:
+    return np.minimum(LONG, powers.astype(np.int64))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -124,16 +129,26 @@ class Model:
         self.idf, self.langs, self.centroids = idf, langs, centroids
         self.bounds = bounds
 
+    def limit(self, powers: np.ndarray) -> np.ndarray:
+        """The distance bound of texts with 2^``powers`` different n-grams."""
+        before, last = self.bounds[LONG - 1 :]
+        out = self.bounds[length_classes(powers)]
+        if last < before < np.inf:
+            first = (powers >= LONG) & (powers < LONG + 1)
+            out[first] = before + (last - before) * (powers[first] - LONG)
+        return out
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out = [(UNKNOWN, 0.0, True)] * len(texts)
         if not self.langs:
             return out
-        x, rows, classes = vectors(texts, self.idf)
+        x, rows, powers = vectors(texts, self.idf)
+        bounds = self.limit(powers)
         cosine = x @ self.centroids.T
         best = np.argmax(cosine, 1) if len(rows) else []
-        for i, (row, j, k) in enumerate(zip(rows, best, classes, strict=True)):
+        for i, (row, j, bound) in enumerate(zip(rows, best, bounds, strict=True)):
             score = float(min(1.0, max(0.0, cosine[i, j])))
-            out[row] = self.langs[j], score, bool(1 - score > self.bounds[k])
+            out[row] = self.langs[j], score, bool(1 - score > bound)
         return out
 
 
@@ -159,9 +174,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
     picked = training_sample(training, sample)
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, _, classes = vectors(part["text"].sort_values().tolist(), idf)
+        x, _, powers = vectors(part["text"].sort_values().tolist(), idf)
         if not len(x):
             return pd.DataFrame({"lang": [], "far": [], "texts": [], "centroid": []})
+        classes = length_classes(powers)
         centroids, distances = cluster(x, clusters)
         far = [float(distances[classes == k].max(initial=0)) for k in range(LONG + 1)]
         texts = [int((classes == k).sum()) for k in range(LONG + 1)]
