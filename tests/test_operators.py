@@ -317,3 +317,27 @@ def test_first_pages_equal_whole_sorts(spark):
         for mode in SORT_MODES:
             want = [r.external_id for r in sort_listings(part, mode, now).limit(n).collect()]
             assert [got.get(mode, {})[i + 1] for i in range(len(got.get(mode, {})))] == want, mode
+
+
+def test_saved_filters_beyond_a_broadcast_are_joined_in_cells(spark):
+    """One text of many filters and listings is dealt over cells; filters without a text, equal filters and equal listings beside it."""
+    from lotlens.operators import search
+
+    rows = spark.sql("""SELECT 's' || id % 2 AS source, CAST(id % 140 AS STRING) AS external_id, 'sale' AS deal_type, 'office' AS property_type, CAST(NULL AS STRING) AS district,
+        'Lot ' || id % 140 AS title, 'Main street ' || id % 3 AS address_raw, CAST(NULL AS STRING) AS city, CAST(id % 140 AS DOUBLE) AS price, 'USD' AS currency,
+        timestamp'2024-01-01' AS first_seen_at, false AS below_market FROM range(150)""")
+    watches = spark.sql("""SELECT 'w' || id % 38 AS name, CASE WHEN id % 20 = 0 THEN '' WHEN id % 20 = 1 THEN 'LO' WHEN id % 4 = 2 THEN 'lot 1' || id % 7 ELSE ' Street 1' END AS q, IF(id % 3 = 0, 's1', NULL) AS source,
+        CAST(NULL AS STRING) AS deal_type, '' AS segment, CAST(NULL AS STRING) AS district, CAST(NULL AS STRING) AS period, false AS below_market,
+        CAST(id % 9 AS DOUBLE) AS price_min, IF(id % 5 = 0, NULL, CAST(120 - id AS DOUBLE)) AS price_max FROM range(40)""")
+    now = F.to_timestamp(F.lit("2024-02-01"))
+    want = sorted(map(tuple, search.match_watches(watches, rows, now, index_from=10**6).collect()))
+    for index_from in (1, 10**6):
+        got = search.match_watches(watches, rows, now, index_from=index_from, broadcast_rows=0, cell=(20, 4))
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 500
+    side = spark.sql("SELECT CAST(id AS STRING) AS name, IF(id < 90, 'hot', 'k' || id) AS _wkey, 1000L AS _n FROM range(100)")
+    keys = spark.sql("SELECT CAST(id AS STRING) AS external_id, CASE WHEN id < 1000 THEN 'hot' WHEN id < 1010 THEN 'k95' ELSE 'none' END AS _lkey FROM range(2000)")
+    left, right, at = search._in_cells(keys, side, (100, 10))
+    joined = left.join(right, [left._lkey == right._wkey, *[left[c] == right[f"_w{c}"] for c in at]])
+    cells = [r["count"] for r in joined.groupBy("_lkey", *at).count().collect()]
+    assert joined.count() == joined.select("name", "external_id").distinct().count() == 90 * 1000 + 10 and max(cells) < 4 * 100 * 10
+    assert left.where("_lkey = 'none'").count() == 0
