@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+from numpy.lib.recfunctions import repack_fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,11 +28,20 @@ CHANGE_SCHEMA = (
 )
 CARD_STATE = "price DOUBLE, raw_status STRING, last_seen TIMESTAMP, gone_at TIMESTAMP"
 CARD_FIELDS = ["seen_at", "seq", "price", "source_status_raw"]
-HELD_CARDS = "cards ARRAY<STRUCT<seen: BIGINT, seq: BIGINT, price: DOUBLE, raw: STRING>>"
-EPOCH = datetime(1970, 1, 1)
+NEVER = np.iinfo(np.int64).min
+#: Waiting cards and the state of a bucket's listings as columns of numbers; times in microseconds, a status by its place in ``STATED``.
+CARD_COLUMNS = [("at", "<i8"), ("seq", "<i8"), ("price", "<f8"), ("listing", "<i4")]
+CARD = np.dtype([*CARD_COLUMNS, ("stated", "u1")])
+LISTING = np.dtype([("price", "<f8"), ("last", "<i8"), ("gone", "<i8"), ("stated", "u1")])
+HELD_CARDS = "stated BINARY, cards BINARY"
+STATED = (None, "active", *[status for status, _ in STATUS_WORDS])
+ACTIVE, VANISHED, RELISTED = 1, STATED.index("vanished"), len(STATED)
+KINDS = np.array(["appeared", "vanished", "relisted", "price_changed", "status_changed"], dtype=object)
 #: Spans of an entry of waiting cards, and the cards from which it is cut into entries of the next width.
-WIDTHS = (16_384, 128, 1)
-HELD_ROWS = 1_000
+WIDTHS = (16_384, 2_048, 256, 32, 1)
+HELD_ROWS = 20_000
+#: Groups of listings that `stream_ordered_changes` keeps its state by; fixed for the life of a checkpoint.
+BUCKETS = 1_024
 
 
 def dedupe_stream(obs: DataFrame, keys: list[str], delay: str = "2 days", time: str = "seen_at") -> DataFrame:
@@ -113,31 +124,33 @@ class _ChangeDetector(StatefulProcessor):
         pass
 
 
-class _OrderedDetector(_ChangeDetector):
-    """`_ChangeDetector` for cards that arrive out of order, up to the watermark's delay.
+class _OrderedDetector(StatefulProcessor):
+    """The rules of `_ChangeDetector` for cards that arrive out of order, up to the watermark's delay; a key holds one listing or many.
 
     Cards wait in a map until the watermark passes the end of their time span, and are then released in time order. An entry of the map holds
     the cards of ``WIDTHS[0]`` spans; one that outgrows ``HELD_ROWS`` cards is cut into entries of fewer spans, down to one, and an empty
-    entry marks the cut. So a listing of few cards costs few calls to its state, and memory holds one Arrow batch, ``HELD_ROWS`` cards, or the
-    cards of one listing and span. A listing has one timer: the end of the first span that waits, or of the span its idle time ends in; an idle listing is
-    told after the cards of that span.
+    entry marks the cut. So a key of few cards costs few calls to its state, and memory holds one Arrow batch, ``HELD_ROWS`` cards, or the
+    cards of one key and span, beside a row per listing of the key. The cards of all listings of an entry are compared as columns. A key has one timer: the end of the
+    first span that waits, or of the span in which the first idle time ends; an idle listing is told after the cards of that span.
     """
 
     def __init__(self, idle_hours: int, span_seconds: int):
-        super().__init__(idle_hours)
+        self.idle = idle_hours * 3_600_000_000
         self.span = span_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
+        self.handle = handle
+        self.names = handle.getValueState("names", "source ARRAY<STRING>, external_id ARRAY<STRING>")
+        self.listings = handle.getValueState("listings", "listings BINARY")
         self.held = handle.getMapState("held", "width INT, start BIGINT", HELD_CARDS)
         self.alarm = handle.getValueState("alarm", "at BIGINT")
 
-    def _ends(self, at: int) -> int:
+    def _ends(self, at):
         """End of the span of a time, in microseconds."""
         return at - at % self.span + self.span
 
     def _wake(self, ends: int) -> None:
-        """Sets the listing's one timer to the end of a span, unless it rings before that."""
+        """Sets the key's one timer to the end of a span, unless it rings before that."""
         alarm = self.alarm.get()
         if alarm is not None:
             if alarm[0] <= ends:
@@ -146,78 +159,138 @@ class _OrderedDetector(_ChangeDetector):
         self.alarm.update((ends,))
         self.handle.registerTimer(ends // 1000)
 
-    def _hold(self, cards: list[tuple], level: int = 0) -> None:
+    def _waiting(self, place: tuple[int, int]) -> np.ndarray:
+        stated, columns = self.held.getValue(place)
+        cards = np.empty(len(stated), CARD)
+        cards["stated"] = np.frombuffer(stated, "u1")
+        rest = np.frombuffer(columns, np.dtype(CARD_COLUMNS))
+        for name, _ in CARD_COLUMNS:
+            cards[name] = rest[name]
+        return cards
+
+    def _put(self, place: tuple[int, int], cards: np.ndarray) -> None:
+        self.held.updateValue(place, (cards["stated"].tobytes(), repack_fields(cards[[name for name, _ in CARD_COLUMNS]]).tobytes()))
+
+    def _hold(self, cards: np.ndarray, level: int = 0) -> None:
         width = WIDTHS[level] * self.span
-        entries: dict[int, list[tuple]] = {}
-        for card in cards:
-            entries.setdefault(card[0] - card[0] % width, []).append(card)
-        for start, found in entries.items():
-            place, cut = (WIDTHS[level], start), False
+        starts = cards["at"] - cards["at"] % width
+        for start in np.unique(starts).tolist():
+            place, cut, found = (WIDTHS[level], start), False, cards[starts == start]
             if self.held.containsKey(place):
-                waiting = self.held.getValue(place)[0]
-                cut, found = not len(waiting), [tuple(c) for c in waiting] + found
+                waiting = self._waiting(place)
+                cut, found = not len(waiting), np.concatenate([waiting, found])
             if level + 1 < len(WIDTHS) and (cut or len(found) > HELD_ROWS):
                 if not cut:
-                    self.held.updateValue(place, ([],))
+                    self._put(place, found[:0])
                 self._hold(found, level + 1)
             else:
-                self.held.updateValue(place, (found,))
+                self._put(place, found)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, known = None, list(zip(*self.names.get())) if self.names.exists() else []
+        places, before = {name: n for n, name in enumerate(known)}, len(known)
         for batch in rows:
-            times = batch["seen_at"].to_numpy().astype("datetime64[us]").astype("int64")
-            cards = [
-                (seen, int(seq), None if pd.isna(value) else float(value), stated or None)
-                for seen, seq, value, stated in zip(times.tolist(), batch["seq"], batch["price"], batch["source_status_raw"])]
+            cards = np.zeros(len(batch), CARD)
+            cards["at"] = batch["seen_at"].to_numpy().astype("datetime64[us]").astype("int64")
+            cards["seq"], cards["price"] = batch["seq"].astype("int64"), batch["price"].astype("float64")
+            names = zip(batch["source"], batch["external_id"]) if "external_id" in batch else [key] * len(batch)
+            cards["listing"] = [places.setdefault(name, len(places)) for name in names]
+            codes, texts = pd.factorize(batch["source_status_raw"])
+            cards["stated"] = np.array([*[STATED.index(_status(t)) if t else 0 for t in texts], 0], "u1")[codes]
             self._hold(cards)
-            least = min(c[0] for c in cards)
+            least = int(cards["at"].min())
             first = least if first is None else min(first, least)
+        if len(places) > before:
+            self.names.update(tuple(map(list, zip(*places))))
         if first is not None:
             self._wake(self._ends(first))
         return iter(())
 
+    def _step(self, cards: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Columns of the events of cards in order of listing and time; ``state`` (a row per listing) becomes that after them."""
+        listing, at, price, stated = (cards[c] for c in ("listing", "at", "price", "stated"))
+        order, old = np.arange(len(cards)), state[listing]
+        first = np.append(True, listing[1:] != listing[:-1])
+
+        def carried(value, known, kept):
+            """(value before a card, value after it), where a card may name none."""
+            named = np.where(known, value, kept)
+            after = named[np.maximum.accumulate(np.where(known | first, order, 0))]
+            return np.where(first, kept, np.roll(after, 1)), after
+
+        price_before, price_after = carried(price, ~np.isnan(price), old["price"])
+        stated_before, stated_after = carried(stated, stated > 0, old["stated"])
+        last = np.where(first, old["last"], np.roll(at, 1))
+        gone = np.where(first, old["gone"], NEVER)
+        seen = last != NEVER
+        before, after = np.maximum(stated_before, ACTIVE), np.maximum(stated_after, ACTIVE)
+        idle = seen & (before == ACTIVE) & (gone == NEVER) & (last + self.idle < at)
+        back = seen & (idle | (gone != NEVER) | (before == VANISHED))
+        before = np.where(back, RELISTED, before)
+        repriced = seen & ~np.isnan(price_before) & ~np.isnan(price) & (price != price_before)
+        restated = seen & (after != ACTIVE) & (after != before)
+        found = [np.flatnonzero(x) for x in (~seen, idle, back, repriced, restated)]
+        row, kind = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+        in_order = np.lexsort((kind, row))
+        row, kind = row[in_order], kind[in_order]
+        ends = np.flatnonzero(np.append(first[1:], True))
+        state["price"][listing[ends]], state["last"][listing[ends]] = price_after[ends], at[ends]
+        state["gone"][listing[ends]], state["stated"][listing[ends]] = NEVER, stated_after[ends]
+        of_price, of_status = kind == 3, kind == 4
+        return (
+            listing[row], kind, np.where(kind == 1, last[row] + self.idle, at[row]),
+            np.where(of_price, price_before[row], np.nan), np.where(of_price, price[row], np.nan),
+            np.where(of_status, before[row], 0), np.where(of_status, after[row], 0),
+        )
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        state = self.card.get() if self.card.exists() else (None, None, None, None)
+        names = [np.array(column, dtype=object) for column in self.names.get()]
+        state = np.zeros(len(names[0]), LISTING)
+        state["price"], state["last"], state["gone"] = np.nan, NEVER, NEVER
+        if self.listings.exists():
+            kept = np.frombuffer(self.listings.get()[0], LISTING)
+            state[: len(kept)] = kept
         self.alarm.clear()
-        following, events = None, []
+        following = None
         # entries with cards do not overlap, so their starts give time order
         places = sorted(((k[0], k[1]) for k in self.held.keys()), key=lambda place: (place[1], -place[0]))
         for place in places:
-            cards = sorted((tuple(c) for c in self.held.getValue(place)[0]), key=lambda c: c[:2])
-            waiting = [c for c in cards if self._ends(c[0]) > now]
-            for seen, _, value, stated in cards[: len(cards) - len(waiting)]:
-                state = self._step(key, state, EPOCH + timedelta(microseconds=seen), value, stated, events)
-            if not waiting and (cards or place[1] + place[0] * self.span <= now):
+            cards = self._waiting(place)
+            waits = self._ends(cards["at"]) > now
+            waiting, due = cards[waits], cards[~waits]
+            if len(due):
+                events = self._step(due[np.lexsort((due["seq"], due["at"], due["listing"]))], state)
+                if len(events[0]):
+                    yield _event_frame(names, *events)
+            if not len(waiting) and (len(cards) or place[1] + place[0] * self.span <= now):
                 self.held.removeKey(place)
-            elif 0 < len(waiting) < len(cards):
-                self.held.updateValue(place, (waiting,))
-            if len(events) > HELD_ROWS:
-                yield _frame(events)
-                events = []
-            if waiting:
-                following = self._ends(waiting[0][0])
+            elif len(waiting) and len(due):
+                self._put(place, waiting)
+            if len(waiting):
+                following = int(self._ends(waiting["at"].min()))
                 break
-        price, raw, last, gone = state
-        if last is not None and gone is None and _status(raw) == "active":
-            gone_at = last + self.idle
-            told = self._ends(_micros(gone_at))
-            if told <= now:
-                gone = gone_at
-                events.append((*key, "vanished", gone, None, None, None, None))
-            else:
-                following = told if following is None else min(following, told)
-        if last is not None:
-            self.card.update((price, raw, last, gone))
+        active = np.flatnonzero((state["last"] != NEVER) & (state["gone"] == NEVER) & (state["stated"] <= ACTIVE))
+        gone = state["last"][active] + self.idle
+        told = self._ends(gone)
+        idle, later = active[told <= now], told[told > now]
+        state["gone"][idle] = gone[told <= now]
+        if len(later):
+            following = int(later.min()) if following is None else min(following, int(later.min()))
+        self.listings.update((state.tobytes(),))
         if following is not None:
             self._wake(following)
-        if events:
-            yield _frame(events)
+        if len(idle):
+            none = np.zeros(len(idle), int)
+            yield _event_frame(names, idle, none + 1, state["gone"][idle], none + np.nan, none + np.nan, none, none)
 
 
-def _micros(at: datetime) -> int:
-    return (at - EPOCH) // timedelta(microseconds=1)
+def _event_frame(names, listing, kind, at, old_price, new_price, old_status, new_status) -> pd.DataFrame:
+    stated = np.array([*STATED, "relisted"], dtype=object)
+    return pd.DataFrame({
+        "source": names[0][listing], "external_id": names[1][listing], "event_type": KINDS[kind], "occurred_at": at.astype("datetime64[us]"),
+        "old_price": old_price, "new_price": new_price, "old_status": stated[old_status], "new_status": stated[new_status],
+    })
 
 
 def _frame(events: list[tuple]) -> pd.DataFrame:
@@ -239,15 +312,17 @@ def stream_changes(obs: DataFrame, idle_hours: int = 72, delay: str = "1 day") -
     )
 
 
-def stream_ordered_changes(obs: DataFrame, idle_hours: int = 72, delay: str = "1 day", span_seconds: int = 60) -> DataFrame:
+def stream_ordered_changes(
+    obs: DataFrame, idle_hours: int = 72, delay: str = "1 day", span_seconds: int = 60, buckets: int = BUCKETS,
+) -> DataFrame:
     """Change events of cards that may come up to ``delay`` late: those of the batch run, for any order of arrival.
 
     A card counts once the watermark has passed the end of its span of ``span_seconds``; a card behind the watermark is
-    dropped by Spark. State is one row per listing and the waiting cards, in RocksDB; a listing that fills a micro-batch
-    is read batch by batch, so choose the span for the cards one listing may have in it. The session runs in UTC.
+    dropped by Spark. State is kept by ``buckets`` of listings, in RocksDB: one row per listing and the waiting cards, as columns. A bucket that fills a micro-batch
+    is read batch by batch, so choose the span for the cards one bucket may have in it. The session runs in UTC.
     """
     cards = obs.select(*KEY, *CARD_FIELDS).withWatermark("seen_at", delay)
-    return cards.groupBy(*KEY).transformWithStateInPandas(
+    return cards.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_OrderedDetector(idle_hours, span_seconds), outputStructType=CHANGE_SCHEMA,
         outputMode="Append", timeMode="EventTime",
     )

@@ -130,6 +130,44 @@ def test_ordered_stream_calls_its_state_seldom(count):
     assert handle.set < 10 and (count > K.HELD_ROWS or handle.writes < 10)  # one timer and one entry, not one per span
 
 
+def test_ordered_stream_compares_the_listings_of_a_bucket_together():
+    """Many listings under one key: the events of a walk card by card for each, in few calls to the state."""
+    rng, start = random.Random(3), 1_700_000_000
+    raws = [None, "", "active", "sold out", "inactive", "Rented", "404", "new"]
+    cards = [
+        (rng.choice(["s", None]), str(rng.randrange(150)), pd.Timestamp(start + rng.randrange(20) * 50_000 + rng.randrange(90), unit="s"), n,
+         rng.choice([None, 1.0, 2.0, 3.0]), rng.choice(raws)) for n in range(3000)]
+    columns = ["source", "external_id", "seen_at", "seq", "price", "source_status_raw"]
+    want, walker = [], K._ChangeDetector(72)
+    for name in {c[:2] for c in cards}:
+        state = (None, None, None, None)
+        for _, _, seen, _, price, raw in sorted((c for c in cards if c[:2] == name), key=lambda c: c[2:4]):
+            state = walker._step(name, state, seen, price, raw or None, want)
+        if K._status(state[1]) == "active":
+            want.append((*name, "vanished", state[2] + walker.idle, None, None, None, None))
+    plain = lambda rows: sorted(str([None if pd.isna(v) else v for v in r]) for r in rows)
+    cards.sort(key=lambda c: c[2].timestamp() + rng.randrange(200_000))
+    for size, arrow in ((3000, 3000), (500, 70)):
+        handle, got = _Handle(), []
+        detector = K._OrderedDetector(72, 60)
+        detector.init(handle)
+        mark = 0
+        for at in [*range(0, len(cards), size), None]:
+            part = [] if at is None else cards[at : at + size]
+            if part:
+                frames = [pd.DataFrame(part[i : i + arrow], columns=columns) for i in range(0, len(part), arrow)]
+                list(detector.handleInputRows((7,), iter(frames), None))
+                mark = max(mark, int(max(c[2] for c in part).timestamp()) - 250_000)
+            else:
+                mark += 10**9
+            while handle.timers and min(handle.timers) <= mark * 1000:
+                handle.timers.remove(min(handle.timers))
+                now = _Now(mark * 1000)
+                got += [tuple(r) for f in detector.handleExpiredTimer((7,), now, now) for r in f.itertuples(index=False)]
+        assert plain(got) == plain(want) and not handle
+        assert size < 3000 or (handle.writes < 10 and handle.set < 10)
+
+
 def test_a_large_part_is_written_by_several_tasks(spark):
     rows = spark.range(0, 4000, 1, 8).selectExpr("'s' AS source", "CAST(id AS STRING) AS external_id", "repeat(uuid(), 5) AS title")
     root = scratch(spark, "large-part")
