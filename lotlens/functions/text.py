@@ -164,8 +164,7 @@ def _type_of(t: Column) -> Column:
 
 
 def in_region(url: Column) -> Column:
-    low = F.lower(blank_safe(url))
-    return ~low.rlike("|".join(rules.REGION_FOREIGN)) & low.rlike("|".join(rules.REGION_LOCAL))
+    return let(F.lower(blank_safe(url)), lambda low: ~any_contains(low, rules.REGION_FOREIGN) & any_contains(low, rules.REGION_LOCAL))
 
 
 def normalize_district(col: Column, districts=rules.DISTRICTS, stems=rules.DISTRICT_STEMS) -> Column:

@@ -38,13 +38,13 @@ def drop_blocked_pages(pages: DataFrame) -> DataFrame:
 
     The whole page is searched and its length plays no part.
     """
-    page = F.lower(blank_safe(F.col("html")))
-    shown = F.lower(text_of(blank_safe(F.col("html"))))
-    rest = F.length(F.regexp_replace(shown, "|".join(rules.BLOCK_MARKERS), ""))
-    marked = pages.withColumns({
-        "_hits": count_contains(page, rules.BLOCK_MARKERS),
-        "_share": F.when(F.length(shown) > 0, 1 - rest / F.length(shown)).otherwise(1.0),
-    })
+    def share(shown: Column) -> Column:
+        rest = F.length(F.regexp_replace(shown, "|".join(rules.BLOCK_MARKERS), ""))
+        return F.when(F.length(shown) > 0, 1 - rest / F.length(shown)).otherwise(1.0)
+
+    marked = pages.withColumn("_page", F.lower(blank_safe(F.col("html")))).withColumn("_hits", count_contains(F.col("_page"), rules.BLOCK_MARKERS)).drop("_page")
+    # the visible text is read only where it decides
+    marked = marked.withColumn("_share", F.when(F.col("_hits") == 1, let(F.lower(text_of(blank_safe(F.col("html")))), share)))
     blocked = (F.col("_hits") >= 2) | ((F.col("_hits") == 1) & (F.col("_share") >= rules.BLOCK_SHARE))
     return computed_once(marked, "_hits", "_share").where(~blocked).drop("_hits", "_share")
 
@@ -239,10 +239,11 @@ def listings_from_json_ld(pages: DataFrame, source: str = "lun") -> DataFrame:
         "_public": public.isNotNull(), "_offer": offer, "_price_text": get(offer, "$.price"),
         "_address": postal_address(get(item, "$.address", "variant")),
     })
-    rows = with_total_price(rows, blank_safe(F.col("_price_text")), "_tp", "_tc")
-    offer, ext, address = F.col("_offer"), F.col("_ext"), F.col("_address")
+    rows = rows.withColumn("_plain", F.col("_price_text").isNull() | get(F.col("_offer"), "$.price", "double").isNotNull())
+    # the words of a price count only where it is no number
+    rows = with_total_price(rows, F.when(F.col("_plain"), "").otherwise(F.col("_price_text")), "_tp", "_tc")
+    offer, ext, address, plain = F.col("_offer"), F.col("_ext"), F.col("_address"), F.col("_plain")
     price, cur = offer_price(offer)
-    numeric = get(offer, "$.price", "double").isNotNull()
     lat, lon = geo(get(item, "$.geo", "variant"))
     name = F.coalesce(none_if_empty(get(item, "$.name")), address, F.concat(F.lit("LUN "), ext))
     size = get(item, "$.floorSize.value")
@@ -253,8 +254,8 @@ def listings_from_json_ld(pages: DataFrame, source: str = "lun") -> DataFrame:
         url=F.when(F.col("_public"), F.concat(F.lit("https://lun.ua/realty/"), ext)).otherwise(
             F.concat(F.lit("https://lun.ua/"), F.col("deal_type"), F.lit("/kyiv/commercial#item-"), ext)),
         deal_type=F.col("deal_type"), title=name, property_type=guess_type(name),
-        price=F.when(numeric | F.col("_price_text").isNull(), price).otherwise(F.col("_tp")),
-        currency=F.upper(F.coalesce(F.when(numeric | F.col("_price_text").isNull(), cur).otherwise(F.col("_tc")), F.lit("UAH"))),
+        price=F.when(plain, price).otherwise(F.col("_tp")),
+        currency=F.upper(F.coalesce(F.when(plain, cur).otherwise(F.col("_tc")), F.lit("UAH"))),
         area_sqm=F.coalesce(size.try_cast("double"), parse_area(size)), address_raw=address,
         district=get(offer, "$.areaServed.name"),
         city=F.coalesce(none_if_empty(locality), F.when(F.col("zone") == "kyiv", "Київ").otherwise("Київська область")),
@@ -264,11 +265,13 @@ def listings_from_json_ld(pages: DataFrame, source: str = "lun") -> DataFrame:
         F.col("fetched_at").alias("seen_at"))
 
 
-def listings_from_state_json(pages: DataFrame, source: str = "olx", base: str = "https://www.olx.ua") -> DataFrame:
-    """List pages that embed their state as an (escaped) JSON string: one card per ad."""
+def listings_from_state_json(
+    pages: DataFrame, source: str = "olx", base: str = "https://www.olx.ua", ads: Column | None = None,
+) -> DataFrame:
+    """List pages that embed their state as an (escaped) JSON string: one card per ad; ``ads`` are those of a page, if already read."""
     rows = pages.select(
         "deal_type", "fetched_at", F.col("url").alias("page_url"),
-        F.posexplode(_state_ads(F.col("html"))).alias("position", "_ad"),
+        F.posexplode(_state_ads(F.col("html")) if ads is None else ads).alias("position", "_ad"),
     )
     ad = F.col("_ad")
     title = F.trim(blank_safe(get(ad, "$.title")))
@@ -377,18 +380,15 @@ def text_district(text: Column) -> Column:
 def first_element(html: Column) -> Column:
     """The element a text starts with, up to its own closing tag (elements of the same name may nest); null if it is never closed."""
     def cut(whole: Column) -> Column:
-        name = F.lower(F.regexp_extract(whole, r"^<(\w+)", 1))
-
         def step(seen: Column, piece: Column) -> Column:
-            own = F.lower(F.regexp_extract(piece, r"^</?(\w+)", 1)) == name
-            turn = F.when(~own, 0).when(piece.startswith("</"), -1).otherwise(1)
-            depth = F.when(seen["depth"] == 0, 0).otherwise(seen["depth"] + turn)
+            depth = F.when(seen["depth"] == 0, 0).otherwise(seen["depth"] + F.when(piece.startswith("</"), -1).otherwise(1))
             return F.struct(depth.alias("depth"), (seen["size"] + F.when(depth > 0, F.length(piece)).otherwise(0)).alias("size"))
 
-        pieces = F.split(whole, "(?=<)")
-        first = F.struct(F.lit(1).alias("depth"), F.length(F.get(pieces, F.lit(0))).alias("size"))
-        walked = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, step)
-        return let(walked, lambda end: F.when(end["depth"] == 0, F.substring(whole, F.lit(1), end["size"])))
+        # cut before tags of its own name only
+        own = F.concat(F.lit("(?i)(?=</?"), F.regexp_extract(whole, r"^<(\w+)", 1), F.lit(r"(?!\w))"))
+        return let(F.split(whole, own), lambda pieces: let(F.aggregate(
+            F.slice(pieces, F.lit(2), F.size(pieces)), F.struct(F.lit(1).alias("depth"), F.length(F.get(pieces, F.lit(0))).alias("size")), step,
+        ), lambda end: F.when(end["depth"] == 0, F.substring(whole, F.lit(1), end["size"]))))
 
     def up_to_own(whole: Column) -> Column:
         """Most elements hold none of their own name: cut before the first tag of that name, if it closes."""
@@ -414,12 +414,13 @@ def listings_from_cards(pages: DataFrame, source: str = "rieltor", base: str = "
     rows = rows.withColumns({
         "_ext": none_if_empty(F.trim(extract(card, r"(?is)^<div\b[^>]*\bdata-catalog-item-id\s*=\s*[\"']([^\"']*)[\"']"))),
         "_href": extract(card, r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*/commercials-[^\"']*/view/[^\"']*)[\"']"),
+    })
+    rows = computed_once(rows, "_ext", "_href").where(F.col("_ext").isNotNull() & F.col("_href").isNotNull()).withColumns({
         "_label": F.trim(unescape(blank_safe(extract(card, r"(?is)^<div\b[^>]*\bdata-label\s*=\s*[\"']([^\"']*)[\"']")))),
         "_address": none_if_empty(_class_text(card, "catalog-card-address")),
         "_desc": _class_text(card, "catalog-card-description"),
+        "_local": text_of(card),
     })
-    rows = computed_once(rows, "_ext", "_href", "_label", "_address", "_desc").where(
-        F.col("_ext").isNotNull() & F.col("_href").isNotNull()).withColumn("_local", text_of(card))
     price_text = F.coalesce(none_if_empty(_class_text(card, "catalog-card-price-title")), F.col("_label"))
     rate_text = F.coalesce(none_if_empty(_class_text(card, "catalog-card-price-details")), price_text)
     rows = with_rate(with_total_price(rows, price_text, "_price", "_cur"), rate_text, "_rate", "_rcur")
@@ -564,10 +565,13 @@ def merge_details(listings: DataFrame, details: DataFrame) -> DataFrame:
 
 def _state_ads(html: Column) -> Column:
     """Ads of the embedded page state (text or escaped text); null when the page has none."""
-    raw = F.when(html.contains("__PRERENDERED_STATE__"), extract(html, STATE))
-    inner = get(F.try_parse_json(F.concat(F.lit('"'), raw, F.lit('"'))), "$")
-    state = F.coalesce(F.try_parse_json(raw), F.try_parse_json(inner))
-    return get(state, "$.listing.listing.ads", "array<variant>")
+    def ads(raw: Column) -> Column:
+        # an object whose first key begins with a backslash is escaped text and no JSON
+        plain = F.when(~raw.rlike(r"^\{\s*\\"), F.try_parse_json(raw))
+        inner = get(F.try_parse_json(F.concat(F.lit('"'), raw, F.lit('"'))), "$")
+        return get(F.coalesce(plain, F.try_parse_json(inner)), "$.listing.listing.ads", "array<variant>")
+
+    return let(F.when(html.contains("__PRERENDERED_STATE__"), extract(html, STATE)), ads)
 
 
 def _usable_ad(ad: Column) -> Column:
@@ -577,10 +581,10 @@ def _usable_ad(ad: Column) -> Column:
 
 def _olx(pages: DataFrame) -> DataFrame:
     """Ads of the page state; anchors only on pages whose state names no usable ad."""
-    filled = F.coalesce(F.exists(_state_ads(F.col("html")), _usable_ad), F.lit(False))
-    routed = computed_once(pages.withColumn("_filled", filled), "_filled")
-    return listings_from_state_json(routed.where("_filled").drop("_filled")).unionByName(
-        listings_from_anchors(routed.where("not _filled").drop("_filled"), LINK_RULES["olx"]))
+    routed = computed_once(pages.withColumn("_ads", _state_ads(F.col("html"))), "_ads")
+    filled = F.coalesce(F.exists("_ads", _usable_ad), F.lit(False))
+    return listings_from_state_json(routed.where(filled), ads=F.col("_ads")).unionByName(
+        listings_from_anchors(routed.where(~filled).drop("_ads"), LINK_RULES["olx"]))
 
 
 def _rieltor(pages: DataFrame) -> DataFrame:

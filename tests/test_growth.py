@@ -241,3 +241,20 @@ def test_a_rule_runs_once_for_a_value(spark):
     pages_ = rows.select(F.lit("domria").alias("source"), F.col("text").alias("url"), F.col("text").alias("html"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"))
     details = pages.detail_fields(pages_)
     assert _mentions(details, "$.areaServed") == 1 and _mentions(details, "$.seller.name") == 1 and _mentions(details, "$.priceCurrency") == 1
+
+
+def test_pages_are_read_once_for_a_decision(spark):
+    """Page state is parsed once per branch, visible text only of pages with one marker, price words only where the price is no number."""
+    rows = spark.createDataFrame([("<html>",)], "html string").selectExpr(
+        "'olx' AS source", "'sale' AS deal_type", "'kyiv' AS zone", "1 AS page_no", "'list' AS kind", "'u' AS url", "timestamp'2024-01-01' AS fetched_at", "html")
+    assert _mentions(pages._olx(rows), "__PRERENDERED_STATE__=") == 2
+    cards = pages.listings_from_cards(rows).select("price")
+    assert _mentions(cards, "catalog-card-address") == 0 and _mentions(cards, "catalog-card-description") == 0
+    state = lambda text: 'window.__PRERENDERED_STATE__="' + text + '";'
+    ad = '{"listing":{"listing":{"ads":[{"id":7,"title":"a long title","url":"/d/7"}]}}}'
+    htmls = [state(ad.replace('"', '\\"')), state(ad), state("{ " + ad[1:].replace('"', '\\"')), state('{\\"listing'), state("{}"), "", None, "captcha " + state(ad)]
+    got = spark.createDataFrame([(str(n), h) for n, h in enumerate(htmls)], "url string, html string")
+    assert [r[0] for r in got.orderBy("url").select(F.size(pages._state_ads(F.col("html")))).collect()] == [1, 1, 1, None, None, None, None, 1]
+    found = pages.drop_blocked_pages(spark.createDataFrame([
+        ("both", "captcha cloudflare " + "x " * 900), ("much", "captcha x"), ("little", "captcha " + "word " * 900), ("none", None), ("hidden", "<script>captcha</script>")], "url string, html string"))
+    assert {r.url for r in found.collect()} == {"little", "none"}
